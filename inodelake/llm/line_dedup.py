@@ -4,8 +4,8 @@ A line counts without white space at its ends if it has at least ``MIN_CHARS`` c
 edits of each other agree on one of ``EDITS`` + 1 segments, at nearly the same place. So every different line puts its
 segments into an index by (length, segment number, hash) and probes those of its own length and of up to ``EDITS``
 characters less with the substrings that could match (multi-match-aware windows). Keys of one line only are dropped
-before anything is joined; candidates must also agree in a sketch of character parities, which each edit changes by two
-bits at most, so no link is lost; the rest is verified by banded bit-parallel edit distance on the lines themselves.
+before anything is joined; candidates must also agree in a sketch of character-pair parities, which each edit changes
+by four bits at most, so no link is lost; the rest is verified by banded bit-parallel edit distance on the lines.
 
 A line goes if it occurred before (documents in order of id, then text hash; lines in order), or if an earlier first
 occurrence of another line is within ``EDITS`` edits. Documents keep their row even if no line is left.
@@ -116,11 +116,15 @@ def keys(lines: list[str], edits: int = EDITS) -> tuple[np.ndarray, np.ndarray,
 
 
 def sketches(lines: list[str]) -> np.ndarray:
-    """Parities of character counts in 63 classes, in bits 1 to 63."""
+    """Parities of the counts of character pairs in 63 classes, in bits 1 to 63. An edit takes away and adds four pairs
+    at most, so it changes four bits at most."""
     size = np.array([len(x) for x in lines], np.int64)
     codes = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32).astype(U64)
-    bits = U64(1) << (mix(codes) % U64(63) + U64(1))
-    return np.bitwise_xor.reduceat(bits, np.cumsum(size) - size) if len(codes) else np.zeros(len(lines), U64)
+    bits = np.zeros(len(codes), U64)
+    bits[:-1] = U64(1) << (mix(codes[:-1] << U64(32) | codes[1:]) % U64(63) + U64(1))
+    ends = np.cumsum(size)
+    bits[ends - 1] = 0  # pairs do not cross lines
+    return np.bitwise_xor.reduceat(bits, ends - size)
 
 
 def _probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +171,7 @@ def links(docs: DataFrame) -> DataFrame:
     shared = materialize(shared.select("key", "line", "sketch").distinct())
     entry = shared.filter(F.col("sketch").bitwiseAND(1) == 1).select(F.col("key").alias("k"), F.col("line").alias("a"), F.col("sketch").alias("s"))
     apart = F.bit_count(F.shiftrightunsigned("s", 1).bitwiseXOR(F.shiftrightunsigned("sketch", 1)))
-    met = shared.join(entry, (F.col("key") == F.col("k")) & (F.col("line") != F.col("a")) & (apart <= 2 * EDITS))
+    met = shared.join(entry, (F.col("key") == F.col("k")) & (F.col("line") != F.col("a")) & (apart <= 4 * EDITS))
     pairs = materialize(met.select(F.least("a", "line").alias("a"), F.greatest("a", "line").alias("b")).distinct())
     # The lines' texts: only lines of wanted hash buckets (a broadcast of at most FILTER_BUCKETS numbers) are moved.
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BUCKETS)).cast("int")
