@@ -8,9 +8,10 @@ matter once all places are filled, so about M (ln M + 3) points are drawn whatev
 
 Links. Equal texts are one node (128-bit digest). Nodes that share a band of ``ROWS`` places are candidates, and each
 link is verified on the multisets of shingles themselves: sum of least counts / sum of largest counts >= threshold.
-Inside a bucket no pairs are listed at first: each node is verified against one leader, and only nodes that then lie
-in different classes of one bucket are paired (``ROUNDS`` times their best partner, then all that are left), behind a
-128-bit sketch that a pair at the threshold fails with a chance of about 2e-4.
+Inside a bucket no pairs are listed at first: ``ROUNDS`` times, each node is verified against one leader of its buckets
+that lies in another class (the node that meets most others, as an original meets its variants). Only nodes that then
+still lie in different classes of one bucket are paired, all of them, behind a 128-bit sketch that a pair at the
+threshold fails with a chance of about 2e-4.
 
 Edge cases: a text without words (null, empty) is in a class of its own node and is never a duplicate; a text of one
 to four words has one shingle; repeated rows and exact copies share a class; an empty table gives an empty result;
@@ -100,7 +101,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = pa.array(acc[some].view(np.int64).ravel())
         offsets = np.concatenate([[0], np.cumsum(np.where(some, BANDS, 0))]).astype(np.int32)
         bands = pa.ListArray.from_arrays(pa.array(offsets), flat)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), bands, pa.array(sketch[:, 0]), pa.array(sketch[:, 1])], names=["doc_id", "digest", "bands", "s1", "s2"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), bands, pa.array(sketch[:, 0]), pa.array(sketch[:, 1]), pa.array(np.bincount(r, c, n).astype(np.int64))], names=["doc_id", "digest", "bands", "s1", "s2", "shingles"])
 
 
 def digest() -> Column:
@@ -159,19 +160,36 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
-    return nodes.select("id", "comp", "s1", "s2", F.posexplode("bands").alias("band", "h")).select(F.xxhash64("band", "h").alias("bucket"), "id", "comp", "s1", "s2")
-
-
-def _across(nodes: DataFrame, difference: int) -> DataFrame:
-    """Pairs (a, b, apart) of nodes that share a bucket, lie in different classes and have close sketches. In each
+    each = nodes.select("id", "comp", "popular", "s1", "s2", "shingles", F.posexplode("bands").alias("band", "h"))
+    return each.select(F.xxhash64("band", "h").alias("bucket"), "id", "comp", "popular", "s1", "s2", "shingles")
+
+
+def _with_leaders(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b): every node with the most popular one of another class that leads one of its buckets. A bucket has
+    two leaders, the most popular node of all and that of the other classes, so this makes one pair a node at most."""
+    rows = _buckets(nodes).select("bucket", "id", "comp", "popular")
+    best = F.struct("popular", -F.col("id"), "id", "comp")
+    first = rows.groupBy("bucket").agg(F.max(F.struct(F.col("popular"), -F.col("id"), F.col("id").alias("lead"), F.col("comp").alias("lead_comp"))).alias("x"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    first = first.filter("low <> high").select("bucket", F.col("x.lead").alias("l1"), F.col("x.lead_comp").alias("c1"), F.col("x.popular").alias("p1"))
+    mixed = rows.join(first, "bucket")
+    second = mixed.filter("comp <> c1").groupBy("bucket").agg(F.max(best).alias("y")).select("bucket", F.col("y.id").alias("l2"), F.col("y.popular").alias("p2"))
+    led = mixed.join(second, "bucket")
+    own = F.col("comp") == F.col("c1")
+    offers = led.select(F.col("id").alias("a"), F.when(own, F.col("l2")).otherwise(F.col("l1")).alias("b"), F.when(own, F.col("p2")).otherwise(F.col("p1")).alias("p"))
+    return offers.groupBy("a").agg(F.max_by("b", F.struct("p", "b")).alias("b"))
+
+
+def _across(nodes: DataFrame, difference: int, threshold: float) -> DataFrame:
+    """Pairs (a, b, apart) of nodes that share a bucket, lie in different classes, have close sketches and sizes that
+    allow the threshold (the smaller multiset can be all of the overlap, the larger is within the union). In each
     bucket the rows outside its largest class meet all rows, so a bucket of one class meets nothing."""
     rows = _buckets(nodes)
     sizes = rows.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("classes"))
     mixed = rows.join(sizes.filter("classes > 1").select("bucket", "main"), "bucket")
-    minor = mixed.filter("comp <> main").select("bucket", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("s1").alias("x1"), F.col("s2").alias("x2"))
-    other = mixed.select(F.col("bucket").alias("bucket_"), F.col("id").alias("b"), F.col("comp").alias("cb"), "main", "s1", "s2")
+    minor = mixed.filter("comp <> main").select("bucket", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("s1").alias("x1"), F.col("s2").alias("x2"), F.col("shingles").alias("m"))
+    other = mixed.select(F.col("bucket").alias("bucket_"), F.col("id").alias("b"), F.col("comp").alias("cb"), "main", "s1", "s2", "shingles")
     apart = F.bit_count(F.col("x1").bitwiseXOR(F.col("s1"))) + F.bit_count(F.col("x2").bitwiseXOR(F.col("s2")))
-    met = minor.join(other, (F.col("bucket") == F.col("bucket_")) & (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))) & (apart <= difference))
+    met = minor.join(other, (F.col("bucket") == F.col("bucket_")) & (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))) & (apart <= difference) & (F.least("m", "shingles") >= threshold * F.greatest("m", "shingles") - 1e-6))
     return met.groupBy("a", "b").agg(F.min(apart).alias("apart"))
 
 
@@ -180,29 +198,35 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     of the row's text, n_texts the different texts of its class."""
     difference = SKETCH_DIFFERENCE if threshold >= 0.8 else M  # below that the sketch would lose pairs
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = materialize(docs.select("doc_id", "text", digest().alias("digest")).mapInArrow(_signed, f"doc_id {kind}, digest binary, bands array<bigint>, s1 long, s2 long"))
+    rows = materialize(docs.select("doc_id", "text", digest().alias("digest")).mapInArrow(_signed, f"doc_id {kind}, digest binary, bands array<bigint>, s1 long, s2 long, shingles long"))
     ids = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    one = rows.dropDuplicates(["digest"]).select("digest", "bands", "s1", "s2")
+    one = rows.dropDuplicates(["digest"]).select("digest", "bands", "s1", "s2", "shingles")
     nodes = materialize(one.join(ids, "digest").withColumn("id", F.monotonically_increasing_id()))
     has_bands = nodes.filter(F.size("bands") > 0)
 
-    # Each node against the leader that it meets in most buckets.
-    buckets = _buckets(has_bands.withColumn("comp", F.col("id"))).select("bucket", "id")
-    leaders = buckets.groupBy("bucket").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", "leader")
-    met = buckets.join(leaders, "bucket").filter("id <> leader").groupBy("id", "leader").agg(F.count(F.lit(1)).alias("n"))
-    pairs = materialize(met.groupBy("id").agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("leader")).select(F.col("id").alias("a"), F.col("leader").alias("b")))
-    tried, links = pairs, _verified(pairs, nodes, docs, threshold)
+    # How many nodes a node meets in its buckets: the text that others were made from meets the most of them.
+    buckets = _buckets(has_bands.select("id", "bands", F.lit(0).alias("popular"), F.col("id").alias("comp"), "s1", "s2", "shingles")).select("bucket", "id")
+    crowds = buckets.join(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "bucket")
+    popular = crowds.groupBy("id").agg(F.sum("n").alias("popular"))
+    # Nodes that meet nobody are out from here on.
+    met = materialize(has_bands.select("id", "bands", "s1", "s2", "shingles").join(popular, "id"))
+    tried = links = None
     for turn in range(ROUNDS + 1):
-        comp = components(links)
-        placed = has_bands.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        found = _across(placed, difference).join(tried.select("a", "b").union(tried.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
+        placed = met.withColumn("comp", F.col("id")) if links is None else met.join(components(links), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
         if turn < ROUNDS:
-            found = found.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
+            found = _with_leaders(placed)
+        else:
+            found = _across(placed, difference, threshold)
+        if tried is not None:
+            found = found.join(tried.union(tried.select("b", "a")), ["a", "b"], "left_anti")
         pairs = materialize(found.select("a", "b"))
         if pairs.isEmpty():
             break
-        links = links.union(_verified(pairs, nodes, docs, threshold))
-        tried = tried.union(pairs)
+        verified = _verified(pairs, nodes, docs, threshold)
+        tried = pairs if tried is None else tried.union(pairs)
+        links = verified if links is None else links.union(verified)
+    if links is None:
+        links = pairs
     comp = materialize(components(links))
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     placed = nodes.select("id", "digest", "doc_id").join(comp, "id", "left").join(degree, "id", "left")
