@@ -475,9 +475,11 @@ def _labels_by_text(nodes: list[Node], wanted: set[str]) -> np.ndarray:
 
 def fit(pages: DataFrame, max_pages: int = MAX_PAGES) -> Trees | None:
     """Trees fitted on a bounded sample of pages; None if no page marks its article."""
-    order = F.xxhash64("url", "html")
     marked = pages.filter(F.col("html").rlike("(?i)<(article|main)[ >]")).filter(F.length("html") < 20000)
-    rows = marked.select("html", order.alias("o")).orderBy("o").limit(max_pages).collect()
+    hashed = marked.select("html", F.xxhash64("html").alias("o"))
+    # Tasks send the driver hashes to choose from, then only the chosen pages.
+    last = hashed.select("o").distinct().orderBy("o").limit(max_pages).agg(F.max("o")).first()[0]
+    rows = hashed.filter(F.col("o") <= last).dropDuplicates(["o"]).orderBy("o").collect() if last is not None else []
     x, y = examples([r["html"] for r in rows])
     return boost(x, y) if len(x) else None
 
