@@ -9,9 +9,9 @@ matter once all places are filled, so about M (ln M + 3) points are drawn whatev
 Links. Equal texts are one node (128-bit digest). Nodes that share a band of ``ROWS`` places are candidates, and each
 link is verified on the multisets of shingles themselves: sum of least counts / sum of largest counts >= threshold.
 Inside a bucket no pairs are listed at first: ``ROUNDS`` times, each node is verified against one leader of its buckets
-that lies in another class (the node that meets most others, as an original meets its variants). Only nodes that then
-still lie in different classes of one bucket are paired, all of them, behind a 128-bit sketch that a pair at the
-threshold fails with a chance of about 2e-4.
+that lies in another class (the node that meets most others, as an original meets its variants). Nodes that then still
+lie in different classes of one bucket are joined by an exact prefix filter on their rarest shingles, so that a crowd
+of texts around one common passage is not paired with itself.
 
 Edge cases: a text without words (null, empty) is in a class of its own node and is never a duplicate; a text of one
 to four words has one shingle; repeated rows and exact copies share a class; an empty table gives an empty result;
@@ -35,8 +35,10 @@ from .spark_io import materialize
 M = 128
 BANDS, ROWS = 21, 6
 THRESHOLD = 0.8
-SKETCH_DIFFERENCE = 26
 ROUNDS = 2
+#: Size of the shingle frequency table (8 MB, whatever the input) and the nodes of a shingle for each of its keys.
+CELLS = 1 << 20
+SALT_EVERY = 256
 
 
 def _counted(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,15 +95,13 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r, h, c = _counted(batch.column("text"))
         bits = signatures(r, h, c, n).view(U64)
         some = np.bincount(r, minlength=n) > 0
-        low = (mix(bits) & U64(1)).astype(np.uint8)
-        sketch = np.packbits(low, axis=1).view(">i8").astype(np.int64)
         acc = np.arange(1, BANDS + 1, dtype=U64)[None, :] + np.zeros((n, 1), U64)
         for k in range(ROWS):
             acc = mix(acc ^ bits[:, k : BANDS * ROWS : ROWS])
         flat = pa.array(acc[some].view(np.int64).ravel())
         offsets = np.concatenate([[0], np.cumsum(np.where(some, BANDS, 0))]).astype(np.int32)
         bands = pa.ListArray.from_arrays(pa.array(offsets), flat)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), bands, pa.array(sketch[:, 0]), pa.array(sketch[:, 1]), pa.array(np.bincount(r, c, n).astype(np.int64))], names=["doc_id", "digest", "bands", "s1", "s2", "shingles"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), bands], names=["doc_id", "digest", "bands"])
 
 
 def digest() -> Column:
@@ -126,14 +126,18 @@ def _similar(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
     return pd.Series(np.concatenate(out) if out else np.zeros(0, bool))
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose texts overlap enough. Texts are fetched once for each node that is in a pair."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def _texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """id, text of the nodes in ``wanted`` (id), each text from one document."""
     named = nodes.select("id", "digest", "doc_id").join(wanted, "id", "left_semi")
     named = named.select("id", F.col("digest").alias("n_digest"), F.col("doc_id").alias("n_doc"))
     own = docs.select(F.col("doc_id").alias("t_doc"), "text", digest().alias("t_digest"))
     texts = own.join(named, (own["t_digest"] == named["n_digest"]) & own["t_doc"].eqNullSafe(named["n_doc"]))
-    texts = texts.dropDuplicates(["id"]).select("id", "text")
+    return texts.dropDuplicates(["id"]).select("id", "text")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose texts overlap enough. Texts are fetched once for each node that is in a pair."""
+    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), nodes, docs)
     left = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a")
     both = left.join(texts.withColumnsRenamed({"id": "b", "text": "text_b"}), "b")
     return materialize(both.filter(_similar("text_a", "text_b", F.lit(threshold))).select("a", "b"))
@@ -160,14 +164,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
-    each = nodes.select("id", "comp", "popular", "s1", "s2", "shingles", F.posexplode("bands").alias("band", "h"))
-    return each.select(F.xxhash64("band", "h").alias("bucket"), "id", "comp", "popular", "s1", "s2", "shingles")
+    each = nodes.select("id", "comp", "popular", F.posexplode("bands").alias("band", "h"))
+    return each.select(F.xxhash64("band", "h").alias("bucket"), "id", "comp", "popular")
 
 
 def _with_leaders(nodes: DataFrame) -> DataFrame:
     """Pairs (a, b): every node with the most popular one of another class that leads one of its buckets. A bucket has
     two leaders, the most popular node of all and that of the other classes, so this makes one pair a node at most."""
-    rows = _buckets(nodes).select("bucket", "id", "comp", "popular")
+    rows = _buckets(nodes)
     best = F.struct("popular", -F.col("id"), "id", "comp")
     first = rows.groupBy("bucket").agg(F.max(F.struct(F.col("popular"), -F.col("id"), F.col("id").alias("lead"), F.col("comp").alias("lead_comp"))).alias("x"), F.min("comp").alias("low"), F.max("comp").alias("high"))
     first = first.filter("low <> high").select("bucket", F.col("x.lead").alias("l1"), F.col("x.lead_comp").alias("c1"), F.col("x.popular").alias("p1"))
@@ -179,44 +183,96 @@ def _with_leaders(nodes: DataFrame) -> DataFrame:
     return offers.groupBy("a").agg(F.max_by("b", F.struct("p", "b")).alias("b"))
 
 
-def _across(nodes: DataFrame, difference: int, threshold: float) -> DataFrame:
-    """Pairs (a, b, apart) of nodes that share a bucket, lie in different classes, have close sketches and sizes that
-    allow the threshold (the smaller multiset can be all of the overlap, the larger is within the union). In each
-    bucket the rows outside its largest class meet all rows, so a bucket of one class meets nothing."""
-    rows = _buckets(nodes)
-    sizes = rows.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("classes"))
-    mixed = rows.join(sizes.filter("classes > 1").select("bucket", "main"), "bucket")
-    minor = mixed.filter("comp <> main").select("bucket", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("s1").alias("x1"), F.col("s2").alias("x2"), F.col("shingles").alias("m"))
-    other = mixed.select(F.col("bucket").alias("bucket_"), F.col("id").alias("b"), F.col("comp").alias("cb"), "main", "s1", "s2", "shingles")
-    apart = F.bit_count(F.col("x1").bitwiseXOR(F.col("s1"))) + F.bit_count(F.col("x2").bitwiseXOR(F.col("s2")))
-    met = minor.join(other, (F.col("bucket") == F.col("bucket_")) & (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))) & (apart <= difference) & (F.least("m", "shingles") >= threshold * F.greatest("m", "shingles") - 1e-6))
-    return met.groupBy("a", "b").agg(F.min(apart).alias("apart"))
+def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many nodes hold a shingle of each cell of the frequency table."""
+    for batch in slices(batches, "text"):
+        _, h, _ = _counted(batch.column("text"))
+        cells, n = np.unique((h & U64(CELLS - 1)).astype(np.int32), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(n.astype(np.int64))], names=["cell", "n"])
+
+
+def _prefixes(frequency, threshold: float):
+    """A function that sends each node's rarest shingles: those that any link must share one of."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = frequency.value
+        for batch in slices(batches, "text"):
+            r, h, c = _counted(batch.column("text"))
+            # The k-th occurrence of a shingle is a token of its own, so multisets become sets.
+            first = np.cumsum(c) - c
+            k = (np.arange(c.sum()) - np.repeat(first, c)).astype(U64)
+            r, h = np.repeat(r, c), np.repeat(h, c)
+            f = often[(h & U64(CELLS - 1)).astype(np.int64)]
+            order = np.lexsort((k, h, f, r))
+            r, f, token = r[order], f[order], mix(h[order] + mix(k[order] + U64(0xD1CE)))
+            size = np.bincount(r, minlength=batch.num_rows)
+            at = np.arange(len(r)) - (np.cumsum(size) - size)[r]
+            n = size[r]
+            # As the shorter text of a link, as the longer one.
+            short = at <= n - np.ceil(2 * threshold / (1 + threshold) * n - 1e-6)
+            long = at <= n - np.ceil(threshold * n - 1e-6)
+            ids = batch.column("id").to_numpy().astype(np.int64)[r]
+            comps = batch.column("comp").to_numpy().astype(np.int64)[r]
+            parts = 1 + f // SALT_EVERY
+            i = np.repeat(np.flatnonzero(short), parts[short])
+            copy = np.arange(len(i)) - np.repeat(np.cumsum(parts[short]) - parts[short], parts[short])
+            j = np.flatnonzero(long)
+            every = np.concatenate([i, j])
+            salt = np.concatenate([copy.astype(U64), mix(ids[j].astype(U64)) % parts[j].astype(U64)])
+            key = mix(token[every] + salt * U64(0x9E3779B97F4A7C15)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.arange(len(every)) < len(i)), pa.array(ids[every]), pa.array(comps[every]), pa.array(at[every].astype(np.int64)), pa.array(n[every].astype(np.int64))], names=["key", "short", "id", "comp", "at", "n"])
+
+    return send
+
+
+def _across(placed: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of nodes of different classes that may still be links, of all nodes in a bucket of several classes.
+
+    A prefix filter finds them: shingles are ordered by how many of these nodes hold them (in a table of ``CELLS``
+    counts, the one thing that is broadcast), and a link must share one of the rarest, about a ninth of the shorter
+    text's and a fifth of the longer's, early enough for what follows to reach the threshold. So texts that have a
+    common passage alone meet only if little else stands in one of them. No link is lost, whatever the counts are.
+    Tokens of many nodes are dealt over several keys: the longer texts by id, the few shorter ones to each."""
+    rows = _buckets(placed)
+    several = rows.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
+    wanted = materialize(rows.join(several, "bucket", "left_semi").select("id", "comp").distinct())
+    texts = materialize(_texts(wanted, nodes, docs).join(wanted, "id"))
+    cells = texts.select("text").mapInArrow(_tallied, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(CELLS, np.int64)
+    table[cells["cell"].to_numpy()] = cells["n"].to_numpy()
+    frequency = docs.sparkSession.sparkContext.broadcast(table)
+    sent = materialize(texts.mapInArrow(_prefixes(frequency, threshold), "key long, short boolean, id long, comp long, at long, n long"))
+    short = sent.filter("short").select("key", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("at").alias("at_b"), F.col("n").alias("n_b"))
+    long = sent.filter("NOT short").select(F.col("key").alias("key_"), F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("at").alias("at_a"), F.col("n").alias("n_a"))
+    longer = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") > F.col("b")))
+    reach = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= threshold / (1 + threshold) * (F.col("n_a") + F.col("n_b")) - 1e-6
+    met = short.join(long, (F.col("key") == F.col("key_")) & (F.col("ca") != F.col("cb")) & longer & reach)
+    return met.select("a", "b").distinct()
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, digest, class_id, n_links, n_texts: one row for each row of ``docs``. n_links counts the verified links
     of the row's text, n_texts the different texts of its class."""
-    difference = SKETCH_DIFFERENCE if threshold >= 0.8 else M  # below that the sketch would lose pairs
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = materialize(docs.select("doc_id", "text", digest().alias("digest")).mapInArrow(_signed, f"doc_id {kind}, digest binary, bands array<bigint>, s1 long, s2 long, shingles long"))
+    rows = materialize(docs.select("doc_id", "text", digest().alias("digest")).mapInArrow(_signed, f"doc_id {kind}, digest binary, bands array<bigint>"))
     ids = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    one = rows.dropDuplicates(["digest"]).select("digest", "bands", "s1", "s2", "shingles")
+    one = rows.dropDuplicates(["digest"]).select("digest", "bands")
     nodes = materialize(one.join(ids, "digest").withColumn("id", F.monotonically_increasing_id()))
     has_bands = nodes.filter(F.size("bands") > 0)
 
     # How many nodes a node meets in its buckets: the text that others were made from meets the most of them.
-    buckets = _buckets(has_bands.select("id", "bands", F.lit(0).alias("popular"), F.col("id").alias("comp"), "s1", "s2", "shingles")).select("bucket", "id")
+    buckets = _buckets(has_bands.select("id", "bands", F.lit(0).alias("popular"), F.col("id").alias("comp"))).select("bucket", "id")
     crowds = buckets.join(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "bucket")
     popular = crowds.groupBy("id").agg(F.sum("n").alias("popular"))
     # Nodes that meet nobody are out from here on.
-    met = materialize(has_bands.select("id", "bands", "s1", "s2", "shingles").join(popular, "id"))
+    met = materialize(has_bands.select("id", "bands").join(popular, "id"))
     tried = links = None
     for turn in range(ROUNDS + 1):
         placed = met.withColumn("comp", F.col("id")) if links is None else met.join(components(links), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
         if turn < ROUNDS:
             found = _with_leaders(placed)
         else:
-            found = _across(placed, difference, threshold)
+            found = _across(placed, nodes, docs, threshold)
         if tried is not None:
             found = found.join(tried.union(tried.select("b", "a")), ["a", "b"], "left_anti")
         pairs = materialize(found.select("a", "b"))

@@ -114,6 +114,30 @@ def test_classes_against_all_pairs(spark):
     assert got == want
 
 
+def test_prefix_filter_loses_no_link(spark):
+    """Texts around one passage, some with repeated parts, all in one bucket: every link between classes is sent."""
+    r = random.Random(11)
+    passage = [f"p{k}" for k in range(120)]
+    texts = []
+    for i in range(90):
+        own = [f"w{i}x{k}" for k in range(r.randint(0, 45))]
+        at = r.randint(0, 60)
+        body = passage[: 120 - r.randint(0, 12)] + (passage[at : at + 15] if i % 3 == 0 else [])
+        texts.append(" ".join(own + body if i % 2 else body + own))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    nodes = docs.select("doc_id", bag_minhash.digest().alias("digest"), F.col("doc_id").alias("id"), (F.col("doc_id") % 40).alias("comp"), F.lit(1).alias("popular"), F.array(F.lit(7).cast("long")).alias("bands"))
+    bags = [bag(t) for t in texts]
+    links = {
+        (i, j) for i in range(90) for j in range(i)
+        if (i - j) % 40 and sum((bags[i] & bags[j]).values()) >= 0.8 * sum((bags[i] | bags[j]).values())
+    }
+    for every in (256, 8):
+        bag_minhash.SALT_EVERY, before = every, bag_minhash.SALT_EVERY
+        sent = {(max(a, b), min(a, b)) for a, b in bag_minhash._across(nodes, nodes, docs, 0.8).collect()}
+        bag_minhash.SALT_EVERY = before
+        assert len(links) > 50 and links <= sent and len(sent) < 3 * len(links)
+
+
 def test_signatures_estimate_weighted_similarity():
     r = np.random.default_rng(3)
     items = r.integers(0, 1 << 63, 400).astype(np.uint64)
