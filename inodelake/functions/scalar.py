@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -126,3 +128,16 @@ def blocks_on_ost(size: Column, stripe_size: Column, count: Column, place: Colum
     rest = size - full * width
     own = F.greatest(F.lit(0), F.least(stripe_size, rest - place * stripe_size))
     return F.ceil((full * stripe_size + own) / 512).cast("long")
+
+
+def placeholders(template: str, values: dict[str, Column]) -> Column:
+    """``template`` with each ``{name}`` replaced by its column; an unknown name is an error, a null value is empty."""
+    parts = []
+    for text, name in re.findall(r"([^{]*)(?:\{(\w+)\})?", template):
+        if text:
+            parts.append(F.lit(text))
+        if name:
+            if name not in values:
+                raise ValueError(f"unknown placeholder {{{name}}} in {template}")
+            parts.append(F.coalesce(values[name].cast("string"), F.lit("")))
+    return F.concat(*parts) if parts else F.lit("")

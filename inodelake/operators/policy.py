@@ -134,3 +134,11 @@ def alert_digest(alerts: DataFrame, most: int = 100) -> DataFrame:
     some = alerts.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64))).withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= most)
     lists = some.groupBy("title").agg(F.slice(F.sort_array(F.collect_list("id")), 1, most).alias("entries"))
     return alerts.groupBy("title").agg(F.count(F.lit(1)).alias("count")).join(lists, "title")
+
+
+def outcome(planned: DataFrame, fresh: DataFrame, watched: Sequence[str] = ("size",)) -> DataFrame:
+    """Planned entries with what a run would do: gone, accessed (a watched attribute changed since it was planned) or ok."""
+    now = fresh.select(F.col("id").alias("f_id"), *[F.col(c).alias(f"f_{c}") for c in watched])
+    changed = reduce(lambda a, b: a | b, [~F.col(c).eqNullSafe(F.col(f"f_{c}")) for c in watched])
+    result = F.when(F.col("f_id").isNull(), "gone").when(changed, "accessed").otherwise("ok")
+    return planned.join(now, F.col("id") == F.col("f_id"), "left").withColumn("outcome", result).drop(*now.columns)

@@ -551,3 +551,107 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 def _(e: DataFrame) -> DataFrame:
     alerts = e.filter(F.col("size") >= 1 << 30).select("id", F.col("uid").alias("title"))
     return P.alert_digest(alerts, 5).select("title", "count", F.array_join("entries", ",").alias("entries"))
+
+
+# ---- lookups, name joins, selection parameters, action outcomes ----
+
+
+@query("a05_lookup_all_attributes", sql("SELECT e.id, e.type, e.size, n.name, s.stripes FROM entries e LEFT JOIN names n ON e.id = n.id LEFT JOIN (SELECT id, count(*) AS stripes FROM stripe_items GROUP BY id) s ON e.id = s.id WHERE e.id IN ('7', '27', '640')", ENTRIES, NAMES, STRIPES))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    wanted = F.col("id").isin("7", "27", "640")
+    stripes = K.stripe_items(spark, sf).filter(wanted).groupBy("id").agg(F.count(F.lit(1)).alias("stripes"))
+    e = K.entries(spark, sf).filter(wanted).select("id", "type", "size")
+    return e.join(K.names(spark, sf).filter(wanted).select("id", "name"), "id", "left").join(stripes, "id", "left").select("id", "type", "size", "name", "stripes")
+
+
+@query("a07_ids_by_parent_and_name", sql("SELECT w.parent_id, w.name, n.id FROM (SELECT parent_id, 'f' || (parent_id::BIGINT * 20 + 7) AS name FROM (SELECT DISTINCT parent_id FROM names)) w JOIN names n ON n.parent_id = w.parent_id AND n.name = w.name", ENTRIES, NAMES))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    n = K.names(spark, sf)
+    wanted = n.select("parent_id").distinct().withColumn("name", F.concat(F.lit("f"), F.col("parent_id").cast("bigint") * 20 + 7))
+    return wanted.join(n, ["parent_id", "name"]).select("parent_id", "name", "id")
+
+
+@on_entries("b20_report_filters", "SELECT uid, count(*)::BIGINT AS count FROM entries WHERE projid = 2 AND ost_pool LIKE 'pool\\_%' ESCAPE '\\' GROUP BY uid HAVING count(*) >= 5")
+def _(e: DataFrame) -> DataFrame:
+    where = (F.col("projid") == 2) & X.like_glob(F.col("ost_pool"), "pool_*")
+    return e.filter(where).groupBy("uid").agg(F.count(F.lit(1)).alias("count")).filter("count >= 5")
+
+
+@on_entries("b48_attribute_rows", "SELECT id, 'uid' AS attribute, uid AS value FROM entries UNION ALL SELECT id, 'size', size::VARCHAR FROM entries UNION ALL SELECT id, 'type', type FROM entries UNION ALL SELECT id, 'status', status FROM entries")
+def _(e: DataFrame) -> DataFrame:
+    return e.select("id", "uid", F.col("size").cast("string").alias("size"), "type", "status").unpivot("id", ["uid", "size", "type", "status"], "attribute", "value")
+
+
+@query("b49_action_placeholders", sql("SELECT id, name, 'cp ' || name || ' /backup/' || parent_id || '/' || id AS command FROM names", ENTRIES, NAMES))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    values = {"name": F.col("name"), "fid": F.col("id"), "parent_fid": F.col("parent_id")}
+    return K.names(spark, sf).select("id", "name", S.placeholders("cp {name} /backup/{parent_fid}/{fid}", values).alias("command"))
+
+
+@query("d06_directories_by_average_size", sql("SELECT e.id, count(*)::BIGINT AS dircount, (sum(c.size) // count(*))::BIGINT AS avgsize FROM entries e JOIN names n ON n.parent_id = e.id JOIN entries c ON c.id = n.id WHERE e.type = 'dir' GROUP BY e.id HAVING count(*) >= 3 AND sum(c.size) // count(*) > 1000000", ENTRIES, NAMES))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    e, n = K.entries(spark, sf), K.names(spark, sf)
+    sums = n.join(e.select("id", "size"), "id").groupBy("parent_id").agg(F.count(F.lit(1)).alias("dircount"), F.expr("sum(size) div count(1)").alias("avgsize"))
+    return e.filter("type = 'dir'").select("id").join(sums.filter("dircount >= 3 AND avgsize > 1000000"), F.col("id") == F.col("parent_id")).select("id", "dircount", "avgsize")
+
+
+@query("d09_all_paths_of_an_id", sql("SELECT id, array_to_string(list_sort(list(path)), '|') AS paths FROM full_paths GROUP BY id", ENTRIES, NAMES, PATHS))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    p = N.all_paths(K.names(spark, sf), K.ROOT)
+    return p.groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("path")), "|").alias("paths"))
+
+
+@query("d12_entries_left_join_names", sql("SELECT e.id, e.uid, n.name FROM entries e LEFT JOIN names n ON e.id = n.id WHERE e.uid = 'u3'", ENTRIES, NAMES))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return K.entries(spark, sf).filter("uid = 'u3'").select("id", "uid").join(K.names(spark, sf).select("id", "name"), "id", "left")
+
+
+@on_entries("e14_report_total", "SELECT count(*)::BIGINT AS count, sum(size)::BIGINT AS volume, (sum(blocks) * 512)::BIGINT AS space_used FROM entries WHERE type = 'file'")
+def _(e: DataFrame) -> DataFrame:
+    return e.filter("type = 'file'").agg(F.count(F.lit(1)).alias("count"), F.sum("size").alias("volume"), (F.sum("blocks") * 512).alias("space_used"))
+
+
+@on_entries("h04_mass_remove", "SELECT id, size FROM entries WHERE NOT (status = 'released' AND type = 'file') OR status IS NULL")
+def _(e: DataFrame) -> DataFrame:
+    return D.remove(e, e.filter("status = 'released' AND type = 'file'").select("id")).select("id", "size")
+
+
+@query("h02_update_attributes", sql("SELECT id, size, status FROM later UNION ALL SELECT id, size, status FROM entries e WHERE NOT EXISTS (SELECT 1 FROM later l WHERE l.id = e.id)", ENTRIES, LATER))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    e = K.entries(spark, sf)
+    changed = _later(e).select("id", "size", "status")
+    return changed.unionByName(D.remove(e.select("id", "size", "status"), changed.select("id")))
+
+
+@on_entries("j02_class_algebra", "SELECT id, (size >= 1048576 OR uid = 'u1') AND NOT coalesce(status = 'new', false) AS chosen FROM entries")
+def _(e: DataFrame) -> DataFrame:
+    big, owned, fresh = F.col("size") >= 1 << 20, F.col("uid") == "u1", X.matched(F.col("status") == "new")
+    return e.select("id", ((big | owned) & ~fresh).alias("chosen"))
+
+
+@on_entries("j10_amounts", "SELECT id, 1::BIGINT AS count, (blocks * 512)::BIGINT AS volume, blocks FROM entries WHERE type = 'file'")
+def _(e: DataFrame) -> DataFrame:
+    return e.filter("type = 'file'").select("id", F.lit(1).cast("bigint").alias("count"), (F.col("blocks") * 512).alias("volume"), "blocks")
+
+
+@query("j13_stale_before_action", sql("SELECT e.id, CASE WHEN l.id IS NULL THEN 'gone' WHEN l.size <> e.size THEN 'accessed' ELSE 'ok' END AS outcome FROM entries e LEFT JOIN later l ON e.id = l.id", ENTRIES, LATER))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    e = K.entries(spark, sf)
+    return P.outcome(e, _later(e)).select("id", "outcome")
+
+
+@query("j14_outcome_counts", sql("SELECT outcome, count(*)::BIGINT AS count FROM (SELECT CASE WHEN l.id IS NULL THEN 'gone' WHEN l.size <> e.size THEN 'accessed' ELSE 'ok' END AS outcome FROM entries e LEFT JOIN later l ON e.id = l.id) GROUP BY outcome", ENTRIES, LATER))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    e = K.entries(spark, sf)
+    return P.outcome(e, _later(e)).groupBy("outcome").agg(F.count(F.lit(1)).alias("count"))
+
+
+@on_entries("j24_lifecycle_candidates", "SELECT id, CASE WHEN status IN ('new', 'modified') THEN 'archive' ELSE 'release' END AS action FROM entries WHERE type = 'file' AND NOT invalid AND status IN ('new', 'modified', 'synchro')")
+def _(e: DataFrame) -> DataFrame:
+    files = e.filter((F.col("type") == "file") & ~F.col("invalid") & F.col("status").isin("new", "modified", "synchro"))
+    return files.select("id", F.when(F.col("status") == "synchro", "release").otherwise("archive").alias("action"))
+
+
+@on_entries("j29_stale_actions", f"SELECT count(*)::BIGINT AS count FROM entries WHERE status = 'modified' AND NOT invalid AND last_access <= {NOW} - 86400")
+def _(e: DataFrame) -> DataFrame:
+    return e.filter((F.col("status") == "modified") & ~F.col("invalid") & X.age(F.col("last_access"), ">=", 86400, NOW)).agg(F.count(F.lit(1)).alias("count"))

@@ -144,3 +144,17 @@ def test_diff_of_equal_snapshots_is_empty(spark):
 def test_rule_names_must_differ():
     with pytest.raises(ValueError):
         P.Policy("p", F.lit(True), [P.Rule("a", F.lit(True)), P.Rule("A", F.lit(True))])
+
+
+def test_placeholders(spark):
+    row = spark.createDataFrame([("n1", None)], "name string, pool string")
+    shown_ = row.select(S.placeholders("mv {name} /p{pool}/x", {"name": F.col("name"), "pool": F.col("pool")})).first()[0]
+    assert shown_ == "mv n1 /p/x"
+    with pytest.raises(ValueError):
+        S.placeholders("{nothing}", {"name": F.col("name")})
+
+
+def test_outcomes(spark):
+    planned = spark.createDataFrame([("a", 1), ("b", 2), ("c", None), ("d", 4)], "id string, size long")
+    fresh = spark.createDataFrame([("a", 1), ("b", 3), ("c", None)], "id string, size long")
+    assert {r["id"]: r["outcome"] for r in P.outcome(planned, fresh).collect()} == {"a": "ok", "b": "accessed", "c": "ok", "d": "gone"}
