@@ -39,6 +39,8 @@ ROUNDS = 2
 #: Size of the shingle frequency table (8 MB, whatever the input) and the nodes of a shingle for each of its keys.
 CELLS = 1 << 20
 SALT_EVERY = 256
+#: Pairs of a node for each of the keys that its pairs are dealt over when their texts are fetched.
+PAIRS_EVERY = 64
 
 
 def _counted(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,11 +137,25 @@ def _texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return texts.dropDuplicates(["id"]).select("id", "text")
 
 
+def _with_text(pairs: DataFrame, texts: DataFrame, end: str) -> DataFrame:
+    """``pairs`` with the text of the node in column ``end``. A node of many pairs is dealt over several keys, one for
+    about ``PAIRS_EVERY`` of them, so that no task gets all pairs of a popular node. How many keys a node has reaches
+    its pairs by a join that is dealt over ``PAIRS_EVERY`` parts as well."""
+    parts = pairs.groupBy(end).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > PAIRS_EVERY)
+    parts = materialize(parts.select(end, F.ceil(F.col("n") / PAIRS_EVERY).cast("int").alias("parts")))
+    spread = parts.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(PAIRS_EVERY - 1))))
+    draw = F.xxhash64("a", "b")
+    dealt = pairs.withColumn("deal", F.pmod(draw, F.lit(PAIRS_EVERY)).cast("int")).join(spread, [end, "deal"], "left")
+    dealt = dealt.withColumn("part", F.pmod(F.shiftright(draw, 8), F.coalesce("parts", F.lit(1))).cast("int")).drop("deal", "parts")
+    copies = texts.select(F.col("id").alias(end), F.col("text").alias(f"text_{end}")).join(parts, end, "left")
+    copies = copies.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return dealt.join(copies, [end, "part"]).drop("part")
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """Those of ``pairs`` (a, b) whose texts overlap enough. Texts are fetched once for each node that is in a pair."""
-    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), nodes, docs)
-    left = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a")
-    both = left.join(texts.withColumnsRenamed({"id": "b", "text": "text_b"}), "b")
+    texts = materialize(_texts(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), nodes, docs))
+    both = _with_text(_with_text(pairs, texts, "a"), texts, "b")
     return materialize(both.filter(_similar("text_a", "text_b", F.lit(threshold))).select("a", "b"))
 
 
