@@ -178,3 +178,13 @@ def find_time(column: Column, literal: str, now: int, unit: int = 86400, negate:
     suffix = number[len(digits) :]
     seconds = int(digits) * ({"s": 1, "m": 60, "h": 3600, "d": 86400, "y": 31557600}[suffix] if suffix else unit)
     return age(column, op, seconds, now)
+
+
+def path_filter(path: Column, wanted: str, root: str = "/") -> Column | None:
+    """The entry named by ``wanted`` (a glob, relative to ``root`` or absolute) and all below it. None, which is no
+    filter, where that is the root or one of its ancestors."""
+    full = wanted if wanted.startswith("/") else f"{root.rstrip('/')}/{wanted}"
+    full = full.rstrip("/")
+    if f"{root.rstrip('/')}/".startswith(f"{full}/"):
+        return None
+    return path.rlike(glob_regex(full)[:-1] + "(/.*)?$")

@@ -65,3 +65,15 @@ def recovery_state(entries: DataFrame) -> DataFrame:
     """What a recovery could do, counted: non-files, empty files, intact, outdated and missing copies."""
     state = F.when(F.col("type") != "file", "NON_FILE").when(F.col("size") == 0, "EMPTY").when(F.col("status").isin("synchro", "released"), "OK").when(F.col("status") == "modified", "DELTA").otherwise("NOBACKUP")
     return entries.groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("count"), F.sum("size").alias("size"))
+
+
+def remove_names(names: DataFrame, entries: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Drop the names in ``gone`` (id, parent_id, name). An entry goes with its last name; one that never had a name stays."""
+    rest = names.join(gone, ["id", "parent_id", "name"], "left_anti")
+    lost = gone.select("id").join(rest, "id", "left_anti")
+    return rest, remove(entries, lost)
+
+
+def due_tombstones(tombstones: DataFrame, now: int, delay: int) -> DataFrame:
+    """Soft-removed entries whose deletion was ``delay`` seconds ago or earlier."""
+    return tombstones.filter(F.col("rm_time") <= now - delay)

@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import expr as X
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -142,3 +144,33 @@ def outcome(planned: DataFrame, fresh: DataFrame, watched: Sequence[str] = ("siz
     changed = reduce(lambda a, b: a | b, [~F.col(c).eqNullSafe(F.col(f"f_{c}")) for c in watched])
     result = F.when(F.col("f_id").isNull(), "gone").when(changed, "accessed").otherwise("ok")
     return planned.join(now, F.col("id") == F.col("f_id"), "left").withColumn("outcome", result).drop(*now.columns)
+
+
+def on_target(kind: str, value: str | int) -> Column:
+    """Entries of one target of a run: ``fs`` (all), ``ost`` (an index in column osts), ``pool``, ``project``, ``user``,
+    ``group``, ``class`` or ``file`` (an id). Names of pools, users, groups and classes may be globs."""
+    if kind == "fs":
+        return F.lit(True)
+    if kind == "ost":
+        return X.ost_index(F.col("osts"), int(value))
+    if kind == "class":
+        return X.has_class(F.col("fileclass"), str(value))
+    if kind in ("project", "file"):
+        return F.col("projid") == int(value) if kind == "project" else F.col("id") == str(value)
+    return X.like_glob(F.col({"pool": "ost_pool", "user": "uid", "group": "gid"}[kind]), str(value))
+
+
+def action(policy: Policy, default: str, rule: str = "rule") -> Column:
+    """The action of the row's rule, or the policy's own where the rule names none."""
+    own = F.lit(None).cast("string")
+    for r in (*policy.rules, *([policy.default] if policy.default else [])):
+        if "action" in r.params:
+            own = F.when(F.col(rule) == r.name, r.params["action"]).otherwise(own)
+    return F.coalesce(own, F.lit(default))
+
+
+def inode_trigger(capacity: DataFrame, high: float, low: float, percent: bool = False) -> DataFrame:
+    """Targets whose used inodes are at or above ``high`` (a count or a percentage), with how many to free down to ``low``."""
+    used = F.col("f_files") - F.col("f_ffree")
+    of = F.col("f_files") / 100 if percent else F.lit(1)
+    return capacity.withColumn("used_inodes", used).filter(used >= high * of).withColumn("amount", (used - F.floor(low * of)).cast("long"))

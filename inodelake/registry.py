@@ -655,3 +655,51 @@ def _(e: DataFrame) -> DataFrame:
 @on_entries("j29_stale_actions", f"SELECT count(*)::BIGINT AS count FROM entries WHERE status = 'modified' AND NOT invalid AND last_access <= {NOW} - 86400")
 def _(e: DataFrame) -> DataFrame:
     return e.filter((F.col("status") == "modified") & ~F.col("invalid") & X.age(F.col("last_access"), ">=", 86400, NOW)).agg(F.count(F.lit(1)).alias("count"))
+
+
+@query("b19_path_filter", sql("SELECT id, path FROM full_paths WHERE regexp_full_match(path, '/d2.*')", ENTRIES, NAMES, PATHS))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return N.all_paths(K.names(spark, sf), K.ROOT).filter(X.path_filter(F.col("path"), "d2*")).select("id", "path")
+
+
+@query("d11_names_page", sql("SELECT e.id, e.size, n.name FROM entries e LEFT JOIN names n ON e.id = n.id ORDER BY e.id, n.name NULLS FIRST LIMIT 50 OFFSET 100", ENTRIES, NAMES))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    both = K.entries(spark, sf).join(K.names(spark, sf).select("id", "name"), "id", "left")
+    return both.select("id", "size", "name").orderBy("id", F.asc_nulls_first("name")).offset(100).limit(50)
+
+
+@on_entries("e17_owner_shares", "SELECT uid, sum(size)::BIGINT AS size, count(*) AS count FROM entries GROUP BY uid HAVING count(*) BETWEEN 5 AND 40")
+def _(e: DataFrame) -> DataFrame:
+    return C.roll_up(C.build(e), ["uid"]).filter(F.col("count").between(5, 40)).select("uid", "size", "count")
+
+
+@on_entries("g06_due_tombstones", f"SELECT id, size, {NOW} - num % 100 AS rm_time FROM entries WHERE status = 'released' AND num % 100 >= 60")
+def _(e: DataFrame) -> DataFrame:
+    gone = D.soft_remove(e, e.filter("status = 'released'"), NOW)[1].withColumn("rm_time", NOW - F.col("num") % 100)
+    return D.due_tombstones(gone, NOW, 60).select("id", "size", "rm_time")
+
+
+@query("h03_remove_names", sql("SELECT id FROM entries WHERE id NOT IN (SELECT id FROM names WHERE name LIKE 'f1%' GROUP BY id HAVING bool_and(name NOT LIKE '%link') AND id NOT IN (SELECT id FROM names WHERE name LIKE '%link'))", ENTRIES, NAMES))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    names = K.names(spark, sf)
+    gone = names.filter(F.col("name").like("f1%") & ~F.col("name").endswith("link"))
+    return D.remove_names(names, K.entries(spark, sf), gone)[1].select("id")
+
+
+@on_entries("j09_targets", "SELECT id, uid LIKE 'u1%' AS of_user, gid = 'g3' AS of_group, ost_pool LIKE 'pool%' AS of_pool, projid = 2 AS of_project FROM entries")
+def _(e: DataFrame) -> DataFrame:
+    return e.select("id", P.on_target("user", "u1*").alias("of_user"), P.on_target("group", "g3").alias("of_group"), P.on_target("pool", "pool*").alias("of_pool"), P.on_target("project", 2).alias("of_project"))
+
+
+@on_entries("j12_actions", "SELECT id, rule, CASE rule WHEN 'big' THEN 'compress' ELSE 'purge' END AS action FROM (SELECT id, CASE WHEN size >= 1048576 THEN 'big' ELSE 'rest' END AS rule FROM entries WHERE NOT invalid AND type = 'file')")
+def _(e: DataFrame) -> DataFrame:
+    big = F.col("size") >= 1 << 20
+    policy = P.Policy("purge", F.col("type") == "file", [P.Rule("big", F.lit(True), big, {"action": "compress"})], default=P.Rule("rest", F.lit(True)))
+    return P.candidates(e, policy).select("id", "rule", P.action(policy, "purge").alias("action"))
+
+
+@query("j16_inode_trigger", sql("SELECT ost, used AS used_inodes, (used - floor(f_files * 0.5))::BIGINT AS amount FROM (SELECT ostidx AS ost, count(*) AS used, 2 * max(stripe_index) + count(*) + count(*) % 7 * 20 AS f_files FROM stripe_items GROUP BY 1) WHERE used >= 0.8 * f_files", ENTRIES, STRIPES))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    used = K.stripe_items(spark, sf).groupBy(F.col("ostidx").alias("ost")).agg(F.count(F.lit(1)).alias("n"), F.max("stripe_index").alias("top"))
+    capacity = used.withColumn("f_files", 2 * F.col("top") + F.col("n") + F.col("n") % 7 * 20).withColumn("f_ffree", F.col("f_files") - F.col("n"))
+    return P.inode_trigger(capacity, 80, 50, percent=True).select("ost", "used_inodes", "amount")
