@@ -172,5 +172,5 @@ def action(policy: Policy, default: str, rule: str = "rule") -> Column:
 def inode_trigger(capacity: DataFrame, high: float, low: float, percent: bool = False) -> DataFrame:
     """Targets whose used inodes are at or above ``high`` (a count or a percentage), with how many to free down to ``low``."""
     used = F.col("f_files") - F.col("f_ffree")
-    of = F.col("f_files") / 100 if percent else F.lit(1)
-    return capacity.withColumn("used_inodes", used).filter(used >= high * of).withColumn("amount", (used - F.floor(low * of)).cast("long"))
+    most, least = [F.col("f_files") * x / 100 if percent else F.lit(x) for x in (high, low)]
+    return capacity.withColumn("used_inodes", used).filter(used >= most).withColumn("amount", (used - F.floor(least)).cast("long"))

@@ -668,9 +668,9 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return both.select("id", "size", "name").orderBy("id", F.asc_nulls_first("name")).offset(100).limit(50)
 
 
-@on_entries("e17_owner_shares", "SELECT uid, sum(size)::BIGINT AS size, count(*) AS count FROM entries GROUP BY uid HAVING count(*) BETWEEN 5 AND 40")
+@on_entries("e17_owner_shares", "SELECT uid, sum(size)::BIGINT AS size, count(*) AS count FROM entries GROUP BY uid HAVING count(*) BETWEEN 5 AND 300")
 def _(e: DataFrame) -> DataFrame:
-    return C.roll_up(C.build(e), ["uid"]).filter(F.col("count").between(5, 40)).select("uid", "size", "count")
+    return C.roll_up(C.build(e), ["uid"]).filter(F.col("count").between(5, 300)).select("uid", "size", "count")
 
 
 @on_entries("g06_due_tombstones", f"SELECT id, size, {NOW} - num % 100 AS rm_time FROM entries WHERE status = 'released' AND num % 100 >= 60")
