@@ -7,8 +7,14 @@ characters less with the substrings that could match (multi-match-aware windows)
 before anything is joined; candidates must also agree in a sketch of character-pair parities, which each edit changes
 by four bits at most, so no link is lost; the rest is verified by banded bit-parallel edit distance on the lines.
 
+Lines from ``LONG`` characters may differ by more: one edit for every ``PER_EDIT`` characters of the longer one
+(``allowed``). Their candidates beyond ``EDITS`` come from MinHash over all substrings of ``GRAM`` characters: two
+lines meet if two neighbouring ones of ``PLACES`` minima agree. This part is likely to find a link, not certain: edits in a
+few words leave most substrings alone, single edits spread evenly over a line leave the fewest.
+
 A line goes if it occurred before (documents in order of id, then text hash; lines in order), or if an earlier first
-occurrence of another line is within ``EDITS`` edits. Documents keep their row even if no line is left.
+occurrence of another line is linked to it. Documents keep their row even if no line is left. A passage of a longer
+line is not a line of its own and stays.
 
 Exact copies are told by 128 bits of hash, candidates by 64 of them (texts are compared before a link counts).
 
@@ -33,6 +39,8 @@ from .arrow_text import U64, Hasher, mix, slices
 from .spark_io import materialize
 
 EDITS = 2
+LONG, PER_EDIT = 80, 20
+GRAM, PLACES = 12, 20
 MIN_CHARS = 16
 #: Lines that a task remembers so as not to send them again; beyond it starts anew.
 REMEMBERED = 300_000
@@ -43,9 +51,14 @@ _BLANK = " \t\r\v\f"
 # ---- edit distance ----
 
 
+def allowed(length: int) -> int:
+    """Edits that may lie between two lines, the longer one of ``length``."""
+    return length // PER_EDIT if length >= LONG else EDITS
+
+
 def within(a: str, b: str, edits: int) -> bool:
-    """Whether ``a`` and ``b`` are at most ``edits`` (under 32) edits apart. Only the diagonals within ``edits`` of the
-    main one are kept, as bits of one word: vertical steps of +1 and -1 along the band."""
+    """Whether ``a`` and ``b`` are at most ``edits`` edits apart. Only the diagonals within ``edits`` of the main one are
+    kept, as bits of one number: vertical steps of +1 and -1 along the band."""
     if a == b:
         return True
     if len(a) < len(b):
@@ -127,6 +140,24 @@ def sketches(lines: list[str]) -> np.ndarray:
     return np.bitwise_xor.reduceat(bits, ends - size)
 
 
+def bands(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Line number and key of every pair of neighbouring minima, of lines that may be in a link of over ``EDITS`` edits
+    (the longer line has ``LONG`` characters or more, the shorter one that less its edits)."""
+    size = np.array([len(x) for x in lines], np.int64)
+    own = np.flatnonzero(size + size // (PER_EDIT - 1) + 1 >= LONG)
+    if not len(own):
+        return own, np.zeros(0, U64)
+    codes = np.frombuffer("".join([lines[i] for i in own]).encode("utf-32-le"), np.uint32)
+    grams = size[own] - GRAM + 1
+    first = np.cumsum(grams) - grams
+    at = np.arange(grams.sum()) + np.repeat(np.arange(len(own)) * (GRAM - 1), grams)
+    h = mix(Hasher(codes)(at, at + GRAM))
+    odd = mix(np.arange(1, PLACES + 1, dtype=U64)) | U64(1)
+    least = np.stack([np.minimum.reduceat(h * m, first) for m in odd])
+    key = mix(mix(least) ^ np.roll(least, -1, axis=0) ^ odd[:, None])
+    return np.tile(own, PLACES), key.ravel()
+
+
 def _probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
     for batch in slices(batches, "text"):
@@ -145,7 +176,11 @@ def _probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if lines:
             who, key, index = keys(lines)
             sketch = sketches(lines)[who] | index.astype(U64)
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (key, np.array(ids, U64)[who], sketch)], names=["key", "line", "sketch"])
+            long, band = bands(lines)
+            size = np.array([len(x) for x in lines], np.int64)
+            # Rows of bands have the line's length instead of a sketch.
+            rows = (np.concatenate([key, band]), np.array(ids, U64)[np.concatenate([who, long])], np.concatenate([sketch, np.ones(len(long), U64)]), np.concatenate([np.zeros(len(who), np.int64), size[long]]))
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in rows], names=["key", "line", "sketch", "size"])
 
 
 # ---- the join ----
@@ -160,18 +195,20 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 @F.pandas_udf(T.BooleanType())
 def _near(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([within(x, y, EDITS) for x, y in zip(a, b, strict=True)], dtype=bool)
+    return pd.Series([within(x, y, allowed(max(len(x), len(y)))) for x, y in zip(a, b, strict=True)], dtype=bool)
 
 
 def links(docs: DataFrame) -> DataFrame:
-    """a, b: 64-bit hashes of different lines within ``EDITS`` edits of each other, each pair once."""
-    probes = docs.select("text").mapInArrow(_probes, "key long, line long, sketch long")
+    """a, b: 64-bit hashes of different lines within ``allowed`` edits of each other, each pair once."""
+    probes = docs.select("text").mapInArrow(_probes, "key long, line long, sketch long, size long")
     of_key = Window.partitionBy("key")
     shared = probes.withColumns({"least": F.min("line").over(of_key), "most": F.max("line").over(of_key)}).filter("least <> most")
-    shared = materialize(shared.select("key", "line", "sketch").distinct())
-    entry = shared.filter(F.col("sketch").bitwiseAND(1) == 1).select(F.col("key").alias("k"), F.col("line").alias("a"), F.col("sketch").alias("s"))
+    shared = materialize(shared.select("key", "line", "sketch", "size").distinct())
+    entry = shared.filter(F.col("sketch").bitwiseAND(1) == 1).select(F.col("key").alias("k"), F.col("line").alias("a"), F.col("sketch").alias("s"), F.col("size").alias("n"))
     apart = F.bit_count(F.shiftrightunsigned("s", 1).bitwiseXOR(F.shiftrightunsigned("sketch", 1)))
-    met = shared.join(entry, (F.col("key") == F.col("k")) & (F.col("line") != F.col("a")) & (apart <= 4 * EDITS))
+    alike = (F.col("size") == 0) & (F.col("n") == 0) & (apart <= 4 * EDITS)
+    alike |= (F.col("size") > 0) & (F.col("n") > 0) & (F.abs(F.col("size") - F.col("n")) * PER_EDIT <= F.greatest("size", "n"))
+    met = shared.join(entry, (F.col("key") == F.col("k")) & (F.col("line") != F.col("a")) & alike)
     pairs = materialize(met.select(F.least("a", "line").alias("a"), F.greatest("a", "line").alias("b")).distinct())
     # The lines' texts: only lines of wanted hash buckets (a broadcast of at most FILTER_BUCKETS numbers) are moved.
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BUCKETS)).cast("int")

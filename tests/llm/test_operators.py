@@ -189,6 +189,28 @@ def test_near_lines_all_found(spark):
     assert removed == {j for j, b in enumerate(lines) if any(distance(a, b) <= line_dedup.EDITS for a in lines[:j])}
 
 
+def test_near_long_lines(spark):
+    """Lines with one to six changed words (up to over 5% of the length) against brute force."""
+    r = random.Random(21)
+    vocabulary = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 8))) for _ in range(300)]
+    lines = []
+    for _ in range(40):
+        words = [r.choice(vocabulary) for _ in range(r.randint(12, 120))]
+        lines.append(" ".join(words))
+        for _ in range(2):
+            other = list(words)
+            for k in r.sample(range(len(words)), r.randint(1, 6)):
+                other[k] = r.choice(vocabulary)
+            lines.append(" ".join(other))
+    lines = list(dict.fromkeys(lines))
+    most = lambda a, b: n // 20 if (n := max(len(a), len(b))) >= 80 else 2
+    near = {(i, j) for j, b in enumerate(lines) for i, a in enumerate(lines[:j]) if line_dedup.within(a, b, most(a, b))}
+    assert all(distance(lines[i], lines[j]) <= most(lines[i], lines[j]) for i, j in sorted(near)[:30])
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    removed = {x["doc_id"] for x in line_dedup.apply(docs).filter("n_removed > 0").collect()}
+    assert len(near) > 40 and removed == {j for _, j in near}
+
+
 def test_bpe_as_the_other_library(spark, edge):
     import public_tokenizers as P
     import tiktoken
