@@ -293,7 +293,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             found = found.join(tried.union(tried.select("b", "a")), ["a", "b"], "left_anti")
         pairs = materialize(found.select("a", "b"))
         if pairs.isEmpty():
-            break
+            # No new leader to try: the last step still compares what lies in different classes of one bucket.
+            continue
         verified = _verified(pairs, nodes, docs, threshold)
         tried = pairs if tried is None else tried.union(pairs)
         links = verified if links is None else links.union(verified)

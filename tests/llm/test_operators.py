@@ -114,6 +114,20 @@ def test_classes_against_all_pairs(spark):
     assert got == want
 
 
+def test_near_copies_around_a_failing_hub(spark):
+    """Two near copies whose popular leader is similar to neither: no leader is left to try after the first turn."""
+    hub = [f"h{k}" for k in range(100)]
+    one = hub[:83] + [f"x{k}" for k in range(17)]
+    other = one[:92] + [f"y{k}" for k in range(8)]
+    crowd = [hub[:at] + [f"z{at}n{k}" for k in range(13)] + hub[at + 13 :] for at in range(6, 66, 3)]
+    texts = [" ".join(x) for x in [hub, one, other, *crowd]]
+    similar = lambda a, b: sum((bag(a) & bag(b)).values()) / sum((bag(a) | bag(b)).values())
+    assert similar(texts[1], texts[2]) > 0.8 > max(similar(texts[0], x) for x in texts[1:])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: x["class_id"] for x in bag_minhash.apply(docs).collect()}
+    assert got[1] == got[2] == 1 and got[0] == 0
+
+
 def test_prefix_filter_loses_no_link(spark):
     """Texts around one passage, some with repeated parts, all in one bucket: every link between classes is sent."""
     r = random.Random(11)
