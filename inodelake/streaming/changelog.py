@@ -1,12 +1,16 @@
 """Change records: compaction of redundant records, cancellation, rename expansion, counters, and a streaming form.
 
 Compaction is an ordered fold over the pending records of one id: a dropped record no longer hides later ones, which no
-window expresses, so it runs as a grouped function on records sorted by index.
+window expresses. Each reader (mdt) has one queue for all ids, so its records run through one task, sorted by index and
+in batches; the queue is all that is kept.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections import defaultdict
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,15 +37,46 @@ def fold(kinds: list[str]) -> list[int]:
 
 
 def compact(records: DataFrame, batch: int = 1000) -> DataFrame:
-    """The records that stay. Records queue in batches of ``batch`` indexes (the delay queue's size), and a fold sees
-    one id's records of one batch, so a hot id never has more than ``batch`` of them in one group."""
+    """The records that stay. A reader's queue is cut to fewer than ``batch`` records before each new one by pushing the
+    oldest out; a record is compared with those of its id that are still queued. The queue's age limit (clock time) is
+    left out."""
     real = records.filter(~F.col("type").isin("MARK", "IOCTL"))
 
-    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("idx")
-        return rows.iloc[fold(rows["type"].tolist())]
-
-    return real.withColumn("queue_no", F.floor(F.col("idx") / batch).cast("long")).groupBy("tfid", "queue_no").applyInPandas(one, real.withColumn("queue_no", F.lit(0).cast("long")).schema).drop("queue_no")
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queue: dict[int, dict] = {}
+        pending: dict = defaultdict(list)
+        reader, number, schema = None, 0, None
+        for part in batches:
+            schema, out = part.schema, []
+            for row in part.to_pylist():
+                if row["mdt"] != reader:
+                    out += queue.values()
+                    queue.clear()
+                    pending.clear()
+                    reader = row["mdt"]
+                while queue and len(queue) >= batch:
+                    oldest = queue.pop(next(iter(queue)))
+                    own = pending[oldest["tfid"]]
+                    own.pop(0)
+                    if not own:
+                        del pending[oldest["tfid"]]
+                    out.append(oldest)
+                own, kind = pending[row["tfid"]], row["type"]
+                if any(queue[k]["type"] in HIDDEN_BY.get(kind, ()) for k in own):
+                    continue
+                if own and queue[own[-1]]["type"] in UNDOES.get(kind, ()):
+                    del queue[own.pop()]
+                    if not own:
+                        del pending[row["tfid"]]
+                    continue
+                queue[number] = row
+                own.append(number)
+                number += 1
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+        if queue:
+            yield pa.RecordBatch.from_pylist(list(queue.values()), schema=schema)
+
+    return real.repartition("mdt").sortWithinPartitions("mdt", "idx").mapInArrow(read, real.schema)
 
 
 def expand_renames(records: DataFrame) -> DataFrame:

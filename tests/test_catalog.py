@@ -80,6 +80,26 @@ def test_compaction(spark):
     assert got == want
 
 
+def test_compaction_with_a_sliding_queue(spark):
+    rows = [(999, "CREATE", 1, "a"), (1001, "UNLINK", 1, "a"), (998, "CLOSE", 1, "b"), (1000, "CLOSE", 1, "b"), (997, "MARK", 1, "b"), (5, "CLOSE", 2, "b")]
+    records = spark.createDataFrame(rows, "idx long, type string, mdt long, tfid string")
+    assert {r["idx"] for r in L.compact(records).collect()} == {998, 5}
+    records = K.changelog(spark, SF)
+    queues, want = {}, set()
+    for r in sorted(records.collect(), key=lambda r: r["idx"]):
+        queue = queues.setdefault(r["mdt"], [])
+        while len(queue) >= 20:
+            want.add(queue.pop(0)["idx"])
+        own = [q for q in queue if q["tfid"] == r["tfid"]]
+        kept = plain_fold([q["type"] for q in own] + [r["type"]])
+        if len(kept) < len(own):
+            queue.remove(own[-1])
+        elif len(kept) > len(own):
+            queue.append(r)
+    want |= {r["idx"] for queue in queues.values() for r in queue}
+    assert {r["idx"] for r in L.compact(records, 20).collect()} == want
+
+
 def test_stream_equals_batch(spark, tmp_path):
     records = K.changelog(spark, SF)
     records.filter("idx < 1000").write.parquet(str(tmp_path / "in"))
