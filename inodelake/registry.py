@@ -254,7 +254,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 @query("d10_subtree", sql("SELECT id, min(level) AS level FROM walk GROUP BY id", ENTRIES, NAMES, "walk AS (SELECT '20' AS id, 0 AS level UNION SELECT n.id, w.level + 1 FROM walk w JOIN names n ON n.parent_id = w.id)"))
 def _(spark: SparkSession, sf: str) -> DataFrame:
     names = K.names(spark, sf)
-    return N.subtree_ids(names, names.filter("id = '20'").select("id"), levels=4)
+    return N.subtree_ids(names, names.filter("id = '20'").select("id"))
 
 
 @query("d14_replace_ids", sql("SELECT id, CASE WHEN parent_id LIKE '%40' THEN 'x' || parent_id ELSE parent_id END AS parent_id, name FROM names", ENTRIES, NAMES))

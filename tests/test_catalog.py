@@ -11,6 +11,7 @@ from inodelake import registry
 from inodelake.functions import expr as X
 from inodelake.functions import scalar as S
 from inodelake.operators import diff as D
+from inodelake.operators import namespace as N
 from inodelake.operators import policy as P
 from inodelake.plans import cube as C
 from inodelake.sources import catalog as K
@@ -100,6 +101,15 @@ def test_compaction_with_a_sliding_queue(spark):
     assert {r["idx"] for r in L.compact(records, 20).collect()} == want
 
 
+def test_deep_trees(spark):
+    """A chain of 21 directories: no level is left out, and every path starts at the root."""
+    names = spark.createDataFrame([(f"i{k}", f"i{k - 1}" if k else "top", f"n{k}") for k in range(21)], "id string, parent_id string, name string")
+    levels = {r["id"]: r["level"] for r in N.subtree_ids(names, spark.createDataFrame([("i0",)], "id string")).collect()}
+    assert levels == {f"i{k}": k for k in range(21)}
+    paths = {r["id"]: r["path"] for r in N.all_paths(names, "top").collect()}
+    assert paths == {f"i{k}": "/" + "/".join(f"n{j}" for j in range(k + 1)) for k in range(21)}
+
+
 def test_stream_equals_batch(spark, tmp_path):
     records = K.changelog(spark, SF)
     records.filter("idx < 1000").write.parquet(str(tmp_path / "in"))
