@@ -267,8 +267,9 @@ def _across(placed: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: flo
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, digest, class_id, n_links, n_texts: one row for each row of ``docs``. n_links counts the verified links
-    of the row's text, n_texts the different texts of its class."""
+    """doc_id, digest, class_id, n_links, n_texts: one row for each row of ``docs``. n_links counts those links
+    of the row's text that the search verified, not all similar texts (it depends on the order of leaders); n_texts
+    counts the different texts of its class."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = materialize(docs.select("doc_id", "text", digest().alias("digest")).mapInArrow(_signed, f"doc_id {kind}, digest binary, bands array<bigint>"))
     ids = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
