@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..llm.spark_io import materialize
+from ..storage import materialize
 
 MAX_DEPTH = 64
 
