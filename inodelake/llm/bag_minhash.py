@@ -8,10 +8,9 @@ matter once all places are filled, so about M (ln M + 3) points are drawn whatev
 
 Links. Equal texts are one node (128-bit digest). Nodes that share a band of ``ROWS`` places are candidates, and each
 link is verified on the multisets of shingles themselves: sum of least counts / sum of largest counts >= threshold.
-Inside a bucket no pairs are listed at first: ``ROUNDS`` times, each node is verified against one leader of its buckets
-that lies in another class (the node that meets most others, as an original meets its variants). Nodes that then still
-lie in different classes of one bucket are joined by an exact prefix filter on their rarest shingles, so that a crowd
-of texts around one common passage is not paired with itself.
+Inside a bucket no pairs are listed at first: each node is verified against leaders of its buckets (``near_graph``).
+Nodes that then still lie in different classes of one bucket are joined by an exact prefix filter on their rarest
+shingles, so that a crowd of texts around one common passage is not paired with itself.
 
 Edge cases: a text without words (null, empty) is in a class of its own node and is never a duplicate; a text of one
 to four words has one shingle; repeated rows and exact copies share a class; an empty table gives an empty result;
@@ -29,18 +28,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import near_graph
 from .arrow_text import U64, Hasher, mix, shingles, slices, unit, utf8, words
-from .spark_io import materialize
+from .spark_io import materialize, packed, unpacked
 
 M = 128
 BANDS, ROWS = 21, 6
 THRESHOLD = 0.8
-ROUNDS = 2
-#: Size of the shingle frequency table (8 MB, whatever the input) and the nodes of a shingle for each of its keys.
+#: Size of the shingle frequency table (8 MB, whatever the input).
 CELLS = 1 << 20
-SALT_EVERY = 256
-#: Pairs of a node for each of the keys that its pairs are dealt over when their texts are fetched.
-PAIRS_EVERY = 64
 
 
 def _counted(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,66 +133,9 @@ def _texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return texts.dropDuplicates(["id"]).select("id", "text")
 
 
-def _with_text(pairs: DataFrame, texts: DataFrame, end: str) -> DataFrame:
-    """``pairs`` with the text of the node in column ``end``. A node of many pairs is dealt over several keys, one for
-    about ``PAIRS_EVERY`` of them, so that no task gets all pairs of a popular node. How many keys a node has reaches
-    its pairs by a join that is dealt over ``PAIRS_EVERY`` parts as well."""
-    parts = pairs.groupBy(end).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > PAIRS_EVERY)
-    parts = materialize(parts.select(end, F.ceil(F.col("n") / PAIRS_EVERY).cast("int").alias("parts")))
-    spread = parts.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(PAIRS_EVERY - 1))))
-    draw = F.xxhash64("a", "b")
-    dealt = pairs.withColumn("deal", F.pmod(draw, F.lit(PAIRS_EVERY)).cast("int")).join(spread, [end, "deal"], "left")
-    dealt = dealt.withColumn("part", F.pmod(F.shiftright(draw, 8), F.coalesce("parts", F.lit(1))).cast("int")).drop("deal", "parts")
-    copies = texts.select(F.col("id").alias(end), F.col("text").alias(f"text_{end}")).join(parts, end, "left")
-    copies = copies.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-    return dealt.join(copies, [end, "part"]).drop("part")
-
-
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose texts overlap enough. Texts are fetched once for each node that is in a pair."""
-    texts = materialize(_texts(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), nodes, docs))
-    both = _with_text(_with_text(pairs, texts, "a"), texts, "b")
-    return materialize(both.filter(_similar("text_a", "text_b", F.lit(threshold))).select("a", "b"))
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """id, comp for every end of ``edges`` (a, b): comp is the least id reachable. Alternates large-star and small-star
-    steps, which keep the graph's size, until nothing changes; each round is written out."""
-    edges = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
-    while True:
-        both = edges.union(edges.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("m"))
-        large = both.join(least, both["a"] == least["v"]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.filter("a <> b").distinct()
-        lows = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(lows, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(lows.select("a", F.col("m").alias("b")))
-        edges = materialize(small.filter("a <> b").distinct())
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            # At rest every edge leads to the root of its star.
-            return edges.select(F.col("a").alias("id"), F.col("b").alias("comp")).union(edges.select(F.col("b").alias("id"), F.col("b").alias("comp")).distinct())
-        before = now
-
-
 def _buckets(nodes: DataFrame) -> DataFrame:
-    each = nodes.select("id", "comp", "popular", F.posexplode("bands").alias("band", "h"))
-    return each.select(F.xxhash64("band", "h").alias("bucket"), "id", "comp", "popular")
-
-
-def _with_leaders(nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b): every node with the most popular one of another class that leads one of its buckets. A bucket has
-    two leaders, the most popular node of all and that of the other classes, so this makes one pair a node at most."""
-    rows = _buckets(nodes)
-    best = F.struct("popular", -F.col("id"), "id", "comp")
-    first = rows.groupBy("bucket").agg(F.max(F.struct(F.col("popular"), -F.col("id"), F.col("id").alias("lead"), F.col("comp").alias("lead_comp"))).alias("x"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-    first = first.filter("low <> high").select("bucket", F.col("x.lead").alias("l1"), F.col("x.lead_comp").alias("c1"), F.col("x.popular").alias("p1"))
-    mixed = rows.join(first, "bucket")
-    second = mixed.filter("comp <> c1").groupBy("bucket").agg(F.max(best).alias("y")).select("bucket", F.col("y.id").alias("l2"), F.col("y.popular").alias("p2"))
-    led = mixed.join(second, "bucket")
-    own = F.col("comp") == F.col("c1")
-    offers = led.select(F.col("id").alias("a"), F.when(own, F.col("l2")).otherwise(F.col("l1")).alias("b"), F.when(own, F.col("p2")).otherwise(F.col("p1")).alias("p"))
-    return offers.groupBy("a").agg(F.max_by("b", F.struct("p", "b")).alias("b"))
+    each = nodes.select("id", F.posexplode("bands").alias("band", "h"))
+    return each.select(F.xxhash64("band", "h").alias("bucket"), "id")
 
 
 def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +159,7 @@ def _prefixes(frequency, threshold: float):
             r, h = np.repeat(r, c), np.repeat(h, c)
             f = often[(h & U64(CELLS - 1)).astype(np.int64)]
             order = np.lexsort((k, h, f, r))
-            r, f, token = r[order], f[order], mix(h[order] + mix(k[order] + U64(0xD1CE)))
+            r, token = r[order], mix(h[order] + mix(k[order] + U64(0xD1CE)))
             size = np.bincount(r, minlength=batch.num_rows)
             at = np.arange(len(r)) - (np.cumsum(size) - size)[r]
             n = size[r]
@@ -229,29 +168,23 @@ def _prefixes(frequency, threshold: float):
             long = at <= n - np.ceil(threshold * n - 1e-6)
             ids = batch.column("id").to_numpy().astype(np.int64)[r]
             comps = batch.column("comp").to_numpy().astype(np.int64)[r]
-            parts = 1 + f // SALT_EVERY
-            i = np.repeat(np.flatnonzero(short), parts[short])
-            copy = np.arange(len(i)) - np.repeat(np.cumsum(parts[short]) - parts[short], parts[short])
-            j = np.flatnonzero(long)
+            i, j = np.flatnonzero(short), np.flatnonzero(long)
             every = np.concatenate([i, j])
-            salt = np.concatenate([copy.astype(U64), mix(ids[j].astype(U64)) % parts[j].astype(U64)])
-            key = mix(token[every] + salt * U64(0x9E3779B97F4A7C15)).view(np.int64)
+            key = token[every].view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.arange(len(every)) < len(i)), pa.array(ids[every]), pa.array(comps[every]), pa.array(at[every].astype(np.int64)), pa.array(n[every].astype(np.int64))], names=["key", "short", "id", "comp", "at", "n"])
 
     return send
 
 
-def _across(placed: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+def _across(rows: DataFrame, labels: DataFrame | None, nodes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of nodes of different classes that may still be links, of all nodes in a bucket of several classes.
 
     A prefix filter finds them: shingles are ordered by how many of these nodes hold them (in a table of ``CELLS``
     counts, the one thing that is broadcast), and a link must share one of the rarest, about a ninth of the shorter
     text's and a fifth of the longer's, early enough for what follows to reach the threshold. So texts that have a
-    common passage alone meet only if little else stands in one of them. No link is lost, whatever the counts are.
-    Tokens of many nodes are dealt over several keys: the longer texts by id, the few shorter ones to each."""
-    rows = _buckets(placed)
-    several = rows.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
-    wanted = materialize(rows.join(several, "bucket", "left_semi").select("id", "comp").distinct())
+    common passage alone meet only if little else stands in one of them. No link is lost, whatever the counts are."""
+    own = near_graph.placed(rows, labels)
+    wanted = materialize(own.join(near_graph.mixed(own), "bucket", "left_semi").select("id", "comp").distinct())
     texts = materialize(_texts(wanted, nodes, docs).join(wanted, "id"))
     cells = texts.select("text").mapInArrow(_tallied, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros(CELLS, np.int64)
@@ -266,56 +199,43 @@ def _across(placed: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: flo
     return met.select("a", "b").distinct()
 
 
+def _linked(rows: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame | None:
+    """id, comp of the nodes (of buckets ``rows``) that have a link."""
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        texts = materialize(_texts(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), nodes, docs))
+        both = near_graph.with_text(near_graph.with_text(pairs, texts, "a"), texts, "b")
+        return both.filter(_similar("text_a", "text_b", F.lit(threshold)))
+
+    return near_graph.classes(rows, similar, lambda now: _across(rows, now, nodes, docs, threshold))
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, digest, class_id, n_links, n_texts: one row for each row of ``docs``. n_links counts those links
-    of the row's text that the search verified, not all similar texts (it depends on the order of leaders); n_texts
-    counts the different texts of its class."""
+    """doc_id, digest, class_id, class_key, n_texts, has_words: one row for each row of ``docs``; n_texts counts the
+    different texts of its class."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = materialize(docs.select("doc_id", "text", digest().alias("digest")).mapInArrow(_signed, f"doc_id {kind}, digest binary, bands array<bigint>"))
-    ids = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    one = rows.dropDuplicates(["digest"]).select("digest", "bands")
-    nodes = materialize(one.join(ids, "digest").withColumn("id", F.monotonically_increasing_id()))
-    has_bands = nodes.filter(F.size("bands") > 0)
-
-    # How many nodes a node meets in its buckets: the text that others were made from meets the most of them.
-    buckets = _buckets(has_bands.select("id", "bands", F.lit(0).alias("popular"), F.col("id").alias("comp"))).select("bucket", "id")
-    crowds = buckets.join(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "bucket")
-    popular = crowds.groupBy("id").agg(F.sum("n").alias("popular"))
+    # Equal texts have equal bands. The digest of the empty text may be that of very many rows; they need no node.
+    one = rows.filter(F.size("bands") > 0).groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
+    nodes = materialize(one.withColumn("id", F.monotonically_increasing_id()))
     # Nodes that meet nobody are out from here on.
-    met = materialize(has_bands.select("id", "bands").join(popular, "id"))
-    tried = links = None
-    for turn in range(ROUNDS + 1):
-        placed = met.withColumn("comp", F.col("id")) if links is None else met.join(components(links), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        if turn < ROUNDS:
-            found = _with_leaders(placed)
-        else:
-            found = _across(placed, nodes, docs, threshold)
-        if tried is not None:
-            found = found.join(tried.union(tried.select("b", "a")), ["a", "b"], "left_anti")
-        pairs = materialize(found.select("a", "b"))
-        if pairs.isEmpty():
-            # No new leader to try: the last step still compares what lies in different classes of one bucket.
-            continue
-        verified = _verified(pairs, nodes, docs, threshold)
-        tried = pairs if tried is None else tried.union(pairs)
-        links = verified if links is None else links.union(verified)
-    if links is None:
-        links = pairs
-    comp = materialize(components(links))
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
-    placed = nodes.select("id", "digest", "doc_id").join(comp, "id", "left").join(degree, "id", "left")
-    placed = placed.select("digest", "doc_id", F.coalesce("comp", "id").alias("comp"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    heads = placed.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.min("digest").alias("class_key"), F.count(F.lit(1)).alias("n_texts"))
-    named = placed.join(heads, "comp").select("digest", "class_id", "class_key", "n_links", "n_texts")
-    wordy = F.col("has_words")
-    return rows.select("doc_id", "digest", (F.size("bands") > 0).alias("has_words")).join(named, "digest").select(
-        "doc_id", "digest", F.when(wordy, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), "class_key",
-        "n_links", F.when(wordy, F.col("n_texts")).otherwise(1).alias("n_texts"), wordy,
-    )
+    comp = _linked(materialize(near_graph.popular(_buckets(nodes))), nodes, docs, threshold)
+    wordy = F.size("bands") > 0
+    if comp is None:
+        placed = nodes.select("digest", F.col("doc_id").alias("class_id"), F.col("digest").alias("class_key"), F.lit(1).cast("long").alias("n_texts"))
+    else:
+        own = near_graph.placed(nodes.select("id", "digest", "doc_id"), comp)
+        heads = own.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.min("digest").alias("class_key"), F.count(F.lit(1)).alias("n_texts"))
+        placed = own.select("digest", "comp").join(heads, "comp").drop("comp")
+    named = placed.withColumnRenamed("digest", "n_digest")
+    bare = rows.filter(~wordy).select("doc_id", "digest", F.col("doc_id").alias("class_id"), F.col("digest").alias("class_key"), F.lit(1).cast("long").alias("n_texts"), F.lit(False).alias("has_words"))
+    found = rows.filter(wordy).join(named, F.col("digest") == F.col("n_digest")).select("doc_id", "digest", "class_id", "class_key", "n_texts", F.lit(True).alias("has_words"))
+    return found.unionByName(bare)
 
 
 def apply(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    return classes(docs, threshold).select("doc_id", "class_id", "n_links", "n_texts")
+    """doc_id, class_id, n_texts, one row for each row of ``docs``."""
+    return classes(docs, threshold).select("doc_id", "class_id", "n_texts")
 
 
 def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -326,9 +246,9 @@ def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     first = heads.groupBy("class_key").agg(F.min("digest").alias("k_digest"))
     keep = heads.join(first, (heads["class_key"] == first["class_key"]) & (heads["digest"] == first["k_digest"]))
     keep = keep.groupBy(F.col("doc_id").alias("k_doc"), "k_digest").agg(F.count(F.lit(1)).alias("k_n"))
-    own = docs.withColumn("k_own", digest())
-    hit = own.join(keep, own["doc_id"].eqNullSafe(F.col("k_doc")) & (own["k_own"] == F.col("k_digest")))
-    alone = hit.filter("k_n = 1").select(*docs.columns)
-    again = hit.filter("k_n > 1").dropDuplicates(["k_doc", "k_digest"]).select(*docs.columns)
+    rows = packed(docs, own_doc=F.col("doc_id"), own_digest=digest())
+    hit = rows.join(keep, rows["own_doc"].eqNullSafe(F.col("k_doc")) & (F.col("own_digest") == F.col("k_digest")))
+    alone = unpacked(hit.filter("k_n = 1"), docs.columns)
+    again = unpacked(hit.filter("k_n > 1").dropDuplicates(["k_doc", "k_digest"]), docs.columns)
     bare = docs.filter(~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
     return alone.unionByName(again).unionByName(bare)

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from inodelake.llm import bag_minhash, bpe, html_extract, line_dedup, media, mixing, quality_classifier, quality_rules, queries, toxicity, url_filter
+from inodelake.llm import bag_minhash, bpe, html_extract, line_dedup, media, mixing, near_graph, quality_classifier, quality_rules, queries, toxicity, url_filter
 from inodelake.llm.spark_io import table
 
 SF = "/root/testdata/sf0.001"
@@ -139,17 +139,36 @@ def test_prefix_filter_loses_no_link(spark):
         body = passage[: 120 - r.randint(0, 12)] + (passage[at : at + 15] if i % 3 == 0 else [])
         texts.append(" ".join(own + body if i % 2 else body + own))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
-    nodes = docs.select("doc_id", bag_minhash.digest().alias("digest"), F.col("doc_id").alias("id"), (F.col("doc_id") % 40).alias("comp"), F.lit(1).alias("popular"), F.array(F.lit(7).cast("long")).alias("bands"))
+    nodes = docs.select("doc_id", bag_minhash.digest().alias("digest"), F.col("doc_id").alias("id"))
+    rows, labels = nodes.select(F.lit(7).cast("long").alias("bucket"), "id"), nodes.select("id", (F.col("id") % 40).alias("comp"))
     bags = [bag(t) for t in texts]
     links = {
         (i, j) for i in range(90) for j in range(i)
         if (i - j) % 40 and sum((bags[i] & bags[j]).values()) >= 0.8 * sum((bags[i] | bags[j]).values())
     }
-    for every in (256, 8):
-        bag_minhash.SALT_EVERY, before = every, bag_minhash.SALT_EVERY
-        sent = {(max(a, b), min(a, b)) for a, b in bag_minhash._across(nodes, nodes, docs, 0.8).collect()}
-        bag_minhash.SALT_EVERY = before
-        assert len(links) > 50 and links <= sent and len(sent) < 3 * len(links)
+    sent = {(max(a, b), min(a, b)) for a, b in bag_minhash._across(rows, labels, nodes, docs, 0.8).collect()}
+    assert len(links) > 50 and links <= sent and len(sent) < 3 * len(links)
+
+
+def test_components(spark):
+    r = random.Random(4)
+    edges = [(r.randint(0, 400), r.randint(0, 400)) for _ in range(260)] + [(1000, k) for k in range(1001, 1100)] + [(2000 + k, 2001 + k) for k in range(40)]
+    parent = {x: x for e in edges for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        parent[y] = x
+    want = {x: find(x) for a, b in edges for x in (a, b) if a != b}
+    frame = lambda some: spark.createDataFrame(some, "a long, b long")
+    assert {x["id"]: x["comp"] for x in near_graph.components(frame(edges)).collect()} == want
+    in_parts = near_graph.merged(near_graph.merged(None, frame(edges[::2])), frame(edges[1::2]))
+    assert {x["id"]: x["comp"] for x in in_parts.collect()} == want
+    assert near_graph.components(frame([])).count() == 0
 
 
 def test_signatures_estimate_weighted_similarity():
@@ -191,38 +210,80 @@ def test_edit_distance_band():
         assert line_dedup.within(a, b, t) == (distance(a, b) <= t)
 
 
-def test_near_lines_all_found(spark):
-    r = random.Random(9)
-    lines = []
-    for _ in range(40):
-        base = "".join(r.choice("abcd ") for _ in range(r.randint(18, 60))).strip().ljust(18, "x")
-        lines += [base] + [edited(r, base, r.randint(1, 3)) for _ in range(3)]
-    lines = [x.strip() for x in dict.fromkeys(lines) if len(x.strip()) >= line_dedup.MIN_CHARS]
-    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
-    removed = {r["doc_id"] for r in line_dedup.apply(docs).filter("n_removed > 0").collect()}
-    assert removed == {j for j, b in enumerate(lines) if any(distance(a, b) <= line_dedup.EDITS for a in lines[:j])}
+def lines_that_stay(rows):
+    """Places (document, line) of the first line of every class, by comparing all pairs of different lines."""
+    first = {}
+    for i, text in sorted(rows):
+        for k, line in enumerate((text or "").split("\n")):
+            if s := line.strip(" \t\r\v\f"):
+                first.setdefault(s, (i, k))
+    own = [(re.findall(r"[^\x20\x09-\x0D]+", s), place) for s, place in first.items()]
+    bags = [Counter(w) for w, _ in own]
+    parent = list(range(len(own)))
 
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, (a, _) in enumerate(own):
+        for j in range(i):
+            b = own[j][0]
+            n = max(len(a), len(b))
+            k = 3 if n >= 100 else 2 if n >= 30 else 1 if n >= 10 else 0
+            if k and n - min(len(a), len(b)) <= k and (bags[i] & bags[j]).total() >= n - k and distance(a, b) <= k:
+                parent[find(i)] = find(j)
+    groups = {}
+    for i, (_, place) in enumerate(own):
+        groups.setdefault(find(i), []).append(place)
+    return {min(g) for g in groups.values()}
 
-def test_near_long_lines(spark):
-    """Lines with one to six changed words (up to over 5% of the length) against brute force."""
+
+def cleaned_by_hand(rows):
+    keep = lines_that_stay(rows)
+    return {i: "\n".join(x for k, x in enumerate((t or "").split("\n")) if not x.strip(" \t\r\v\f") or (i, k) in keep) for i, t in rows}
+
+
+@pytest.mark.parametrize("split", [4096, 2])
+def test_near_lines_against_all_pairs(spark, monkeypatch, split):
+    """Lines of 1 to 130 words with up to 5 words put in, left out, replaced or moved, a crowd around one line, lines that
+    share a passage only, and lines that differ in white space; with keys of more than ``split`` lines cut by sketches."""
+    monkeypatch.setattr(line_dedup, "SPLIT", split)
     r = random.Random(21)
-    vocabulary = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 8))) for _ in range(300)]
+    vocabulary = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(1, 8))) for _ in range(300)]
+
+    def changed(words, n):
+        out = list(words)
+        for _ in range(n):
+            i, kind = r.randrange(len(out) + 1), r.randint(0, 3)
+            if kind == 0:
+                out.insert(i, r.choice(vocabulary))
+            elif i < len(out):
+                out[i : i + 1] = [] if kind == 1 else [r.choice(vocabulary)]
+        return out
+
     lines = []
-    for _ in range(40):
-        words = [r.choice(vocabulary) for _ in range(r.randint(12, 120))]
-        lines.append(" ".join(words))
-        for _ in range(2):
-            other = list(words)
-            for k in r.sample(range(len(words)), r.randint(1, 6)):
-                other[k] = r.choice(vocabulary)
-            lines.append(" ".join(other))
-    lines = list(dict.fromkeys(lines))
-    most = lambda a, b: n // 20 if (n := max(len(a), len(b))) >= 80 else 2
-    near = {(i, j) for j, b in enumerate(lines) for i, a in enumerate(lines[:j]) if line_dedup.within(a, b, most(a, b))}
-    assert all(distance(lines[i], lines[j]) <= most(lines[i], lines[j]) for i, j in sorted(near)[:30])
-    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
-    removed = {x["doc_id"] for x in line_dedup.apply(docs).filter("n_removed > 0").collect()}
-    assert len(near) > 40 and removed == {j for _, j in near}
+    for n in [*range(1, 14), *range(26, 34), *range(96, 104), 130]:
+        words = [r.choice(vocabulary) for _ in range(n)]
+        lines += [words, *[changed(words, r.randint(1, 5)) for _ in range(4)]]
+    crowd, passage = [r.choice(vocabulary) for _ in range(40)], [r.choice(vocabulary) for _ in range(30)]
+    lines += [changed(crowd, r.randint(1, 3)) for _ in range(40)] + [crowd] + [changed(crowd, 3) for _ in range(20)]
+    lines += [passage + [r.choice(vocabulary) for _ in range(r.randint(3, 10))] for _ in range(30)]
+    texts = [" ".join(w) for w in lines]
+    r.shuffle(texts)
+    texts += [texts[0].replace(" ", "  "), "\u00e9\u00e8 \u65e5\u672c " * 8, "\u00e9\u00e8 \u65e5\u672c " * 7 + "\u00e9\u00e8 \u65e5", ""]
+    rows = [(i, "\n".join(texts[k : k + 3])) for i, k in enumerate(range(0, len(texts), 3))]
+    got = {x["doc_id"]: x for x in line_dedup.apply(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert {i: x["text"] for i, x in got.items()} == cleaned_by_hand(rows)
+    assert sum(x["n_near"] for x in got.values()) > 50
+    stays = lines_that_stay(rows)
+    assert all((x["of_doc_id"], x["of_line_no"]) in stays for row in got.values() for x in row["near"])
+
+
+def test_lines_of_documents(spark):
+    rows = [(x["doc_id"], x["text"]) for x in table(spark, SF, "documents").collect()]
+    got = {x["doc_id"]: x["text"] or "" for x in line_dedup.apply(table(spark, SF, "documents")).collect()}
+    assert got == cleaned_by_hand(rows)
 
 
 def test_bpe_as_the_other_library(spark, edge):

@@ -5,30 +5,10 @@ import re
 from collections import Counter
 
 import corpus_pipeline
-from inodelake.llm import bpe, line_dedup, mixing, toxicity
+from inodelake.llm import bpe, mixing, toxicity
 from inodelake.llm.spark_io import materialize, table
 
-from .test_operators import SF, bag, distance
-
-
-def lines_by_hand(rows):
-    first = {}
-    for i, text in sorted(rows):
-        for k, line in enumerate(text.split("\n")):
-            if len(s := line.strip(" \t\r\v\f")) >= line_dedup.MIN_CHARS:
-                first.setdefault(s, (i, k))
-    own = sorted(first, key=len)
-    near = lambda a, b: abs(len(a) - len(b)) <= 2 and ((Counter(a) - Counter(b)) + (Counter(b) - Counter(a))).total() <= 4 and distance(a, b) <= 2
-    gone = {max(a, b, key=first.get) for n, a in enumerate(own) for b in own[n + 1 :] if near(a, b)}
-    out = {}
-    for i, text in rows:
-        kept = []
-        for k, line in enumerate(text.split("\n")):
-            s = line.strip(" \t\r\v\f")
-            if len(s) < line_dedup.MIN_CHARS or s not in gone and first[s] == (i, k):
-                kept.append(line)
-        out[i] = "\n".join(kept)
-    return out
+from .test_operators import SF, bag, cleaned_by_hand
 
 
 def one_of_each(rows):
@@ -63,7 +43,7 @@ def test_stages_and_run(spark):
     pairs = lambda df: [(r["doc_id"], r["text"] or "") for r in df.select("doc_id", "text").collect()]
     flagged = {r["doc_id"] for r in toxicity.apply(docs, toxicity.fit(docs, table(spark, SF, "labels"))).filter("toxic = 1").collect()}
     assert {i for i, _ in pairs(civil)} == {i for i, _ in pairs(docs)} - flagged
-    assert dict(pairs(lined)) == lines_by_hand(pairs(civil))
+    assert dict(pairs(lined)) == cleaned_by_hand(pairs(civil))
     assert {i for i, _ in pairs(near)} == one_of_each(pairs(lined))
     want = Counter({r["doc_id"]: r["taken"] // r["size"] for r in mixing.apply(near).collect() if r["taken"]})
     assert Counter(i for i, _ in pairs(mixed)) == want
