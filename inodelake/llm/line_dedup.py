@@ -178,7 +178,8 @@ def sketches(word: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarra
 
 
 def _probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, line, known: one row for a key and batch, and a row without a key for each line that is known to share one."""
+    """key, line, state: one row for a key and batch (1 if several lines have it, else 0), and one for each line that is
+    known to share a key (2), under a key of its own."""
     for batch in slices(batches, "text"):
         lines = Lines(batch.column("text"))
         some = np.flatnonzero(lines.size >= EDITS[0][0] - EDITS[0][1])
@@ -191,7 +192,7 @@ def _probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = np.flatnonzero(np.diff(key, prepend=~key[:1]))
         shared = np.minimum.reduceat(own, head) != np.maximum.reduceat(own, head)
         found = np.unique(own[np.repeat(shared, np.diff(np.append(head, len(key))))])
-        columns = (np.concatenate([key[head].view(np.int64), np.zeros(len(found), np.int64)]), np.concatenate([own[head], found]).view(np.int64))
+        columns = (np.concatenate([key[head], found]).view(np.int64), np.concatenate([own[head], found]).view(np.int64))
         state = np.concatenate([shared.astype(np.int8), np.full(len(found), 2, np.int8)])
         yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1]), pa.array(state)], names=["key", "line", "state"])
 
@@ -267,16 +268,14 @@ def near_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
     the place of the class's first line."""
     probes = docs.select("text").mapInArrow(_probes, "key long, line long, state byte")
     of_key = Window.partitionBy("key")
-    open_ = probes.filter("state < 2").withColumns({"low": F.min("line").over(of_key), "high": F.max("line").over(of_key), "known": F.max("state").over(of_key)})
-    shared = open_.filter("low <> high OR known = 1").select("line")
-    known = probes.filter("state = 2").select("line")
-    return _linked(docs, lines, materialize(shared.union(known).distinct()))
+    met = probes.withColumns({"low": F.min("line").over(of_key), "high": F.max("line").over(of_key), "known": F.max("state").over(of_key)})
+    return _linked(docs, lines, materialize(met.filter("low <> high OR known > 0").select("line").distinct()))
 
 
 def _linked(docs: DataFrame, lines: DataFrame, wanted: DataFrame) -> DataFrame:
     nodes = materialize(lines.join(wanted, lines["h1"] == wanted["line"], "left_semi").withColumn("id", F.monotonically_increasing_id()))
     texts = materialize(_texts(docs, nodes))
-    keyed = materialize(texts.mapInArrow(_keyed, "bucket long, id long, entry boolean, probe boolean, sketch long, n int").distinct())
+    keyed = materialize(texts.mapInArrow(_keyed, "bucket long, id long, entry boolean, probe boolean, sketch long, n int"))
     crowds = materialize(near_graph.popular(keyed.select("bucket", "id").distinct()))
 
     def similar(pairs: DataFrame) -> DataFrame:
