@@ -1,8 +1,11 @@
 """Byte-level BPE over Arrow batches with the tokenizers library: encode, offsets, and decode through the byte table.
 
 The vocabulary file maps bytes to printable characters; ids are decoded by mapping each piece's characters back to
-bytes and joining, so characters split over several tokens come out whole. The vocabulary's path is a parameter and
-nothing is trained. Text that looks like a special token is encoded as ordinary text.
+bytes and joining, so characters split over several tokens come out whole. The vocabulary's path is a parameter, opened
+where the texts are; nothing is trained. Text that looks like a special token is encoded as ordinary text.
+
+Every match of the pattern is encoded for itself, so a worker keeps the ids of the matches it has met (``REMEMBERED`` of
+them; then it starts anew) and gives the library only the new ones, a batch at a time.
 
 Edge cases: null counts as the empty text (no ids, empty bytes); long texts are encoded whole; repeated rows give equal
 values; an empty table gives an empty result; columns other than ``doc_id`` and ``text`` are ignored.
@@ -11,6 +14,7 @@ values; an empty table gives an empty result; columns other than ``doc_id`` and
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,6 +25,8 @@ from pyspark.sql import DataFrame
 from .arrow_text import slices
 
 VOCABULARY = "byte_bpe_50k.json"
+#: Matches whose ids a worker keeps.
+REMEMBERED = 400_000
 
 
 def default_path() -> str:
@@ -42,6 +48,8 @@ class Codec:
     """One vocabulary: ids and byte offsets of texts, and bytes of ids."""
 
     def __init__(self, path: str) -> None:
+        import public_tokenizers
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -52,30 +60,52 @@ class Codec:
         self.pieces = [b""] * self.tokenizer.get_vocab_size()
         for piece, i in self.tokenizer.get_vocab().items():
             self.pieces[i] = bytes(table[c] for c in piece) if all(c in table for c in piece) else piece.encode()
+        self.sizes = np.array([len(p) for p in self.pieces], np.int64)
+        self.shown = [b"%d" % i for i in range(len(self.pieces))]
+        self.matches = regex.compile(public_tokenizers.PATTERN).findall
+        self.known: dict[str, list[int]] = {}
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        fast = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        return [e.ids for e in fast(texts, add_special_tokens=False)]
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        parts = [self.matches(t) for t in texts]
+        new = list({p for own in parts for p in own if p not in self.known})
+        if new:
+            fast = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+            self.known.update((p, e.ids) for p, e in zip(new, fast(new, add_special_tokens=False), strict=True))
+        known, out = self.known, []
+        for own in parts:
+            ids: list[int] = []
+            for p in own:
+                ids += known[p]
+            out.append(ids)
+        return out
 
     def offsets(self, ids: list[int]) -> np.ndarray:
         """Byte offsets at which each token starts, and the length of the whole."""
-        return np.concatenate([[0], np.cumsum([len(self.pieces[i]) for i in ids])]).astype(np.int64)
+        return np.concatenate([[0], np.cumsum(self.sizes[np.array(ids, np.int64)])]).astype(np.int64)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids))
 
+    def text_of(self, ids: list[int]) -> bytes:
+        """Decimal ids with one space between them."""
+        return b" ".join(map(self.shown.__getitem__, ids))
 
-@lru_cache(maxsize=2)
-def codec(path: str) -> Codec:
-    import os
 
+def split_characters(raw: bytes, offsets: np.ndarray) -> int:
+    """How many tokens start inside a character: at a continuation byte of UTF-8."""
+    return int((np.frombuffer(raw, np.uint8)[offsets[:-1]] & 0xC0 == 0x80).sum())
+
+
+@lru_cache(maxsize=2)
+def codec(path: str | None = None) -> Codec:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Codec(path)
+    return Codec(path or default_path())
 
 
 def tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, ids, offsets (bytes into the UTF-8 text) for each row of ``docs``."""
-    path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
@@ -88,20 +118,20 @@ def tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def apply(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes for each row of ``docs``: encoded, then decoded again."""
-    path = path or default_path()
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes, n_split (tokens that start inside a character) for each row
+    of ``docs``: encoded, then decoded again."""
+    digest = lambda raw: hashlib.sha256(raw).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in slices(batches, "text"):
             every = c.encode(batch.column("text").fill_null("").to_pylist())
-            sums, back, sizes = [], [], []
-            for ids in every:
-                sums.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
-                raw = c.decode(ids)
-                back.append(hashlib.sha256(raw).hexdigest())
-                sizes.append(len(raw))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in every], pa.int64()), pa.array(sums, pa.string()), pa.array(back, pa.string()), pa.array(sizes, pa.int64())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes"])
+            raw = [c.decode(ids) for ids in every]
+            columns = [
+                pa.array([len(x) for x in every], pa.int64()), pa.array([digest(c.text_of(x)) for x in every], pa.string()), pa.array(map(digest, raw), pa.string()),
+                pa.array(map(len, raw), pa.int64()), pa.array([split_characters(r, c.offsets(x)) for r, x in zip(raw, every, strict=True)], pa.int64()),
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes", "n_split"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long, n_split long")

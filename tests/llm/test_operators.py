@@ -286,18 +286,27 @@ def test_lines_of_documents(spark):
     assert got == cleaned_by_hand(rows)
 
 
-def test_bpe_as_the_other_library(spark, edge):
+def test_bpe_as_the_other_library(spark, edge, monkeypatch):
     import public_tokenizers as P
     import tiktoken
 
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
     other = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    texts = {r["doc_id"]: r["text"] or "" for r in edge.union(table(spark, SF, "documents").selectExpr("doc_id + 1000", "text", *[f"null as {c}" for c in edge.columns[2:]])).select("doc_id", "text").filter("doc_id is not null").collect()}
+    texts = dict(enumerate([*[t or "" for _, t, _ in EDGE], *[r["text"] for r in table(spark, "/root/testdata/sf0.01", "documents").collect()]]))
+    texts[len(texts)] = "it's  we'll\r\n\t x\u00a0\u2003y  \n\n 12345 \u0663\u0664 don't'S \U0001f469\u200d\U0001f52c\u0301 ...!?  "
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     for row in bpe.apply(docs).collect():
-        ids = other.encode_ordinary(texts[row["doc_id"]])
+        ids, raw = other.encode_ordinary(texts[row["doc_id"]]), texts[row["doc_id"]].encode()
         assert row["n_tokens"] == len(ids) and row["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
-        assert row["decoded_sha256"] == hashlib.sha256(texts[row["doc_id"]].encode()).hexdigest()
+        assert row["decoded_sha256"] == hashlib.sha256(raw).hexdigest() and row["n_bytes"] == len(raw)
+        at, inside = 0, 0
+        for i in ids:
+            inside += at < len(raw) and raw[at] & 0xC0 == 0x80
+            at += len(other.decode_single_token_bytes(i))
+        assert row["n_split"] == inside
+    monkeypatch.setattr(bpe, "REMEMBERED", 2)
+    forgetful = bpe.Codec(bpe.default_path())
+    assert [forgetful.encode([t])[0] for t in list(texts.values())[:60]] == [other.encode_ordinary(t) for t in list(texts.values())[:60]]
 
 
 def test_media_digests(spark, edge):
