@@ -50,7 +50,8 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.apply(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.apply(pages, url_filter.listed_hosts(pages))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

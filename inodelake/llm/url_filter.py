@@ -5,7 +5,9 @@ takes for listed, level 3 the listed keys that level 2 takes for those, and so o
 the corpus's keys. A key's answer is the parity of the first level that does not hold it, which is exact for every key
 of the universe the cascade was built over (all hosts of the table), with no join at query time.
 
-The filters are broadcast; ``MAX_FILTER_BYTES`` bounds their sum. A longer list is answered by an ordinary join.
+The list is a table of keys. Keys are dealt by hash over as many cascades as keep each one's filters, which are broadcast,
+within about ``SHARD_BYTES``; a row is probed in the cascade of its key's part. The registered query's list holds the
+hosts of the table with a listed word in their name.
 
 Edge cases: a null url or one without ``://`` has an empty host and path, fits no rule and is on no list (allow);
 repeated urls are judged alike, one output row each; an empty table gives an empty result.
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -33,7 +36,11 @@ RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 #: Words in a host name that put the host on the block list (between dots or hyphens).
 LISTED_WORDS = ("adult", "ads", "bets", "casino", "pills", "porn", "spam", "warez")
 
-MAX_FILTER_BYTES = 64 << 20
+#: Filters of one cascade that are broadcast, at about ten bits a listed key for its first and all further levels.
+SHARD_BYTES = 64 << 20
+BITS_A_KEY = 16
+#: Levels halve the keys at least in the mean; more of them than this means that two keys have one hash.
+MOST_LEVELS = 200
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -105,46 +112,68 @@ def _held(sent: Broadcast, level: int):
     return held
 
 
+def _hashes(key: Column) -> list[Column]:
+    """Two hashes from different states: the second is no function of the first."""
+    return [F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("second"), key).alias("h2")]
+
+
 class Cascade:
     """``listed`` and ``universe`` have a string column ``key``; listed keys outside the universe do not count."""
 
-    def __init__(self, universe: DataFrame, is_listed: Column, rate: float = 0.01, max_bytes: int = MAX_FILTER_BYTES) -> None:
-        hashed = universe.select("key", F.xxhash64("key").alias("h1"), F.xxhash64("key", F.lit("second")).alias("h2"), is_listed.alias("listed"))
-        self.keys = materialize(hashed)
-        self.levels: list[tuple[np.ndarray, int]] = []
-        mine, others = self.keys.filter("listed"), self.keys.filter("NOT listed")
-        self.complete = True
+    def __init__(self, universe: DataFrame, listed: DataFrame, rate: float = 0.01, shard_bytes: int = SHARD_BYTES) -> None:
+        on_list = listed.select(F.col("key").alias("listed_key")).distinct()
+        marked = universe.select("key").distinct().join(on_list, F.col("key") == F.col("listed_key"), "left")
+        keys = materialize(marked.select(*_hashes(F.col("key")), F.col("listed_key").isNotNull().alias("listed")))
+        self.spark = universe.sparkSession
+        self.parts = max(1, math.ceil(keys.filter("listed").count() * BITS_A_KEY / 8 / shard_bytes))
+        self.shards = [self._levels(keys.filter(self._part(F.col("h1")) == i), rate) for i in range(self.parts)]
+
+    def _part(self, h1: Column) -> Column:
+        return F.pmod(F.shiftright(h1, 20), F.lit(self.parts))
+
+    def _levels(self, keys: DataFrame, rate: float) -> list[tuple[np.ndarray, int]]:
+        mine, others = keys.filter("listed"), keys.filter("NOT listed")
+        levels: list[tuple[np.ndarray, int]] = []
         while n := mine.count():
-            if n * 10 / 8 + sum(w.nbytes for w, _ in self.levels) > max_bytes:
-                self.complete = False  # beyond the bound of what may be broadcast: listed() joins instead
-                return
-            self.levels.append(_bloom(mine, n, len(self.levels), rate if not self.levels else 0.5))
-            level, (words, hashes) = len(self.levels) - 1, self.levels[-1]
-            sent = universe.sparkSession.sparkContext.broadcast((words, hashes))
-            mine, others = materialize(others.filter(_held(sent, level)("h1", "h2"))), mine
+            if len(levels) == MOST_LEVELS:
+                raise ValueError("two keys have the same hashes")
+            levels.append(_bloom(mine, n, len(levels), rate if not levels else 0.5))
+            sent = self.spark.sparkContext.broadcast(levels[-1])
+            mine, others = materialize(others.filter(_held(sent, len(levels) - 1)("h1", "h2"))), mine
+        return levels
 
     def mark(self, df: DataFrame, key: str, out: str) -> DataFrame:
-        """``df`` with a boolean column ``out``: whether its ``key`` is listed."""
-        if not self.complete:
-            listed = self.keys.filter("listed").select(F.col("key").alias("url_filter_key"))
-            return df.join(listed, df[key] == listed["url_filter_key"], "left").withColumn(out, F.col("url_filter_key").isNotNull()).drop("url_filter_key")
-        sent = df.sparkSession.sparkContext.broadcast(self.levels)
+        """``df`` with a boolean column ``out``: whether its ``key`` is listed. Rows of each part of the keys are probed
+        in one scan with that part's filters alone."""
+        marked = []
+        for i, levels in enumerate(self.shards):
+            own = df if self.parts == 1 else df.filter(self._part(F.xxhash64(key)) == i)
+            marked.append(own.withColumn(out, _listed(self.spark.sparkContext.broadcast(levels))(*_hashes(F.col(key)))))
+        return reduce(DataFrame.unionAll, marked)
 
-        @F.pandas_udf(T.BooleanType())
-        def listed(h1: pd.Series, h2: pd.Series) -> pd.Series:
-            return pd.Series(_probe(sent.value, h1.to_numpy().view(U64), h2.to_numpy().view(U64)))
 
-        return df.withColumn(out, listed(F.xxhash64(key), F.xxhash64(F.col(key), F.lit("second"))))
+def _listed(sent: Broadcast):
+    @F.pandas_udf(T.BooleanType())
+    def listed(h1: pd.Series, h2: pd.Series) -> pd.Series:
+        return pd.Series(_probe(sent.value, h1.to_numpy().view(U64), h2.to_numpy().view(U64)))
+
+    return listed
 
 
 def listed_host(key: Column, words: Sequence[str] = LISTED_WORDS) -> Column:
     return key.rlike(r"(^|[.-])(" + "|".join(words) + r")($|[.-])")
 
 
-def apply(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, words: Sequence[str] = LISTED_WORDS) -> DataFrame:
-    """page_id, host, path, rule, verdict and listed, one row for each row of ``pages``."""
+def listed_hosts(pages: DataFrame, words: Sequence[str] = LISTED_WORDS) -> DataFrame:
+    """key: the different hosts of ``pages`` with a listed word in their name."""
+    return pages.select(host_of(F.col("url")).alias("key")).filter(listed_host(F.col("key"), words)).distinct()
+
+
+def apply(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
+    """page_id, host, path, rule, verdict and listed (whether the host is a ``key`` of ``listed``), one row for each row
+    of ``pages``."""
     parsed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    cascade = Cascade(parsed.select(F.col("host").alias("key")).distinct(), listed_host(F.col("key"), words))
+    cascade = Cascade(parsed.select(F.col("host").alias("key")), listed)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     marked = cascade.mark(parsed, "host", "listed")
     return marked.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"), "listed")
