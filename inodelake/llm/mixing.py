@@ -2,7 +2,8 @@
 
 Each source gets a target number of words. A document is taken floor(target / source size) times, and once more when
 its hash lies under the source's threshold. The threshold is found without sorting: words are summed by source and
-hash bucket, the bucket in which the running sum passes the budget is the boundary, and only the boundary is split
+hash bucket (1,024 of them at each level, the most rows that a source has in one task; the sources themselves, one row
+each, are put in order in one task), the bucket in which the running sum passes the budget is the boundary, and only the boundary is split
 again by the next bits of the hash, until a bucket is one hash value; that last one goes to the nearer side.
 
 Edge cases: a null text has size 0 and is never taken; null is a source of its own, last in order; documents of equal
@@ -17,12 +18,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .spark_io import materialize
+from .spark_io import materialize, packed, unpacked
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
-LEVELS, BITS = 4, 15
+LEVELS, BITS = 6, 10
 
 
 def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -114,10 +115,10 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     """The mixed corpus: the rows of ``docs``, each as often as it is taken (documents of no words stay out). Texts are
     joined with one row for each source, so they are not shuffled while that table is small."""
     ends = limits(_sized(docs), **how).select("mix_source", "whole", "threshold")
-    copies = F.col("whole") + (_hash() < F.col("threshold")).cast("int")
-    some = docs.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    joined = some.join(ends, some["source"].eqNullSafe(ends["mix_source"])).withColumn("mix_copies", copies).filter("mix_copies > 0")
-    return joined.withColumn("mix_i", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*docs.columns)
+    some = packed(docs.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")), source=F.col("source"), h=_hash())
+    copies = F.col("whole") + (F.col("h") < F.col("threshold")).cast("int")
+    joined = some.join(ends, some["source"].eqNullSafe(ends["mix_source"])).select("row", copies.alias("copies")).filter("copies > 0")
+    return unpacked(joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))), docs.columns)
 
 
 ORACLE_SQL = r"""
