@@ -2,10 +2,11 @@
 
 P(grade <= k) = sigmoid(theta_k - w.x) with one weight vector w for all ordered thresholds theta_1 < theta_2 < ...;
 the severity is the expected grade. Features are lower-cased words and their first 4 and 5 bytes (log of one plus the
-count), chosen by their log-odds between toxic and other labelled documents, and the share of such words in the text.
+count), chosen by their log-odds between toxic and other labelled documents, and number and density of strongly toxic words.
 
-Labels are 0/1. Grade 0 is label 0; label 1 is graded 1..``GRADES`` by the number of strongly toxic words, cut at the
-quantiles of the labelled toxic documents. The model is fitted on at most ``MAX_TOXIC`` + ``MAX_OTHER`` labelled
+Labels are 0/1. Grade 0 is label 0; label 1 is graded 1..``GRADES`` by how many different strongly toxic words a text
+has, which is no input of the model, cut at the quantiles of the labelled toxic documents. Labels that contradict each
+other for one id are not learned from. The model is fitted on at most ``MAX_TOXIC`` + ``MAX_OTHER`` labelled
 documents (those of least hash); features of that sample are counted on the executors, and the driver receives at most
 ``MAX_FEATURES`` features and the sample's counts of them.
 
@@ -21,10 +22,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import U64, Hasher, mix, slices, utf8, words
+from .spark_io import materialize
 
 GRADES = 3
 MAX_TOXIC, MAX_OTHER = 4000, 12000
@@ -32,15 +35,12 @@ MAX_FEATURES = 4096
 #: A feature is in at least this share of the toxic sample (and in three documents).
 MIN_SHARE = 0.005
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[0x41:0x5B] += 0x20
 _BETWEEN = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
 
 
 def _features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Feature hash and row of every word and word start; whether it is a whole word; words of each row."""
-    data, offsets = utf8(texts)
-    data = _LOWER[data]
+    data, offsets = utf8(pc.utf8_lower(texts.cast(pa.large_string())))
     starts, ends, rows = words(data, offsets, _BETWEEN)
     hasher = Hasher(data)
     parts, owners, whole = [hasher(starts, ends)], [rows], [np.ones(len(rows), bool)]
@@ -66,7 +66,7 @@ class Model:
         self.first[(self.hashes & U64(0xFFFF)).astype(np.int64)] = True
 
     def counts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Row, feature number and value of the known features; the dense features of each row."""
+        """Row, feature number and value of the known features; the dense features of each row; its different strong words."""
         n, k = len(texts), len(self.hashes)
         h, r, whole, n_words = _features(texts)
         some = np.flatnonzero(self.first[(h & U64(0xFFFF)).astype(np.int64)]) if k else np.zeros(0, np.int64)
@@ -77,14 +77,15 @@ class Model:
         cells, count = np.unique(r[some] * max(k, 1) + at, return_counts=True)
         hits = np.bincount(r[some], self.strong[at] & whole[some], n)
         dense = np.stack([np.log1p(100 * hits / (n_words + 100)), np.log1p(hits)], axis=1)
-        return cells // max(k, 1), cells % max(k, 1), np.log1p(count), dense
+        rows, own = cells // max(k, 1), cells % max(k, 1)
+        return rows, own, np.log1p(count), dense, np.bincount(rows, self.strong[own], n) if k else np.zeros(n)
 
     def link(self, rows: np.ndarray, at: np.ndarray, values: np.ndarray, dense: np.ndarray) -> np.ndarray:
         return np.bincount(rows, values * self.weights[at], len(dense)) + dense @ self.weights[len(self.hashes) :]
 
     def above(self, texts: pa.Array) -> np.ndarray:
         """P(grade > k) for k = 0 .. GRADES - 1, one row for each text."""
-        return _sigmoid(self.link(*self.counts(texts))[:, None] - self.thresholds[None, :])
+        return _sigmoid(self.link(*self.counts(texts)[:4])[:, None] - self.thresholds[None, :])
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -125,11 +126,13 @@ def _ordinal(rows: np.ndarray, at: np.ndarray, values: np.ndarray, dense: np.nda
 
 def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Labelled texts (text, toxic), bounded by class; the bounded ids are broadcast, the texts are not moved."""
-    known = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).filter("toxic = most").drop("most")
     order = F.xxhash64("doc_id", F.lit("toxicity"))
     parts = [known.filter(F.col("toxic") == t).orderBy(order, "doc_id").limit(n) for t, n in ((1, MAX_TOXIC), (0, MAX_OTHER))]
     few = parts[0].union(parts[1]).withColumnRenamed("doc_id", "label_id")
-    return docs.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("label_id")).select("text", F.col("toxic").cast("int").alias("toxic"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("label_id"))
+    # An id that many rows have counts once, with its least text.
+    return materialize(rows.groupBy("label_id", "toxic").agg(F.min("text").alias("text")).select("text", F.col("toxic").cast("int").alias("toxic")))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -160,16 +163,17 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            r, at, values, dense = blank.value.counts(batch.column("text"))
+            r, at, values, dense, different = blank.value.counts(batch.column("text"))
             first = np.searchsorted(r, np.arange(batch.num_rows + 1)).astype(np.int32)
             lists = [pa.ListArray.from_arrays(pa.array(first), pa.array(x)) for x in (at.astype(np.int32), values.astype(np.float64))]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), *lists, pa.array(dense[:, 0]), pa.array(dense[:, 1])], names=["toxic", "at", "value", "d0", "d1"])
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), *lists, pa.array(dense[:, 0]), pa.array(dense[:, 1]), pa.array(different)], names=["toxic", "at", "value", "d0", "d1", "different"])
 
-    rows = sample.mapInArrow(known, "toxic int, at array<int>, value array<double>, d0 double, d1 double").toPandas()
+    rows = sample.mapInArrow(known, "toxic int, at array<int>, value array<double>, d0 double, d1 double, different double").toPandas()
     dense = rows[["d0", "d1"]].to_numpy()
     toxic = rows["toxic"].to_numpy() == 1
-    cuts = np.quantile(dense[toxic, 1], np.arange(1, GRADES) / GRADES)
-    grades = np.where(toxic, 1 + (dense[:, 1:] > cuts[None, :]).sum(axis=1), 0)
+    different = rows["different"].to_numpy()
+    cuts = np.quantile(different[toxic], np.arange(1, GRADES) / GRADES)
+    grades = np.where(toxic, 1 + (different[:, None] > cuts[None, :]).sum(axis=1), 0)
     r = np.repeat(np.arange(len(rows)), rows["at"].map(len))
     at, values = (np.concatenate([*rows[c], np.zeros(0)]) for c in ("at", "value"))
     weights, thresholds = _ordinal(r, at.astype(np.int64), values, dense, grades, len(hashes))
