@@ -17,10 +17,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow_text import Hasher, slices, utf8, words
+from .spark_io import materialize
 
 MAX_DOCS, MAX_LINES = 8000, 400_000
 
@@ -147,9 +148,11 @@ def _adam(gradient, x: np.ndarray, steps: int, rate: float) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, l2: float = 1e-4, steps: int = 150) -> Model:
-    known = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    known = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).filter("quality = most").drop("most")
     few = known.orderBy(F.xxhash64("doc_id", F.lit("quality")), "doc_id").limit(MAX_DOCS).withColumnRenamed("doc_id", "label_id")
-    sample = docs.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("label_id")).select("label_id", "text", F.col("quality").cast("int").alias("quality"))
+    labelled = docs.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("label_id"))
+    # An id that many rows have counts once, with its least text.
+    sample = materialize(labelled.groupBy("label_id", "quality").agg(F.min("text").alias("text")).select("label_id", "text", F.col("quality").cast("int").alias("quality")))
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -159,14 +162,11 @@ def fit(docs: DataFrame, labels: DataFrame, l2: float = 1e-4, steps: int = 150)
             yield pa.RecordBatch.from_arrays([batch.column("label_id"), batch.column("quality"), flat, pa.ListArray.from_arrays(pa.array(first), pa.array(size))], names=["id", "y", "x", "size"])
 
     rows = sample.mapInArrow(lines, f"id {docs.schema['doc_id'].dataType.simpleString()}, y int, x array<float>, size array<double>")
-    n_lines = F.sum(F.size("size").cast("long"))
-    if (rows.agg(n_lines).first()[0] or 0) > MAX_LINES:
-        # Whole documents, shortest first, up to the bound; a running sum over at most MAX_DOCS rows of two numbers.
-        from pyspark.sql import Window
-
-        small = sample.select("label_id", F.length("text").alias("n"), F.regexp_count("text", F.lit("\n")).alias("k"))
-        fits = small.withColumn("upto", F.sum(F.col("k") + 1).over(Window.orderBy("k", "label_id"))).filter(F.col("upto") <= MAX_LINES)
-        rows = rows.join(F.broadcast(fits.select(F.col("label_id").alias("id"))), "id", "left_semi")
+    # Whole documents in order of hash up to the bound; a running sum over at most MAX_DOCS rows of two numbers.
+    small = sample.select("label_id", F.regexp_count("text", F.lit("\n")).alias("k"))
+    order = Window.orderBy(F.xxhash64("label_id", F.lit("quality")), "label_id")
+    fits = small.withColumn("upto", F.sum(F.col("k") + 1).over(order)).filter(F.col("upto") <= MAX_LINES)
+    rows = rows.join(F.broadcast(fits.select(F.col("label_id").alias("id"))), "id", "left_semi")
     got = rows.orderBy("id").toPandas()
     y = got["y"].to_numpy()
     got = got if len(np.unique(y)) == 2 else got.iloc[:0]
@@ -179,8 +179,6 @@ def fit(docs: DataFrame, labels: DataFrame, l2: float = 1e-4, steps: int = 150)
     same = row[1:] == row[:-1]
     seen = np.zeros((2, 2))
     np.add.at(seen, (truth[:-1][same], truth[1:][same]), 1)
-    # A document's lines weigh as much as one line of it would, so long documents do not rule the fit.
-
     def gradient(p: np.ndarray) -> np.ndarray:
         good, moves = marginals(x @ p[:-4], row, p[-4:].reshape(2, 2))
         return np.concatenate([x.T @ (good - truth), (moves - seen).ravel()]) / len(truth) + l2 * p
