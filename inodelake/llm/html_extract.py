@@ -5,7 +5,8 @@ tokens, its depth and its siblings. Trees give each node three log-odds: its sub
 boilerplate throughout, or it holds both. Decoding picks the best labelling of the tree in which everything below an
 article node is article and everything below a boilerplate node is boilerplate.
 
-The trees are fitted here, on at most ``MAX_PAGES`` pages of the table (those of least hash). Their own article
+The trees are fitted here, on at most ``MAX_PAGES`` pages of the table (those of least hash, of fewer than ``MAX_CHARS``
+characters). Their own article
 elements are the examples; since a site may mark its parts otherwise, every such page is also rebuilt with other
 containers and class names and with parts that the page lacks (side bars, notices, forms, comments), filled from other
 sentences of the sample.
@@ -15,7 +16,7 @@ newlines. Scripts, styles and the head never count.
 
 Edge cases: a null, empty or text-free page gives the empty text and 0; unclosed and stray tags are repaired; pages of
 any length are read whole; repeated rows are treated alike; an empty table gives an empty result (and an empty model,
-for which all text under article or main elements counts); other columns are ignored.
+for which all text counts but that in the elements of menus, headers, footers, side bars, forms and dialogs); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,16 +35,18 @@ from pyspark.sql import functions as F
 
 from .arrow_text import slices
 
-MAX_PAGES = 150
+#: Bounds of what is learned from: pages, and characters of a page.
+MAX_PAGES, MAX_CHARS = 150, 200_000
 ROUNDS, DEPTH, RATE, BINS = 20, 4, 0.4, 32
 
 # Element kinds of the markup language, and tokens that sites use in class and id names.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = set("script style head title noscript template svg iframe object canvas math select option datalist textarea button".split())
+SILENT = set("script style head title template svg iframe select option datalist textarea button".split())
 BLOCK = set(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+APART = set("nav header footer aside form dialog menu".split())
 TAG_GROUPS = (
     "article main", "section div", "p pre blockquote", "h1 h2 h3 h4 h5 h6", "ul ol dl menu", "li dd dt", "nav", "header hgroup", "footer", "aside",
     "form fieldset label input", "a", "b i em strong span u small code mark sub sup q cite", "table tbody thead tfoot tr td th", "figure figcaption", "body html", "#text", "dialog details summary",
@@ -473,9 +476,10 @@ def _labels_by_text(nodes: list[Node], wanted: set[str]) -> np.ndarray:
     return label
 
 
-def fit(pages: DataFrame, max_pages: int = MAX_PAGES) -> Trees | None:
-    """Trees fitted on a bounded sample of pages; None if no page marks its article."""
-    marked = pages.filter(F.col("html").rlike("(?i)<(article|main)[ >]")).filter(F.length("html") < 20000)
+def fit(pages: DataFrame, max_pages: int = MAX_PAGES, max_chars: int = MAX_CHARS) -> Trees | None:
+    """Trees fitted on a bounded sample of pages of fewer than ``max_chars`` characters; None if no page marks its
+    article. All pages, of any length, are extracted whole."""
+    marked = pages.filter(F.col("html").rlike("(?i)<(article|main)[ >]")).filter(F.length("html") < max_chars)
     hashed = marked.select("html", F.xxhash64("html").alias("o"))
     # Tasks send the driver hashes to choose from, then only the chosen pages.
     last = hashed.select("o").distinct().orderBy("o").limit(max_pages).agg(F.max("o")).first()[0]
@@ -484,10 +488,21 @@ def fit(pages: DataFrame, max_pages: int = MAX_PAGES) -> Trees | None:
     return boost(x, y) if len(x) else None
 
 
+def _unmarked(nodes: list[Node]) -> np.ndarray:
+    """Labels without trees and without an article element: boilerplate are the elements that are so by name."""
+    label = np.full(len(nodes), BOTH)
+    for i, x in enumerate(nodes):
+        if i and label[x.parent] == BOILER or x.tag in APART:
+            label[i] = BOILER
+        elif x.tag == "#text":
+            label[i] = ARTICLE
+    return label
+
+
 def extract(htmls: list[str | None], trees: Trees | None) -> list[str]:
     every = [parse(h or "") for h in htmls]
     if trees is None:
-        return [text_of(nodes, label if (label := _truth(nodes)) is not None else np.full(len(nodes), BOILER)) for nodes in every]
+        return [text_of(nodes, label if (label := _truth(nodes)) is not None else _unmarked(nodes)) for nodes in every]
     score = _log_softmax(trees.scores(np.concatenate([features(nodes) for nodes in every]))) if every else np.zeros((0, 3))
     ends = np.cumsum([len(nodes) for nodes in every])
     return [text_of(nodes, decode(nodes, score[e - len(nodes) : e])) for nodes, e in zip(every, ends, strict=True)]
