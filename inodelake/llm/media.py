@@ -28,7 +28,8 @@ WIDTH = UNIT // 4
 def store(payload: bytes) -> bytes:
     """The payload (a multiple of 64 bytes) as one or more WebP files."""
     step = UNIT * webp.SIDE
-    return b"".join(webp.encode(np.frombuffer(payload[i : i + step], "<u4").reshape(-1, WIDTH)) for i in range(0, len(payload), step))
+    images = [np.frombuffer(payload[i : i + step], "<u4").reshape(-1, WIDTH) for i in range(0, len(payload), step)]
+    return b"".join(webp.encode(image, webp.tools_for(image)) for image in images)
 
 
 def load(media: bytes) -> bytes:

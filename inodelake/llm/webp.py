@@ -5,7 +5,8 @@ distance map, the colour cache, several code groups chosen by an entropy image,
 (predictor, cross-colour, subtract-green, colour-indexing). Images of literals alone are decoded by arrays: the codes
 that would start at every bit are looked up at once, and only the chain of pixel starts is followed step by step.
 
-Encoder: canonical prefix codes limited to 15 bits, optional transforms, back-references and colour cache (``Tools``).
+Encoder: canonical prefix codes limited to 15 bits, optional transforms, back-references and colour cache (``Tools``, of
+which ``tools_for`` picks some by an image's content).
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ DISTANCE_MAP = (
     (7, 5), (-7, 5), (8, 4), (6, 7), (-6, 7), (7, 6), (-7, 6), (8, 5), (7, 7), (-7, 7), (8, 6), (8, 7),
 )
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, COLOUR_INDEXING = range(4)
+#: The predictor mode that guesses the pixel above.
+TOP = 2
 
 
 # ---- prefix codes ----
@@ -281,6 +284,8 @@ def _predict(mode: int, left: int, top: int, corner: int, right: int) -> int:
 
 def _guessed(pixels: np.ndarray, width: int, height: int, bits: int, modes: np.ndarray, forward: bool) -> np.ndarray:
     """Residuals from pixels (forward) or pixels from residuals; both see the finished neighbours."""
+    if (modes >> 8 & 0xF == TOP).all():
+        return _from_top(pixels.reshape(height, width), forward).ravel()
     known, out = pixels.tolist(), [0] * len(pixels)
     done = known if forward else out
     across = (width + (1 << bits) - 1) >> bits
@@ -301,6 +306,23 @@ def _guessed(pixels: np.ndarray, width: int, height: int, bits: int, modes: np.n
     return np.array(out, np.uint32)
 
 
+def _from_top(pixels: np.ndarray, forward: bool) -> np.ndarray:
+    """The predictor that guesses the pixel above, for whole images: the first row is guessed from the left, the first
+    pixel is black. Differences of bytes one way, running sums of bytes the other."""
+    channels = np.ascontiguousarray(pixels, "<u4").view(np.uint8).reshape(*pixels.shape, 4)
+    black = np.array([0, 0, 0, 0xFF], np.uint8)
+    out = channels.copy()
+    if forward:
+        out[1:] -= channels[:-1]
+        out[0, 1:] -= channels[0, :-1]
+        out[0, 0] -= black
+    else:
+        out[0, 0] += black
+        out[0] = np.cumsum(out[0], axis=0, dtype=np.uint8)
+        out = np.cumsum(out, axis=0, dtype=np.uint8)
+    return out.reshape(*pixels.shape[:1], -1).view("<u4").astype(np.uint32)
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return (x & 0xFF).astype(np.uint8).view(np.int8).astype(np.int64)
 
@@ -604,6 +626,58 @@ def _write_lengths(w: _Writer, lengths: np.ndarray) -> None:
     w.many(np.stack([codes[s], np.array(extras)], axis=1).ravel(), np.stack([bits[s], np.array(sizes)], axis=1).ravel())
 
 
+#: Distances (pixels) at which the encoder looks for repeated runs, and the shortest run that it refers back to.
+REACH, LEAST_RUN = (1, 2, 3, 4, 5, 6, 7, 8, 16, 32, 48, 64), 4
+#: Side of the blocks (a power of two) that share a predictor.
+BLOCK_BITS = 9
+#: Largest image that is written with a colour cache.
+CACHED = 256
+
+
+def _repeats(pixels: np.ndarray) -> list[tuple[int, int, int]]:
+    """Back-references at the distance that covers most pixels, if they cover half of the image or more."""
+    n, best = len(pixels), (0, 0)
+    for d in REACH:
+        if d < n:
+            best = max(best, (int((pixels[d:] == pixels[:-d]).sum()), -d))
+    d = -best[1]
+    if best[0] * 2 < n:
+        return []
+    same = np.concatenate([np.zeros(d, bool), pixels[d:] == pixels[:-d], [False]])
+    edge = np.flatnonzero(np.diff(same.astype(np.int8), prepend=0))
+    out = []
+    for start, end in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+        for at in range(start, end, 4096):
+            if min(end, at + 4096) - at >= LEAST_RUN:
+                out.append((at, min(end, at + 4096) - at, d + 120))
+    return out if sum(length for _, length, _ in out) * 2 >= n else []
+
+
+def _size(pixels: np.ndarray) -> float:
+    """Bits of the image as literals under one code, by the entropy of its bytes."""
+    counts = np.bincount(np.ascontiguousarray(pixels, "<u4").view(np.uint8), minlength=256)
+    counts = counts[counts > 0]
+    return float((counts * np.log2(4 * len(pixels) / counts)).sum())
+
+
+def tools_for(image: np.ndarray) -> Tools:
+    """Tools by the image's content alone: back-references if they cover half of it; else a palette for few colours; else a
+    colour cache for small images with repeated pixels; else whichever of no transform, less green, and less the pixel
+    above leaves bytes of the least entropy."""
+    height, width = image.shape
+    pixels = image.astype(np.uint32).ravel()
+    if copies := _repeats(pixels):
+        return Tools(copies=copies, cache_bits=4)
+    colours = len(np.unique(pixels)) if len(pixels) <= 1 << 12 else len(pixels)
+    if colours <= 256 and 2 * colours <= len(pixels):
+        return Tools((COLOUR_INDEXING,))
+    if len(pixels) <= CACHED and 10 * colours <= 9 * len(pixels):
+        return Tools(cache_bits=6)
+    blocks = -(-height // (1 << BLOCK_BITS)) * -(-width // (1 << BLOCK_BITS))
+    sizes = {(): _size(pixels), (SUBTRACT_GREEN,): _size(_green(pixels, -1)) + 64, (PREDICTOR,): _size(_from_top(pixels.reshape(height, width), True).ravel()) + 64 + blocks}
+    return Tools(min(sizes, key=sizes.get), modes=(TOP,), block_bits=BLOCK_BITS)
+
+
 #: Longest code that the encoder uses for literals; short codes keep the tables of lookups small.
 LITERAL_BITS = 11
 
