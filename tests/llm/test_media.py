@@ -85,3 +85,64 @@ def test_damaged_files_are_refused():
     good = webp.encode(picture(8, 8))
     with pytest.raises(ValueError):
         webp.decode(good[:16] + (20).to_bytes(4, "little") + good[20:40])
+
+
+def test_top_predictor_as_arrays():
+    image = picture(11, 7)
+    assert (webp._from_top(webp._from_top(image, True).reshape(image.shape), False) == image).all()
+    modes = np.full(4, webp.TOP << 8, np.uint32)
+    mixed = np.array([webp.TOP << 8, webp.TOP << 8, webp.TOP << 8, 11 << 8], np.uint32)
+    plain = webp._guessed(image.ravel(), 7, 11, 3, mixed, True).reshape(image.shape)  # pixel by pixel
+    assert (webp._guessed(image.ravel(), 7, 11, 3, modes, True).reshape(image.shape)[:8] == plain[:8]).all()
+
+
+def test_tools_by_content():
+    rows = np.arange(64 * 16, dtype=np.uint32).reshape(64, 16) * np.uint32(0x01030507)
+    prose = np.frombuffer(media.pad(b"".join(RNG.choice([b"the ", b"cat ", b"sat on ", b"a mat, ", b"while it rained "], 400))), "<u4").reshape(-1, 16)
+    cases = {
+        "copies": np.tile(picture(1, 16), (40, 1)), "palette": picture(40, 16, 30), "cache": np.concatenate([picture(6, 16), picture(6, 16, 20)]), "top": rows, "any": picture(40, 16), "prose": prose,
+    }
+    tools = {name: webp.tools_for(image) for name, image in cases.items()}
+    assert tools["copies"].copies and tools["palette"].transforms == (webp.COLOUR_INDEXING,) and tools["top"].transforms == (webp.PREDICTOR,)
+    assert tools["cache"].cache_bits and not tools["cache"].copies and not tools["any"].transforms
+    for name, image in cases.items():
+        stored = webp.encode(image, tools[name])
+        assert (webp.decode(stored) == image).all() and (name in ("any", "prose") or len(stored) < len(webp.encode(image)))
+
+
+def bits(*parts):
+    """Bytes of (value, bits) pairs, least bit first, as the format's description packs them."""
+    number = at = 0
+    for value, size in parts:
+        number |= value << at
+        at += size
+    body = number.to_bytes((at + 7) // 8, "little")
+    chunk = b"VP8L" + len(body).to_bytes(4, "little") + body + bytes(len(body) % 2)
+    return b"RIFF" + (4 + len(chunk)).to_bytes(4, "little") + b"WEBP" + chunk
+
+
+def head(width, height):
+    return (0x2F, 8), (width - 1, 14), (height - 1, 14), (1, 1), (0, 3)
+
+
+def one(symbol):
+    """A simple prefix code of one symbol of eight bits."""
+    return (1, 1), (0, 1), (1, 1), (symbol, 8)
+
+
+NO_DISTANCE = ((1, 1), (0, 1), (0, 1), (0, 1))
+
+
+def test_hand_made_files():
+    plain = bits(*head(3, 2), (0, 1), (0, 1), (0, 1), *one(0x22), *one(0x11), *one(0x33), *one(0xFF), *NO_DISTANCE)
+    assert (webp.decode(plain) == np.full((2, 3), 0xFF112233, np.uint32)).all()
+    # Two green values under a code of one bit each: pixels 5, 9, 9, 5.
+    two = ((1, 1), (1, 1), (1, 1), (5, 8), (9, 8))
+    green = bits(*head(2, 2), (0, 1), (0, 1), (0, 1), *two, *one(0), *one(0), *one(0xFF), *NO_DISTANCE, (0, 1), (1, 1), (1, 1), (0, 1))
+    assert webp.decode(green).ravel().tolist() == [0xFF000500, 0xFF000900, 0xFF000900, 0xFF000500]
+    # The same, with green taken from red and blue before: each gets it back.
+    less = bits(*head(2, 2), (1, 1), (2, 2), (0, 1), (0, 1), (0, 1), *two, *one(1), *one(2), *one(0xFF), *NO_DISTANCE, (0, 1), (1, 1), (1, 1), (0, 1))
+    assert webp.decode(less).ravel().tolist() == [0xFF060507, 0xFF0A090B, 0xFF0A090B, 0xFF060507]
+    # A predictor image of one block, mode 1 (left): residuals of 5 in green add up along the row, from black.
+    left = bits(*head(4, 1), (1, 1), (0, 2), (0, 3), (0, 1), *one(1), *one(0), *one(0), *one(0xFF), *NO_DISTANCE, (0, 1), (0, 1), (0, 1), *one(5), *one(0), *one(0), *one(0), *NO_DISTANCE)
+    assert webp.decode(left).ravel().tolist() == [0xFF000500, 0xFF000A00, 0xFF000F00, 0xFF001400]
