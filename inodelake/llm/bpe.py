@@ -26,7 +26,7 @@ from .arrow_text import slices
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Matches whose ids a worker keeps.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 def default_path() -> str:
@@ -63,34 +63,29 @@ class Codec:
         self.sizes = np.array([len(p) for p in self.pieces], np.int64)
         self.shown = [b"%d" % i for i in range(len(self.pieces))]
         self.matches = regex.compile(public_tokenizers.PATTERN).findall
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text (32-bit)."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
         parts = [self.matches(t) for t in texts]
         new = list({p for own in parts for p in own if p not in self.known})
         if new:
             fast = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-            self.known.update((p, e.ids) for p, e in zip(new, fast(new, add_special_tokens=False), strict=True))
-        known, out = self.known, []
-        for own in parts:
-            ids: list[int] = []
-            for p in own:
-                ids += known[p]
-            out.append(ids)
-        return out
-
-    def offsets(self, ids: list[int]) -> np.ndarray:
+            self.known.update((p, np.array(e.ids, np.int32).tobytes()) for p, e in zip(new, fast(new, add_special_tokens=False), strict=True))
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, own)), np.int32) for own in parts]
+
+    def offsets(self, ids: np.ndarray) -> np.ndarray:
         """Byte offsets at which each token starts, and the length of the whole."""
-        return np.concatenate([[0], np.cumsum(self.sizes[np.array(ids, np.int64)])]).astype(np.int64)
+        return np.concatenate([[0], np.cumsum(self.sizes[ids])]).astype(np.int64)
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, ids))
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, ids.tolist()))
 
-    def text_of(self, ids: list[int]) -> bytes:
+    def text_of(self, ids: np.ndarray) -> bytes:
         """Decimal ids with one space between them."""
-        return b" ".join(map(self.shown.__getitem__, ids))
+        return b" ".join(map(self.shown.__getitem__, ids.tolist()))
 
 
 def split_characters(raw: bytes, offsets: np.ndarray) -> int:
