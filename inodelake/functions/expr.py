@@ -106,10 +106,10 @@ def parse_size(text: str) -> int:
 
 
 def parse_duration(text: str) -> int:
-    m = re.fullmatch(r"(\d+)\s*(s|m|min|h|d|w|y)?\w*", text.strip(), re.I)
+    m = re.fullmatch(r"(\d+)\s*(s|sec|second|m|min|minute|h|hour|d|day|w|week|y|year)?s?", text.strip(), re.I)
     if not m:
         raise ValueError(f"not a duration: {text}")
-    return int(m[1]) * {"s": 1, "m": 60, "min": 60, "h": 3600, "d": 86400, "w": 604800, "y": 31536000}[(m[2] or "s").lower()]
+    return int(m[1]) * {"s": 1, "m": 60, "h": 3600, "d": 86400, "w": 604800, "y": 31536000}[(m[2] or "s")[0].lower()]
 
 
 def time_modify(duration: float, factor: float = 1.0, least: float = 0.0) -> float:
@@ -124,7 +124,7 @@ def age(column: Column, op: str, duration: float, now: int) -> Column:
 
 
 def dircount(kind: Column, count: Column, op: str, value: int) -> Column:
-    return F.when(kind != "dir", F.lit(False)).otherwise(compare(count, op, value))
+    return F.when(kind.isNull(), F.lit(None).cast("boolean")).when(kind != "dir", F.lit(False)).otherwise(compare(count, op, value))
 
 
 def status(column: Column, value: str) -> Column:
@@ -144,7 +144,7 @@ def ost_index(osts: Column, index: int, negate: bool = False) -> Column:
 
 
 def ost_pool(kind: Column, pool: Column, glob: str) -> Column:
-    return F.when(kind != "file", F.lit(False)).otherwise(like_glob(pool, glob))
+    return F.when(kind.isNull(), F.lit(None).cast("boolean")).when(kind != "file", F.lit(False)).otherwise(like_glob(pool, glob))
 
 
 def xattr(attrs: Column, name: str, glob: str) -> Column:

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Labels of the size profile, from empty files up.
+# Labels of the size profile, from empty files up.
 SIZE_LABELS = ("0", "1~31", "32~1K-", "1K~31K", "32K~1M-", "1M~31M", "32M~1G-", "1G~31G", "32G~1T-", "+1T")
 
 
@@ -28,10 +28,11 @@ def size_label(size: Column) -> Column:
 
 
 def human_size(size: Column) -> Column:
+    """Two digits after the point; halves go to the even digit, as C prints them."""
     out = F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B")))
     for k, unit in enumerate(("KB", "MB", "GB", "TB", "PB"), 1):
-        out = out.when(size < 1 << 10 * (k + 1), F.format_string(f"%.2f {unit}", size / float(1 << 10 * k)))
-    return out.otherwise(F.format_string("%.2f EB", size / float(1 << 60)))
+        out = out.when(size < 1 << 10 * (k + 1), F.format_string(f"%.2f {unit}", F.bround(size / float(1 << 10 * k), 2)))
+    return out.otherwise(F.format_string("%.2f EB", F.bround(size / float(1 << 60), 2)))
 
 
 def du_size(size: Column, mode: str = "b") -> Column:

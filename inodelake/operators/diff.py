@@ -77,3 +77,47 @@ def remove_names(names: DataFrame, entries: DataFrame, gone: DataFrame) -> tuple
 def due_tombstones(tombstones: DataFrame, now: int, delay: int) -> DataFrame:
     """Soft-removed entries whose deletion was ``delay`` seconds ago or earlier."""
     return tombstones.filter(F.col("rm_time") <= now - delay)
+
+
+# Attributes of the groups that a diff may be restricted to.
+GROUPS = {"posix": ("uid", "gid", "type", "mode", "nlink", "size", "last_access", "last_mod"), "status": ("status",), "stripe": ("ost_pool",), "path": ("parent_id", "name")}
+TIMES = ("creation_time", "last_access", "last_mod")
+
+
+def diff_columns(groups: Sequence[str], columns: Sequence[str]) -> list[str]:
+    """The columns to compare: those of the groups named (``all``: every one), less times (``notimes``, ``noatime``)."""
+    wanted = set(columns) if "all" in groups else {c for g in groups for c in GROUPS.get(g, ())}
+    less = set(TIMES) if "notimes" in groups else {"last_access"} if "noatime" in groups else set()
+    return [c for c in columns if c in wanted - less]
+
+
+def apply_diff(catalog: DataFrame, seen: DataFrame, key: str = "id") -> DataFrame:
+    """The catalog after a diff against what was seen is applied: changed and new rows taken over, gone ones removed."""
+    return upsert(catalog.join(seen.select(key), key, "left_semi"), seen, key)
+
+
+def softrm_action(kind: Column, status: Column) -> Column:
+    """What the deletion of an entry does: one that was never copied, or no file, leaves no tombstone."""
+    return F.when((kind != "file") | (F.coalesce(status, F.lit("new")) == "new"), "remove").otherwise("soft_remove")
+
+
+def undelete_listing(tombstones: DataFrame, pattern: str | None = None, ids: Sequence[str] = (), path: str = "path") -> DataFrame:
+    """Tombstones by a regex on their path, or by id; first deleted first."""
+    wanted = F.lit(True) if pattern is None else F.col(path).rlike(pattern)
+    return tombstones.filter(wanted & F.col("id").isin(*ids) if ids else wanted).orderBy("rm_time", "id")
+
+
+def recovery_table(entries: DataFrame) -> DataFrame:
+    """id, size, recov_state: everything is still to do."""
+    return entries.select("id", "size", F.lit("todo").alias("recov_state"))
+
+
+def set_recovery_state(table: DataFrame, results: DataFrame) -> DataFrame:
+    """``results`` has id and ok: done or failed; the others stay as they are."""
+    now = results.select(F.col("id").alias("r_id"), F.when(F.col("ok"), "done").otherwise("failed").alias("r_state"))
+    return table.join(now, F.col("id") == F.col("r_id"), "left").select("id", "size", F.coalesce("r_state", "recov_state").alias("recov_state"))
+
+
+def complete_recovery(table: DataFrame) -> None:
+    if not table.filter("recov_state = 'todo'").isEmpty():
+        raise ValueError("entries are still to be recovered")

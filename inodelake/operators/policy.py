@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
+from ..storage import materialize
 
 
 @dataclass(frozen=True)
@@ -75,22 +76,32 @@ def candidates(entries: DataFrame, policy: Policy, target: Column | None = None)
     return rows.withColumn("rule", matching_rule(policy)).filter(F.col("rule").isNotNull())
 
 
-def until_limit(df: DataFrame, order: Sequence[Column], amounts: dict[str, int], parts: int = 64) -> DataFrame:
-    """Rows in ``order`` while every running amount before the row is below its limit: the row that crosses is in.
-
-    The order is global but no task sees all rows: rows are dealt into ranges of the order, sums of the ranges before a
-    range come from one small table (one row a range), and only running sums inside a range use a window."""
-    placed = df.withColumn("order_key", F.struct(*order) if not isinstance(order, Column) else order)
-    ranged = placed.repartitionByRange(parts, *order).withColumn("range_no", F.spark_partition_id())
-    own = Window.partitionBy("range_no").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+def running(df: DataFrame, order: Sequence[str], amounts: dict[str, Column], parts: int | None = None) -> DataFrame:
+    """``df`` as one struct column ``row`` with the sums of ``amounts`` over all rows before it in ``order`` (names of
+    columns, with a minus where descending).
+
+    The order is global but no task sees all rows: rows are dealt into ranges of the order and written once with their
+    range, so that the ranges' sums and the rows agree; sums of the ranges before a range come from one small table (one
+    row a range), and only sums inside a range use a window. There are as many ranges as shuffle partitions, which a
+    cluster sets by its input's size, or ``parts``."""
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [f"key_{i}" for i in range(len(order))]
+    sort = [F.desc(k) if o[0] == "-" else F.asc(k) for k, o in zip(keys, order, strict=True)]
+    plain = df.select(F.struct(*df.columns).alias("row"), *[F.col(o.lstrip("-")).alias(k) for o, k in zip(order, keys, strict=True)], *[v.alias(f"own_{a}") for a, v in amounts.items()])
+    ranged = materialize(plain.repartitionByRange(n, *sort).withColumn("range_no", F.spark_partition_id()))
+    own = Window.partitionBy("range_no").orderBy(*sort).rowsBetween(Window.unboundedPreceding, -1)
     before = Window.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
-    sums = ranged.groupBy("range_no").agg(*[F.sum(a).alias(f"sum_{a}") for a in amounts])
+    sums = ranged.groupBy("range_no").agg(*[F.sum(f"own_{a}").alias(f"sum_{a}") for a in amounts])
     heads = sums.select(F.col("range_no").alias("head_no"), *[F.coalesce(F.sum(f"sum_{a}").over(before), F.lit(0)).alias(f"head_{a}") for a in amounts])
     joined = ranged.join(F.broadcast(heads), F.col("range_no") == F.col("head_no"))
-    keep = F.lit(True)
-    for a, limit in amounts.items():
-        keep &= F.col(f"head_{a}") + F.coalesce(F.sum(a).over(own), F.lit(0)) < limit
-    return joined.withColumn("keep_", keep).filter("keep_").select(*df.columns)
+    return joined.select("row", *[F.col(f"own_{a}") for a in amounts], *[(F.col(f"head_{a}") + F.coalesce(F.sum(f"own_{a}").over(own), F.lit(0))).alias(f"before_{a}") for a in amounts])
+
+
+def until_limit(df: DataFrame, order: Sequence[str], amounts: dict[str, int], parts: int | None = None) -> DataFrame:
+    """Rows in ``order`` while every running amount before the row is below its
+    limit: the row that crosses is in."""
+    keep = reduce(lambda a, b: a & b, [F.col(f"before_{a}") < limit for a, limit in amounts.items()])
+    return running(df, order, {a: F.col(a) for a in amounts}, parts).filter(keep).select("row.*")
 
 
 def effective_limit(*limits: int) -> int:
@@ -98,13 +109,39 @@ def effective_limit(*limits: int) -> int:
     return min((x for x in limits if x > 0), default=0)
 
 
-def token_periods(df: DataFrame, order: Sequence[Column], per_period: int | None = None, bytes_per_period: int | None = None, size: str = "size") -> DataFrame:
-    """The period in which a rate limit lets each action go. By count: every N rows. By size: by the bytes before (the
-    bucket may go into debt, so the one that crosses still goes)."""
-    w = Window.orderBy(*order)
-    if per_period:
-        return df.withColumn("period", F.floor((F.row_number().over(w) - 1) / per_period).cast("long"))
-    return df.withColumn("period", F.floor(F.coalesce(F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) / bytes_per_period).cast("long"))
+def max_per_run(df: DataFrame, order: Sequence[str], max_count: int = 0, max_volume: int = 0, size: str = "size") -> DataFrame:
+    """A run's share of the candidates: by count, by volume, or both (0 is no limit)."""
+    limits = {"one": max_count, "volume": max_volume}
+    if not any(limits.values()):
+        return df
+    keep = reduce(lambda a, b: a & b, [F.col(f"before_{a}") < limit for a, limit in limits.items() if limit])
+    return running(df, order, {"one": F.lit(1), "volume": F.col(size)}).filter(keep).select("row.*")
+
+
+def until_suspended(df: DataFrame, order: Sequence[str], failed: Column, least: int, percent: float) -> DataFrame:
+    """The actions (in ``order``) that run before errors suspend the run: from the first action after which there are
+    ``least`` errors and they make ``percent`` of all so far, that action included."""
+    rows = running(df, order, {"errors": failed.cast("int"), "all": F.lit(1)})
+    errors, every = F.col("before_errors") + F.col("own_errors"), F.col("before_all") + 1
+    first = rows.filter((errors >= least) & (100 * errors >= percent * every)).agg(F.min("before_all").alias("stop"))
+    return rows.join(F.broadcast(first), F.col("stop").isNull() | (F.col("before_all") <= F.col("stop"))).select("row.*")
+
+
+def token_periods(df: DataFrame, order: Sequence[str], per_period: int | None = None, bytes_per_period: int | None = None, size: str = "size", by: Sequence[str] = ()) -> DataFrame:
+    """The period in which a rate limit lets each action go (the later of both limits). By count: every N rows. By size:
+    by the bytes before (the bucket may go into debt, so the one that crosses still goes). ``by`` limits each of its
+    groups; without it the order is global, dealt into ranges."""
+    limits = {a: n for a, n in (("one", per_period), ("volume", bytes_per_period)) if n}
+    amounts = {"one": F.lit(1), "volume": F.col(size) if bytes_per_period else F.lit(0)}
+    if by:
+        w = Window.partitionBy(*by).orderBy(*[F.desc(o[1:]) if o[0] == "-" else F.asc(o) for o in order]).rowsBetween(Window.unboundedPreceding, -1)
+        before = {a: F.coalesce(F.sum(amounts[a]).over(w), F.lit(0)) for a in limits}
+        rows = df
+    else:
+        rows, before = running(df, order, amounts), {a: F.col(f"before_{a}") for a in limits}
+    periods = [F.floor(before[a] / n).cast("long") for a, n in limits.items()]
+    period = F.greatest(*periods) if len(periods) > 1 else periods[0]
+    return rows.withColumn("period", period) if by else rows.select("row.*", period.alias("period"))
 
 
 def capacity_trigger(capacity: DataFrame, high: float, low: float) -> DataFrame:
@@ -174,3 +211,83 @@ def inode_trigger(capacity: DataFrame, high: float, low: float, percent: bool =
     used = F.col("f_files") - F.col("f_ffree")
     most, least = [F.col("f_files") * x / 100 if percent else F.lit(x) for x in (high, low)]
     return capacity.withColumn("used_inodes", used).filter(used >= most).withColumn("amount", (used - F.floor(least)).cast("long"))
+
+
+def class_rule(policy: Policy, classes_: Column, targets: dict[str, str], ignored: Sequence[str] = ()) -> Column:
+    """The rule of an entry by the names of its classes: that of the first class in ``targets`` (class -> rule) which the
+    entry has; none if it has an ignored class; the default rule if none of its classes has one."""
+    out = F.when(F.arrays_overlap(classes_, F.array(*map(F.lit, ignored))), F.lit(None).cast("string")) if ignored else None
+    for name, rule in targets.items():
+        has = F.array_contains(classes_, name)
+        out = F.when(has, F.lit(rule)) if out is None else out.when(has, F.lit(rule))
+    other = F.lit(policy.default.name if policy.default else None).cast("string")
+    return other if out is None else out.otherwise(other)
+
+
+def parameters(*levels: dict[str, str]) -> dict[str, str]:
+    """Action parameters merged: policy, trigger, rule and class, the later ones over the earlier."""
+    return {k: v for level in levels for k, v in level.items()}
+
+
+def target_usage(capacity: DataFrame, members: DataFrame | None = None, target: str = "ost") -> DataFrame:
+    """target, used, total, used_pct of OSTs, or of pools (``members``: pool, ost) as sums over their OSTs; fullest first."""
+    rows = capacity if members is None else members.join(capacity, "ost")
+    key = target if members is None else "pool"
+    sums = rows.groupBy(F.col(key).alias("target")).agg(F.sum(F.col("f_blocks") - F.col("f_bfree")).alias("used"), F.sum(F.col("f_blocks") + F.col("f_bavail") - F.col("f_bfree")).alias("total"))
+    return sums.withColumn("used_pct", 100 * F.col("used") / F.col("total")).orderBy(F.desc("used_pct"), "target")
+
+
+def due_triggers(triggers: DataFrame, now: int) -> DataFrame:
+    """Triggers (name, last_check, check_interval) whose check is due; one that was never checked is. A check that failed
+    (column failed) leaves last_check as it was."""
+    due = F.coalesce(now - F.col("last_check") >= F.col("check_interval"), F.lit(True))
+    return triggers.filter(due).withColumn("next_check", F.when(F.coalesce("failed", F.lit(False)), F.col("last_check")).otherwise(now))
+
+
+def manual_run(candidates_: DataFrame, order: Sequence[str], capacity: DataFrame | None = None, percent: float | None = None, max_count: int = 0, max_volume: int = 0, blocks: str = "blocks") -> DataFrame:
+    """What an explicit run acts on: up to a count, a volume, or (by ``percent``) the blocks that bring the one target of
+    ``capacity`` down to that usage; nothing if it is below already."""
+    if percent is None:
+        return max_per_run(candidates_, order, max_count, max_volume)
+    amount = capacity_trigger(capacity, percent, percent).agg(F.coalesce(F.max("amount"), F.lit(0)).alias("amount"))
+    rows = running(candidates_, order, {"blocks": F.col(blocks)})
+    return rows.join(F.broadcast(amount), F.col("before_blocks") < F.col("amount")).select("row.*")
+
+
+def alerts(entries: DataFrame, rules: dict[str, Column], now: int) -> DataFrame:
+    """id, title, alert_status, last_check, last_alert of every valid entry: the first rule that matches alerts."""
+    title = F.coalesce(*[F.when(X.matched(rule), F.lit(name)) for name, rule in rules.items()])
+    rows = entries.filter(~F.coalesce(F.col("invalid"), F.lit(False))).select("id", title.alias("title"))
+    return rows.select("id", "title", F.when(F.col("title").isNull(), "clear").otherwise("alert").alias("alert_status"), F.lit(now).alias("last_check"), F.when(F.col("title").isNotNull(), now).alias("last_alert"))
+
+
+def removable_directories(names: DataFrame, entries: DataFrame, age: Column) -> DataFrame:
+    """Empty directories whose ``age`` condition matches: what a clean-up may remove."""
+    parents = names.select(F.col("parent_id").alias("id"))
+    return entries.filter((F.col("type") == "dir") & X.matched(age)).join(parents, "id", "left_anti")
+
+
+def run_summary(outcomes: DataFrame, policy: str, start: int, end: int, trigger: str) -> DataFrame:
+    """One row for a run: what it was, and its actions, volume, skipped and failed ones (outcome, size)."""
+    when = lambda o: F.sum((F.col("outcome") == o).cast("long"))
+    return outcomes.agg(
+        F.lit(policy).alias("policy"), F.lit(trigger).alias("trigger_kind"), F.lit(start).alias("run_start"), F.lit(end).alias("run_end"), when("ok").alias("ok"),
+        F.sum(F.when(F.col("outcome") == "ok", F.col("size"))).alias("volume"), when("gone").alias("gone"), when("accessed").alias("accessed"),
+    )
+
+
+def match_source(cached: DataFrame, fresh: DataFrame, mode: str, required: Sequence[str] = ()) -> DataFrame:
+    """Attributes that rules are matched on: ``cache`` as catalogued; ``auto`` cached ones, filled where missing, with
+    those ``required`` fresh; ``force`` fresh ones where there are any."""
+    if mode == "cache":
+        return cached
+    new = fresh.withColumnsRenamed({c: f"f_{c}" for c in fresh.columns})
+    j = cached.join(new, cached["id"] == new["f_id"], "left")
+
+    def pick(c: str) -> Column:
+        if c == "id" or f"f_{c}" not in new.columns:
+            return F.col(c)
+        first = (f"f_{c}", c) if mode == "force" or c in required else (c, f"f_{c}")
+        return F.coalesce(*first).alias(c)
+
+    return j.select(*[pick(c) for c in cached.columns])

@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.expr import parse_size
 from ..functions.scalar import size_bucket
 
+# Names of the size profile's columns.
 PROFILE = ("sz0", "sz1", "sz32", "sz1K", "sz32K", "sz1M", "sz32M", "sz1G", "sz32G", "sz1T")
 
 
@@ -30,8 +32,8 @@ def report(df: DataFrame, keys: Sequence[str], aggregates: Sequence[Column], whe
     return out if limit is None else out.limit(limit)
 
 
-def usage(size: str = "size", blocks: str = "blocks") -> list[Column]:
-    return [F.count(F.lit(1)).alias("count"), F.sum(size).alias("size"), F.sum(blocks).alias("blocks"), F.min(size).alias("min_size"), F.max(size).alias("max_size"), F.round(F.avg(size)).cast("long").alias("avg_size")]
+def usage(size: str = "size", blocks: str | None = "blocks") -> list[Column]:
+    return [F.count(F.lit(1)).alias("count"), F.sum(size).alias("size"), *([F.sum(blocks).alias("blocks")] if blocks else []), F.min(size).alias("min_size"), F.max(size).alias("max_size"), F.round(F.avg(size)).cast("long").alias("avg_size")]
 
 
 def with_total(df: DataFrame, keys: Sequence[str], aggregates: Sequence[Column]) -> DataFrame:
@@ -73,3 +75,31 @@ def native(df: DataFrame, columns: dict[str, str], filters: Sequence[tuple[str,
     if order:
         out = out.orderBy(*[F.desc(c) if down else F.asc(c) for c, down in order])
     return out if limit is None else out.limit(limit)
+
+
+def size_range(size: Column, literal: str) -> Column:
+    """``0``, ``a..b`` (b not included), ``a~b-`` (the same) or ``a..inf``, with units K, M, G, T, P, E."""
+    if literal == "0":
+        return size == 0
+    low, high = literal.replace("~", "..").rstrip("-").split("..")
+    inside = size >= parse_size(low)
+    return inside if high == "inf" else inside & (size < parse_size(high))
+
+
+def by_size_ratio(df: DataFrame, key: str, literal: str, limit: int = 20) -> DataFrame:
+    """Owners by the share of their files in a size range, highest first."""
+    inside = size_range(F.col("size"), literal)
+    return ranked(df.groupBy(key).agg((F.sum(inside.cast("int")) / F.count(F.lit(1))).alias("ratio")), [F.desc("ratio"), F.asc(key)], limit)
+
+
+def simple_filters(filters: dict[str, object], aggregates: Sequence[str] = ()) -> tuple[Column, Column]:
+    """Conditions before and after aggregation from plain keys: ``min..`` is greater, ``max..`` is less, others are LIKE."""
+    before = after = F.lit(True)
+    for key, value in filters.items():
+        name = key[3:] if key[:3] in ("min", "max") else key
+        test = F.col(name) > value if key.startswith("min") else F.col(name) < value if key.startswith("max") else F.col(name).like(str(value).replace("*", "%"))
+        if name in aggregates:
+            after &= test
+        else:
+            before &= test
+    return before, after

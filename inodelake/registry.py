@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import expr as X
@@ -78,10 +78,10 @@ def _(e: DataFrame) -> DataFrame:
     return e.filter((F.col("type") == "file") & (F.col("size") > 1_000_000) & (F.col("uid") == "u7")).select("id", "uid", "size")
 
 
-@query("a09_children", sql("SELECT n.parent_id, n.id, n.name, e.type, e.size FROM names n LEFT JOIN entries e ON n.id = e.id WHERE n.parent_id IN (SELECT id FROM entries WHERE type = 'dir' AND num % 40 = 0)", ENTRIES, NAMES))
+@query("a09_children", sql("SELECT n.parent_id, n.id, n.name, e.type, e.size FROM names n LEFT JOIN entries e ON n.id = e.id WHERE n.parent_id IN (SELECT id FROM entries WHERE type = 'dir')", ENTRIES, NAMES))
 def _(spark: SparkSession, sf: str) -> DataFrame:
     e = K.entries(spark, sf)
-    parents = e.filter("type = 'dir' AND num % 40 = 0").select(F.col("id").alias("parent_id"))
+    parents = e.filter("type = 'dir'").select(F.col("id").alias("parent_id"))
     return N.children(K.names(spark, sf), parents, e.select("id", "type", "size")).select("parent_id", "id", "name", "type", "size")
 
 
@@ -391,7 +391,7 @@ _top("g04_oldest_files", "last_access", "last_access", "type = 'file' AND NOT in
 
 @on_entries(FLAGSHIP, "SELECT *, row_number() OVER (ORDER BY size DESC, uid) AS rank FROM (SELECT uid, count(*) AS count, sum(size)::BIGINT AS size, min(size) AS min_size, max(size) AS max_size, round(avg(size))::BIGINT AS avg_size FROM entries WHERE type = 'file' GROUP BY uid) ORDER BY size DESC, uid LIMIT 20")
 def _(e: DataFrame) -> DataFrame:
-    users = R.report(e, ["uid"], [c for c in R.usage() if "blocks" not in str(c)], where=F.col("type") == "file")
+    users = R.report(e, ["uid"], R.usage(blocks=None), where=F.col("type") == "file")
     return R.ranked(users, [F.desc("size"), F.asc("uid")])
 
 
@@ -415,13 +415,12 @@ def _(e: DataFrame) -> DataFrame:
 
 @on_entries("f02_run_until_limit", "SELECT id, size FROM (SELECT id, size, coalesce(sum(size) OVER (ORDER BY last_access, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM entries WHERE type = 'file') WHERE before < 100000000000")
 def _(e: DataFrame) -> DataFrame:
-    return P.until_limit(e.filter("type = 'file'").select("id", "size", "last_access"), [F.asc("last_access"), F.asc("id")], {"size": 100_000_000_000}).select("id", "size")
+    return P.until_limit(e.filter("type = 'file'").select("id", "size", "last_access"), ["last_access", "id"], {"size": 100_000_000_000}).select("id", "size")
 
 
 @on_entries("f06_token_periods", "SELECT id, ((row_number() OVER (PARTITION BY uid ORDER BY last_mod, id) - 1) // 10)::BIGINT AS period FROM entries")
 def _(e: DataFrame) -> DataFrame:
-    w = Window.partitionBy("uid").orderBy("last_mod", "id")
-    return e.select("id", F.floor((F.row_number().over(w) - 1) / 10).cast("long").alias("period"))
+    return P.token_periods(e, ["last_mod", "id"], per_period=10, by=["uid"]).select("id", "period")
 
 
 @on_entries("f07_progress", "SELECT status, count(*) AS count, sum(size)::BIGINT AS size FROM entries GROUP BY status")
@@ -526,7 +525,7 @@ def _(e: DataFrame) -> DataFrame:
 @on_entries("j08_candidates", f"SELECT id, rule, size FROM (SELECT id, rule, size, row_number() OVER (ORDER BY last_access, id) - 1 AS before FROM (SELECT *, {RULE_SQL} AS rule FROM entries WHERE NOT invalid) WHERE rule IS NOT NULL) WHERE before < 500")
 def _(e: DataFrame) -> DataFrame:
     some = P.candidates(e, _policy()).withColumn("one", F.lit(1)).select("id", "rule", "size", "last_access", "one")
-    return P.until_limit(some, [F.asc("last_access"), F.asc("id")], {"one": 500}).select("id", "rule", "size")
+    return P.until_limit(some, ["last_access", "id"], {"one": 500}).select("id", "rule", "size")
 
 
 @query("j15_capacity_trigger", sql("SELECT ost, f_blocks, f_bfree, f_bavail, used_pct, greatest(0, (f_blocks - f_bfree) - floor((f_blocks + f_bavail - f_bfree) * 40 / 100))::BIGINT AS amount FROM (SELECT *, 100 * (f_blocks - f_bfree) / (f_blocks + f_bavail - f_bfree) AS used_pct FROM (SELECT ostidx AS ost, 10000000 AS f_blocks, 10000000 - count(*) * 1000 AS f_bfree, 10000000 - count(*) * 1000 - 100 AS f_bavail FROM stripe_items GROUP BY ostidx)) WHERE used_pct >= 30", STRIPES))
@@ -703,3 +702,180 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     used = K.stripe_items(spark, sf).groupBy(F.col("ostidx").alias("ost")).agg(F.count(F.lit(1)).alias("n"), F.max("stripe_index").alias("top"))
     capacity = used.withColumn("f_files", 2 * F.col("top") + F.col("n") + F.col("n") % 7 * 20).withColumn("f_ffree", F.col("f_files") - F.col("n"))
     return P.inode_trigger(capacity, 80, 50, percent=True).select("ost", "used_inodes", "amount")
+
+
+# ---- limits of a run, triggers, alerts ----
+
+
+@on_entries("f03_max_per_run", "SELECT id, size FROM (SELECT id, size, row_number() OVER w - 1 AS n, coalesce(sum(size) OVER (ORDER BY last_access DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM entries WHERE type = 'file' WINDOW w AS (ORDER BY last_access DESC, id)) WHERE n < 700 AND before < 30000000000000")
+def _(e: DataFrame) -> DataFrame:
+    return P.max_per_run(e.filter("type = 'file'"), ["-last_access", "id"], 700, 30_000_000_000_000).select("id", "size")
+
+
+@on_entries("f05_error_suspension", "SELECT id FROM (SELECT id, n, min(CASE WHEN errors >= 20 AND 100 * errors >= 25 * n THEN n END) OVER () AS stop FROM (SELECT id, row_number() OVER w AS n, sum(CASE WHEN num % 3 = 0 AND last_mod > 800000000 THEN 1 ELSE 0 END) OVER w AS errors FROM entries WINDOW w AS (ORDER BY last_mod, id))) WHERE stop IS NULL OR n <= stop")
+def _(e: DataFrame) -> DataFrame:
+    failed = (F.col("num") % 3 == 0) & (F.col("last_mod") > 800_000_000)
+    return P.until_suspended(e, ["last_mod", "id"], failed, 20, 25).select("id")
+
+
+@on_entries("f06_both_token_limits", "SELECT id, greatest((row_number() OVER w - 1) // 50, coalesce(sum(size) OVER (ORDER BY last_mod, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 1000000000000)::BIGINT AS period FROM entries WHERE type = 'file' WINDOW w AS (ORDER BY last_mod, id)")
+def _(e: DataFrame) -> DataFrame:
+    return P.token_periods(e.filter("type = 'file'"), ["last_mod", "id"], 50, 1_000_000_000_000).select("id", "period")
+
+
+@on_entries("j07_rule_by_class", f"SELECT id, CASE WHEN list_contains(c, 'old') THEN NULL WHEN list_contains(c, 'fresh') THEN 'fresh_files' WHEN list_contains(c, 'big') THEN 'big_files' ELSE 'default' END AS rule FROM (SELECT id, {CLASSES_SQL} AS c FROM entries)")
+def _(e: DataFrame) -> DataFrame:
+    return e.select("id", P.class_rule(_policy(), F.coalesce(P.classes(_classes()), F.array().cast("array<string>")), {"fresh": "fresh_files", "big": "big_files"}, ["old"]).alias("rule"))
+
+
+@on_entries("j11_parameters", "SELECT id, 'copy --level=3 --to=/a/' || uid AS command FROM entries WHERE type = 'file'")
+def _(e: DataFrame) -> DataFrame:
+    merged = P.parameters({"level": "1", "to": "/p/"}, {"to": "/t/"}, {"level": "3"}, {"to": "/a/"})
+    return e.filter("type = 'file'").select("id", S.placeholders(f"copy --level={merged['level']} --to={merged['to']}{{user}}", {"user": F.col("uid")}).alias("command"))
+
+
+CAPACITY_SQL = "capacity AS (SELECT ostidx AS ost, 10000000 AS f_blocks, 10000000 - count(*) * 1000 AS f_bfree, 10000000 - count(*) * 1000 - 100 AS f_bavail FROM stripe_items GROUP BY ostidx)"
+
+
+def _capacity(spark: SparkSession, sf: str) -> DataFrame:
+    used = K.stripe_items(spark, sf).groupBy(F.col("ostidx").alias("ost")).agg(F.count(F.lit(1)).alias("n"))
+    return used.select("ost", F.lit(10_000_000).alias("f_blocks"), (10_000_000 - F.col("n") * 1000).alias("f_bfree"), (10_000_000 - F.col("n") * 1000 - 100).alias("f_bavail"))
+
+
+@query("j18_pool_usage", sql("SELECT 'pool' || ost % 3 AS target, sum(f_blocks - f_bfree)::BIGINT AS used, sum(f_blocks + f_bavail - f_bfree)::BIGINT AS total, 100 * sum(f_blocks - f_bfree) / sum(f_blocks + f_bavail - f_bfree) AS used_pct FROM capacity GROUP BY 1", STRIPES, CAPACITY_SQL))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    capacity = _capacity(spark, sf)
+    return P.target_usage(capacity, capacity.select("ost", F.concat(F.lit("pool"), F.col("ost") % 3).alias("pool")))
+
+
+@on_entries("j19_due_triggers", f"SELECT id AS name, CASE WHEN num % 7 = 0 THEN last_mod ELSE {NOW} END AS next_check FROM entries WHERE {NOW} - last_mod >= num % 4 * 50000000")
+def _(e: DataFrame) -> DataFrame:
+    triggers = e.select(F.col("id").alias("name"), F.col("last_mod").alias("last_check"), (F.col("num") % 4 * 50_000_000).alias("check_interval"), (F.col("num") % 7 == 0).alias("failed"))
+    return P.due_triggers(triggers, NOW).select("name", "next_check")
+
+
+@on_entries("j21_alerts", f"SELECT id, CASE WHEN size >= 1073741824 THEN 'big' WHEN status = 'new' THEN 'fresh' END AS title, CASE WHEN size >= 1073741824 OR coalesce(status = 'new', FALSE) THEN 'alert' ELSE 'clear' END AS alert_status, {NOW} AS last_check, CASE WHEN size >= 1073741824 OR coalesce(status = 'new', FALSE) THEN {NOW} END AS last_alert FROM entries WHERE NOT invalid")
+def _(e: DataFrame) -> DataFrame:
+    return P.alerts(e, {"big": F.col("size") >= 1 << 30, "fresh": F.col("status") == "new"}, NOW)
+
+
+@query("j25_removable_directories", sql(f"SELECT id FROM entries WHERE type = 'dir' AND {NOW} - last_mod > 172800000 AND id NOT IN (SELECT parent_id FROM names)", ENTRIES, NAMES))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return P.removable_directories(K.names(spark, sf), K.entries(spark, sf), X.age(F.col("last_mod"), ">", X.parse_duration("2000 days"), NOW)).select("id")
+
+
+@query("j26_run_summary", sql(f"SELECT 'migrate' AS policy, 'manual' AS trigger_kind, {NOW} AS run_start, {NOW} + 60 AS run_end, count(*) FILTER (o = 'ok')::BIGINT AS ok, (sum(size) FILTER (o = 'ok'))::BIGINT AS volume, count(*) FILTER (o = 'gone')::BIGINT AS gone, count(*) FILTER (o = 'accessed')::BIGINT AS accessed FROM (SELECT e.size, CASE WHEN l.id IS NULL THEN 'gone' WHEN l.size <> e.size THEN 'accessed' ELSE 'ok' END AS o FROM entries e LEFT JOIN later l ON e.id = l.id)", ENTRIES, LATER))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    e = K.entries(spark, sf)
+    return P.run_summary(P.outcome(e, _later(e)), "migrate", NOW, NOW + 60, "manual")
+
+
+@query("j30_match_sources", sql("SELECT e.id, coalesce(e.status, l.status) AS status, coalesce(l.size, e.size) AS size FROM entries e LEFT JOIN later l ON e.id = l.id", ENTRIES, LATER))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    e = K.entries(spark, sf)
+    return P.match_source(e.select("id", "status", "size"), _later(e), "auto", ["size"])
+
+
+@query("j31_manual_run", sql("SELECT id FROM (SELECT e.id, coalesce(sum(e.blocks) OVER (ORDER BY last_access, e.id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM entries e WHERE type = 'file') WHERE before < (SELECT coalesce(max(greatest(0, (f_blocks - f_bfree) - floor((f_blocks + f_bavail - f_bfree) * 1 / 100))), 0) FROM capacity WHERE ost = 3 AND 100 * (f_blocks - f_bfree) / (f_blocks + f_bavail - f_bfree) >= 1)", ENTRIES, STRIPES, CAPACITY_SQL))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    files = K.entries(spark, sf).filter("type = 'file'")
+    return P.manual_run(files, ["last_access", "id"], _capacity(spark, sf).filter("ost = 3"), 1).select("id")
+
+
+# ---- tombstones, diffs, recovery ----
+
+TOMBS = f"tombs AS (SELECT id, size, type, '/t/' || uid || '/f' || num AS path, status, {NOW} - num % 100 AS rm_time FROM entries WHERE num % 4 = 0)"
+
+
+def _tombs(e: DataFrame) -> DataFrame:
+    gone = D.soft_remove(e, e.filter("num % 4 = 0"), NOW)[1]
+    return gone.select("id", "size", "type", F.concat(F.lit("/t/"), "uid", F.lit("/f"), "num").alias("path"), "status", (NOW - F.col("num") % 100).alias("rm_time"))
+
+
+@query("a10_tombstone_listing", sql("SELECT id, path, rm_time FROM tombs WHERE size > 5000 ORDER BY rm_time, id LIMIT 60", ENTRIES, TOMBS))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return D.undelete_listing(_tombs(K.entries(spark, sf)).filter("size > 5000")).select("id", "path", "rm_time").limit(60)
+
+
+@query("b29_removal_time", sql(f"SELECT id FROM tombs WHERE {NOW} - rm_time > 40", ENTRIES, TOMBS))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return _tombs(K.entries(spark, sf)).filter(X.age(F.col("rm_time"), ">", X.parse_duration("40s"), NOW)).select("id")
+
+
+@query("h06_discard_tombstones", sql("SELECT id, rm_time FROM tombs WHERE id NOT IN (SELECT id FROM entries WHERE size = 0)", ENTRIES, TOMBS))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    e = K.entries(spark, sf)
+    return D.remove(_tombs(e), e.filter("size = 0")).select("id", "rm_time")
+
+
+@query("h09_diff_by_groups", sql("SELECT e.id, '-+' AS op, 'size' AS attribute, e.size::VARCHAR AS old, l.size::VARCHAR AS new FROM entries e JOIN later l ON e.id = l.id WHERE e.size <> l.size UNION ALL SELECT coalesce(e.id, l.id), CASE WHEN e.id IS NULL THEN '++' ELSE '--' END, NULL, NULL, NULL FROM entries e FULL JOIN later l ON e.id = l.id WHERE e.id IS NULL OR l.id IS NULL", ENTRIES, LATER))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    e = K.entries(spark, sf)
+    return D.diff(e, _later(e), D.diff_columns(["posix", "notimes"], ["uid", "size", "status"]))
+
+
+@query("h10_apply_diff", sql("SELECT l.id, coalesce(l.uid, e.uid) AS uid, coalesce(l.size, e.size) AS size, coalesce(l.status, e.status) AS status FROM later l LEFT JOIN entries e ON e.id = l.id", ENTRIES, LATER))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    e = K.entries(spark, sf)
+    return D.apply_diff(e.select("id", "uid", "size", "status"), _later(e))
+
+
+@on_entries("h13_recovery_states", "SELECT CASE WHEN num % 3 = 0 THEN 'failed' WHEN num % 3 = 1 THEN 'done' ELSE 'todo' END AS recov_state, count(*)::BIGINT AS count, sum(size)::BIGINT AS size FROM entries WHERE type = 'file' GROUP BY 1")
+def _(e: DataFrame) -> DataFrame:
+    files = e.filter("type = 'file'")
+    done = D.set_recovery_state(D.recovery_table(files), files.filter("num % 3 < 2").select("id", (F.col("num") % 3 == 1).alias("ok")))
+    return done.groupBy("recov_state").agg(F.count(F.lit(1)).alias("count"), F.sum("size").alias("size"))
+
+
+@query("h14_undelete_listing", sql("SELECT id, path FROM tombs WHERE regexp_matches(path, '^/t/u1[0-9]?/')", ENTRIES, TOMBS))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return D.undelete_listing(_tombs(K.entries(spark, sf)), "^/t/u1[0-9]?/").select("id", "path")
+
+
+@on_entries("h15_tombstone_decision", "SELECT id, CASE WHEN type <> 'file' OR coalesce(status, 'new') = 'new' THEN 'remove' ELSE 'soft_remove' END AS own, CASE WHEN num % 5 = 0 OR NOT (type <> 'file' OR coalesce(status, 'new') = 'new') THEN 'soft_remove' ELSE 'remove' END AS strongest FROM entries")
+def _(e: DataFrame) -> DataFrame:
+    own = D.softrm_action(F.col("type"), F.col("status"))
+    return e.select("id", own.alias("own"), L.strongest(own, F.when(F.col("num") % 5 == 0, "soft_remove")).alias("strongest"))
+
+
+@query("i10_inferred_attributes", sql("SELECT c.idx, CASE WHEN c.type = 'CREATE' THEN 'file' END AS kind, (CASE c.type WHEN 'CREATE' THEN 1 WHEN 'HLINK' THEN e.nlink + 1 END)::INTEGER AS nlink, CASE WHEN c.type = 'CREATE' AND e.id IS NULL THEN c.time END AS creation_time FROM (SELECT idx, time, tfid, CASE type WHEN 'CLOSE' THEN 'HLINK' ELSE type END AS type FROM changelog) c LEFT JOIN entries e ON c.tfid = e.id", ENTRIES, CHANGELOG))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    records = K.changelog(spark, sf).withColumn("type", F.when(F.col("type") == "CLOSE", "HLINK").otherwise(F.col("type")))
+    return L.inferred(records, K.entries(spark, sf)).select("idx", "kind", "nlink", "creation_time")
+
+
+@query("i11_effective_updates", sql("SELECT l.id FROM later l LEFT JOIN entries e ON e.id = l.id WHERE e.id IS NULL OR (l.size IS NOT NULL AND l.size IS DISTINCT FROM e.size) OR (l.status IS NOT NULL AND l.status IS DISTINCT FROM e.status)", ENTRIES, LATER))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    e = K.entries(spark, sf)
+    return L.effective(_later(e), e, ["size", "status"]).select("id")
+
+
+@on_entries("i15_archive_events", "SELECT id, CASE num % 5 WHEN 0 THEN CASE WHEN num % 3 <> 0 THEN 'refresh' WHEN num % 2 = 0 THEN 'modified' END WHEN 1 THEN CASE WHEN num % 3 = 0 THEN 'released' ELSE 'synchro' END WHEN 2 THEN CASE WHEN num % 3 <> 0 THEN 'released' END WHEN 3 THEN 'modified' ELSE CASE WHEN status IS NULL THEN 'new' END END AS next_status FROM entries")
+def _(e: DataFrame) -> DataFrame:
+    events = F.get(F.array(*map(F.lit, ("archive", "restore", "release", "dirty", "create"))), (F.col("num") % 5).cast("int"))
+    return e.select("id", L.hsm_status(events, F.col("num") % 3 == 0, F.col("num") % 2 == 0, F.col("status")).alias("next_status"))
+
+
+# ---- further criteria, scalars and report options ----
+
+
+@on_entries("b11_more_criteria", f"SELECT id, type = 'dir' AND nlink > 1 AS links, coalesce(list_contains({CLASSES_SQL}, 'big') OR list_contains({CLASSES_SQL}, 'fresh'), FALSE) AS tagged, coalesce(last_access, 0) <> 0 AND {NOW} - last_access > 86400 AS since, type = 'file' AND size > 4096 AND projid = 1 AS all_three FROM entries")
+def _(e: DataFrame) -> DataFrame:
+    tagged = X.has_class(P.classes(_classes()), "[bf]*")
+    return e.select("id", X.dircount(F.col("type"), F.col("nlink"), ">", 1).alias("links"), tagged.alias("tagged"), X.duration_info(F.col("last_access"), ">", 86400, NOW).alias("since"), X.all_of(F.col("type") == "file", F.col("size") > 4096, F.col("projid") == 1).alias("all_three"))
+
+
+@on_entries("b43_simple_filters", "SELECT uid, count(*)::BIGINT AS count, sum(size)::BIGINT AS size FROM entries WHERE gid LIKE 'g%' AND projid > 1 GROUP BY uid HAVING sum(size) < 50000000000000")
+def _(e: DataFrame) -> DataFrame:
+    before, after = R.simple_filters({"gid": "g*", "minprojid": 1, "maxsize": 50_000_000_000_000}, ["size"])
+    return e.filter(before).groupBy("uid").agg(F.count(F.lit(1)).alias("count"), F.sum("size").alias("size")).filter(after)
+
+
+@on_entries("c03_printed_values", "SELECT id, CASE WHEN size < 1024 THEN size || ' B' WHEN size < 1048576 THEN printf('%.2f KB', size / 1024) WHEN size < 1073741824 THEN printf('%.2f MB', size / 1048576) WHEN size < 1099511627776 THEN printf('%.2f GB', size / 1073741824) ELSE printf('%.2f TB', size / 1099511627776) END AS human, printf('%dd %02dh %02dmin %02ds', last_mod // 86400, last_mod // 3600 % 24, last_mod // 60 % 60, last_mod % 60) AS age, CASE type WHEN 'file' THEN 'f' WHEN 'dir' THEN 'd' ELSE 'l' END AS letter, printf('%o', mode) AS octal FROM entries")
+def _(e: DataFrame) -> DataFrame:
+    return e.select("id", S.human_size(F.col("size")).alias("human"), S.duration(F.col("last_mod")).alias("age"), S.type_letter(F.col("type")).alias("letter"), S.octal(F.col("mode")).alias("octal"))
+
+
+@on_entries("e06_sorted_by_ratio", "SELECT uid, ratio, row_number() OVER (ORDER BY ratio DESC, uid) AS rank FROM (SELECT uid, sum(CASE WHEN size >= 1048576 AND size < 1073741824 THEN 1 ELSE 0 END) / count(*) AS ratio FROM entries GROUP BY uid) ORDER BY ratio DESC, uid LIMIT 20")
+def _(e: DataFrame) -> DataFrame:
+    return R.by_size_ratio(e, "uid", "1M~1G-")

@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A record of the key's kind says nothing new while one of these is pending for the same id.
@@ -104,6 +105,44 @@ def catalog_operation(records: DataFrame, catalog: DataFrame) -> DataFrame:
     return j.select(*records.columns, op.alias("op"))
 
 
+def inferred(records: DataFrame, catalog: DataFrame) -> DataFrame:
+    """What a record itself tells of its entry, beside the catalog (id, nlink): kind, nlink, creation time (on insert
+    only) and dircount of a new directory; null is unknown."""
+    known = catalog.select(F.col("id").alias("known_id"), F.col("nlink").alias("known_nlink"))
+    j = records.join(known, records["tfid"] == known["known_id"], "left")
+    made = F.col("type").isin("CREATE", "MKDIR", "MKNOD", "SOFTLINK")
+    kind = F.when(F.col("type").isin("MKDIR", "RMDIR"), "dir").when(F.col("type") == "SOFTLINK", "symlink").when(F.col("type") == "CREATE", "file")
+    nlink = F.when(F.col("type") == "CREATE", 1).when(F.col("type") == "HLINK", F.col("known_nlink") + 1)
+    return j.select(*records.columns, kind.alias("kind"), nlink.cast("int").alias("nlink"), F.when(made & F.col("known_id").isNull(), F.col("time")).alias("creation_time"), F.when(F.col("type") == "MKDIR", 0).alias("dircount"))
+
+
+def effective(updates: DataFrame, catalog: DataFrame, columns: list[str], key: str = "id") -> DataFrame:
+    """Updates less those of known entries that change nothing (a null says nothing)."""
+    old = catalog.select(F.col(key).alias("old_key"), *[F.col(c).alias(f"old_{c}") for c in columns])
+    changed = reduce(lambda a, b: a | b, [F.col(c).isNotNull() & ~F.col(c).eqNullSafe(F.col(f"old_{c}")) for c in columns])
+    return updates.join(old, F.col(key) == F.col("old_key"), "left").filter(F.col("old_key").isNull() | changed).select(*updates.columns)
+
+
+def hsm_status(event: Column, failed: Column, dirty: Column, current: Column) -> Column:
+    """Status after an archive event; 'refresh' where it has to be read anew, null where the event says nothing."""
+    archive = F.when(~failed, "refresh").when(dirty, "modified")
+    restore = F.when(failed, "released").otherwise("synchro")
+    return (
+        F.when(event == "archive", archive).when(event == "restore", restore).when((event == "release") & ~failed, "released").when(event == "dirty", "modified")
+        .when(event.isin("remove", "cancel"), "refresh").when((event == "create") & current.isNull(), "new")
+    )
+
+
+#: Removal actions from the weakest to the strongest.
+REMOVALS = ("none", "remove", "soft_remove")
+
+
+def strongest(*actions: Column) -> Column:
+    """The strongest of the removal actions that several status managers ask for (null asks for none)."""
+    codes = [F.coalesce(F.array_position(F.array(*map(F.lit, REMOVALS)), a), F.lit(1)) for a in actions]
+    return F.get(F.array(*map(F.lit, REMOVALS)), (F.greatest(*codes) if len(codes) > 1 else codes[0]).cast("int") - 1)
+
+
 def needs_refresh(last, now: int, policy: str, least: int = 0, most: int = 0, on_event=None):
     """Refresh policy on ``now - last``: never, always, on_event, periodic, on_event_periodic. Unknown is refreshed."""
     age = now - last

@@ -5,6 +5,7 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from inodelake import registry
@@ -176,6 +177,31 @@ def test_rule_names_must_differ():
         P.Policy("p", F.lit(True), [P.Rule("a", F.lit(True)), P.Rule("A", F.lit(True))])
 
 
+@pytest.mark.parametrize("parts", [1, 7, 64])
+def test_limits_against_one_window(spark, parts):
+    """Whatever the number of ranges and of extra columns, rows agree with one global window."""
+    files = K.entries(spark, "/root/testdata/sf0.01").filter("type = 'file'")
+    w = Window.orderBy("last_access", "id").rowsBetween(Window.unboundedPreceding, -1)
+    want = {r["id"] for r in files.withColumn("b", F.coalesce(F.sum("size").over(w), F.lit(0))).filter("b < 3000000000000000").select("id").collect()}
+    for columns in (["id", "size", "last_access"], files.columns):
+        got = [r["id"] for r in P.until_limit(files.select(*columns), ["last_access", "id"], {"size": 3_000_000_000_000_000}, parts).collect()]
+        assert 500 < len(got) == len(want) and set(got) == want
+
+
+def test_durations_are_strict():
+    assert X.parse_duration("2 hours") == 7200 and X.parse_duration("3min") == 180 and X.parse_duration("1 year") == 31536000 and X.parse_duration("5") == 5
+    for wrong in ("3months", "2x", "1 fortnight", ""):
+        with pytest.raises(ValueError):
+            X.parse_duration(wrong)
+
+
+def test_recovery_ends_only_when_all_is_done(spark):
+    table = spark.createDataFrame([("a", 1, "todo"), ("b", 2, "todo")], "id string, size long, recov_state string")
+    with pytest.raises(ValueError):
+        D.complete_recovery(D.set_recovery_state(table, spark.createDataFrame([("a", True)], "id string, ok boolean")))
+    D.complete_recovery(D.set_recovery_state(table, spark.createDataFrame([("a", True), ("b", False)], "id string, ok boolean")))
+
+
 def test_placeholders(spark):
     row = spark.createDataFrame([("n1", None)], "name string, pool string")
     shown_ = row.select(S.placeholders("mv {name} /p{pool}/x", {"name": F.col("name"), "pool": F.col("pool")})).first()[0]
