@@ -631,7 +631,7 @@ REACH, LEAST_RUN = (1, 2, 3, 4, 5, 6, 7, 8, 16, 32, 48, 64), 4
 #: Side of the blocks (a power of two) that share a predictor.
 BLOCK_BITS = 9
 #: Largest image that is written with a colour cache.
-CACHED = 256
+CACHED = 96
 
 
 def _repeats(pixels: np.ndarray) -> list[tuple[int, int, int]]:
@@ -653,11 +653,11 @@ def _repeats(pixels: np.ndarray) -> list[tuple[int, int, int]]:
     return out if sum(length for _, length, _ in out) * 2 >= n else []
 
 
-def _size(pixels: np.ndarray) -> float:
-    """Bits of the image as literals under one code, by the entropy of its bytes."""
-    counts = np.bincount(np.ascontiguousarray(pixels, "<u4").view(np.uint8), minlength=256)
+def _size(channels: np.ndarray) -> float:
+    """Bits of an image (bytes of its pixels) as literals under one code, by their entropy."""
+    counts = np.bincount(channels.ravel(), minlength=256)
     counts = counts[counts > 0]
-    return float((counts * np.log2(4 * len(pixels) / counts)).sum())
+    return float((counts * np.log2(channels.size / counts)).sum())
 
 
 def tools_for(image: np.ndarray) -> Tools:
@@ -674,7 +674,11 @@ def tools_for(image: np.ndarray) -> Tools:
     if len(pixels) <= CACHED and 10 * colours <= 9 * len(pixels):
         return Tools(cache_bits=6)
     blocks = -(-height // (1 << BLOCK_BITS)) * -(-width // (1 << BLOCK_BITS))
-    sizes = {(): _size(pixels), (SUBTRACT_GREEN,): _size(_green(pixels, -1)) + 64, (PREDICTOR,): _size(_from_top(pixels.reshape(height, width), True).ravel()) + 64 + blocks}
+    own = np.ascontiguousarray(pixels, "<u4").view(np.uint8).reshape(height, width * 4)
+    less_green = own.copy()
+    less_green[:, ::4] -= own[:, 1::4]
+    less_green[:, 2::4] -= own[:, 1::4]
+    sizes = {(): _size(own), (SUBTRACT_GREEN,): _size(less_green) + 64, (PREDICTOR,): _size(np.ascontiguousarray(_from_top(pixels.reshape(height, width), True), "<u4").view(np.uint8)) + 64 + blocks}
     return Tools(min(sizes, key=sizes.get), modes=(TOP,), block_bits=BLOCK_BITS)
 
 

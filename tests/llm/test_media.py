@@ -100,7 +100,7 @@ def test_tools_by_content():
     rows = np.arange(64 * 16, dtype=np.uint32).reshape(64, 16) * np.uint32(0x01030507)
     prose = np.frombuffer(media.pad(b"".join(RNG.choice([b"the ", b"cat ", b"sat on ", b"a mat, ", b"while it rained "], 400))), "<u4").reshape(-1, 16)
     cases = {
-        "copies": np.tile(picture(1, 16), (40, 1)), "palette": picture(40, 16, 30), "cache": np.concatenate([picture(6, 16), picture(6, 16, 20)]), "top": rows, "any": picture(40, 16), "prose": prose,
+        "copies": np.tile(picture(1, 16), (40, 1)), "palette": picture(40, 16, 30), "cache": np.concatenate([picture(3, 16), picture(3, 16, 12)]), "top": rows, "any": picture(40, 16), "prose": prose,
     }
     tools = {name: webp.tools_for(image) for name, image in cases.items()}
     assert tools["copies"].copies and tools["palette"].transforms == (webp.COLOUR_INDEXING,) and tools["top"].transforms == (webp.PREDICTOR,)
