@@ -142,3 +142,58 @@ def placeholders(template: str, values: dict[str, Column]) -> Column:
                 raise ValueError(f"unknown placeholder {{{name}}} in {template}")
             parts.append(F.coalesce(values[name].cast("string"), F.lit("")))
     return F.concat(*parts) if parts else F.lit("")
+
+
+def utc_text(t: Column, template: str = "%Y/%m/%d %H:%M:%S") -> Column:
+    """Epoch seconds as UTC text by %Y %m %d %H %M %S %F %T %s %%; null is empty, another directive an error."""
+    day = F.date_from_unix_date(F.floor(t / 86400).cast("int"))
+    clock = F.pmod(t, F.lit(86400)).cast("int")
+    two = lambda x: F.lpad(F.floor(x).cast("string"), 2, "0")
+    known = {
+        "Y": F.date_format(day, "yyyy"), "m": F.date_format(day, "MM"), "d": F.date_format(day, "dd"), "F": F.date_format(day, "yyyy-MM-dd"), "s": t.cast("string"),
+        "H": two(clock / 3600), "M": two(clock % 3600 / 60), "S": two(clock % 60), "%": F.lit("%"),
+    }
+    known["T"] = F.concat_ws(":", known["H"], known["M"], known["S"])
+    parts = []
+    for letter, text in re.findall(r"%(.?)|([^%]+)", template):
+        if not text and letter not in known:
+            raise ValueError(f"unknown date directive %{letter} in {template}")
+        parts.append(F.lit(text) if text else known[letter])
+    return F.coalesce(F.when(t.isNotNull(), F.concat(*parts)), F.lit(""))
+
+
+def printed(template: str, values: dict[str, Column]) -> Column:
+    """``template`` with each directive, %[-][0][width]letters, replaced by its value in ``values``, null as empty. A value
+    of a date directive (A, C, T, RC) is epoch seconds and takes its form from ``{...}``. Escapes: \\n, \\t, \\\\, \\NNN
+    (octal) and \\xHH; an unknown directive or escape is an error."""
+    token = re.compile(r"%%|%(?P<left>-?)(?P<zero>0?)(?P<width>\d*)(?P<name>R?[A-Za-z])(?:\{(?P<form>[^}]*)\})?|\\(?P<escape>[0-7]{3}|x[0-9A-Fa-f]{2}|[nt\\])|[^%\\]+")
+    parts, at = [], 0
+    while at < len(template):
+        found = token.match(template, at)
+        name = found and found["name"]
+        if not found or name and name not in values:
+            raise ValueError(f"unknown directive at {template[at:]!r}")
+        at = found.end()
+        if name:
+            dated = name in ("A", "C", "T", "RC")
+            value = utc_text(values[name], found["form"] or "%Y/%m/%d %H:%M:%S") if dated else F.coalesce(values[name].cast("string"), F.lit(""))
+            if found["width"]:
+                width, fill = int(found["width"]), "0" if found["zero"] and not found["left"] else " "
+                pad = F.rpad if found["left"] else F.lpad
+                value = F.when(F.length(value) < width, pad(value, width, fill)).otherwise(value)
+            parts.append(value)
+        elif code := found["escape"]:
+            own = {"n": "\n", "t": "\t", "\\": "\\"}
+            parts.append(F.lit(own[code] if code in own else chr(int(code[1:], 16) if code[0] == "x" else int(code, 8))))
+        else:
+            parts.append(F.lit("%" if found[0] == "%%" else found[0]))
+    return F.concat(*parts) if parts else F.lit("")
+
+
+def listed(e: dict[str, Column], *more: Column) -> Column:
+    """A long listing line: id, type, mode, links, owner, group, size, time of change (UTC), then ``more`` (status, class),
+    and the path. Unknown values are empty, an unknown type is ?."""
+    head = printed(r"[%Rf] %-4y %M %3n  %-10u %-10g %15s %20T ", {
+        "Rf": e["id"], "y": F.coalesce(e["type"], F.lit("?")), "M": mode_string(e["mode"]), "n": e["nlink"], "u": e["uid"], "g": e["gid"], "s": e["size"], "T": e["last_mod"],
+    })
+    return F.concat(head, *[printed(" %-15s ", {"s": x}) for x in more], F.coalesce(e["path"], F.lit("")))

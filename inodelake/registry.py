@@ -176,7 +176,20 @@ def _(e: DataFrame) -> DataFrame:
 
 @on_entries("b47_find_printf", "SELECT id, printf('%s %s %o %d %s', id, CASE type WHEN 'file' THEN 'f' WHEN 'dir' THEN 'd' ELSE 'l' END, mode, size, uid) AS line FROM entries")
 def _(e: DataFrame) -> DataFrame:
-    return e.select("id", F.concat_ws(" ", "id", S.type_letter(F.col("type")), S.octal(F.col("mode")), F.col("size").cast("string"), "uid").alias("line"))
+    values = {"Rf": F.col("id"), "y": S.type_letter(F.col("type")), "m": S.octal(F.col("mode")), "s": F.col("size"), "u": F.col("uid")}
+    return e.select("id", S.printed("%Rf %y %m %s %u", values).alias("line"))
+
+
+@on_entries("b47_printf_widths", r"""SELECT id, printf('%-12s|%16d|%08d|', id, size, num) || strftime(make_timestamp(last_mod * 1000000), '%Y-%m-%d %H:%M') || '|' || strftime(make_timestamp(creation_time * 1000000), '%Y/%m/%d %H:%M:%S') || chr(9) || 'A%' AS line FROM entries""")
+def _(e: DataFrame) -> DataFrame:
+    values = {"Rf": F.col("id"), "s": F.col("size"), "n": F.col("num"), "T": F.col("last_mod"), "RC": F.col("creation_time")}
+    return e.select("id", S.printed(r"%-12Rf|%16s|%08n|%T{%F %H:%M}|%RC\t\x41%%", values).alias("line"))
+
+
+@on_entries("b46_find_ls", """SELECT id, printf('[%s] %-4s %s %3d  %-10s %-10s %15d %20s  %-15s ', id, type, CASE mode WHEN 420 THEN 'rw-r--r--' WHEN 493 THEN 'rwxr-xr-x' ELSE 'rwxrwxrwx' END, nlink, uid, gid, size, strftime(make_timestamp(last_mod * 1000000), '%Y/%m/%d %H:%M:%S'), coalesce(status, '')) || '/' || id AS line FROM entries""")
+def _(e: DataFrame) -> DataFrame:
+    values = {c: F.col(c) for c in ("id", "type", "mode", "nlink", "uid", "gid", "size", "last_mod")}
+    return e.select("id", S.listed(values | {"path": F.concat(F.lit("/"), "id")}, F.col("status")).alias("line"))
 
 
 # ---- scalars ----

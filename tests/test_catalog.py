@@ -214,3 +214,12 @@ def test_outcomes(spark):
     planned = spark.createDataFrame([("a", 1), ("b", 2), ("c", None), ("d", 4)], "id string, size long")
     fresh = spark.createDataFrame([("a", 1), ("b", 3), ("c", None)], "id string, size long")
     assert {r["id"]: r["outcome"] for r in P.outcome(planned, fresh).collect()} == {"a": "ok", "b": "accessed", "c": "ok", "d": "gone"}
+
+
+def test_printed_directives(spark):
+    row = spark.createDataFrame([(None, 7)], "a string, n long")
+    got = row.select(S.printed(r"%a|%5n|%-3n|%03n|%T{%s}\101\\%%", {"a": F.col("a"), "n": F.col("n"), "T": F.lit(None).cast("long")}).alias("x")).first()["x"]
+    assert got == "|    7|7  |007|A\\%"
+    for bad in ("%q", "100%", r"\q", "%T{%q}"):
+        with pytest.raises(ValueError, match="unknown"):
+            S.printed(bad, {"T": F.col("n")})
