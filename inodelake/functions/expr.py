@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .scalar import sounds
+
 
 def and_(*terms: Column) -> Column:
     return reduce(lambda a, b: F.when(a.isNull(), F.lit(None).cast("boolean")).when(~a, F.lit(False)).otherwise(b), terms)
@@ -123,6 +125,17 @@ def age(column: Column, op: str, duration: float, now: int) -> Column:
     return compare(column, turned, now - int(duration))
 
 
+def sounds_like(column: Column, text: str) -> Column:
+    return sounds(column) == sounds(F.lit(text))
+
+
+def row_access(uids: list[str], gids: list[str], names: bool = False) -> Column:
+    """Rows that a user may see: their own, those of their groups and, in listings of names, those that others may write or
+    execute."""
+    own = F.col("uid").isin(*uids) | F.col("gid").isin(*gids)
+    return own | (F.col("mode").bitwiseAND(3) > 0) if names else own
+
+
 def dircount(kind: Column, count: Column, op: str, value: int) -> Column:
     return F.when(kind.isNull(), F.lit(None).cast("boolean")).when(kind != "dir", F.lit(False)).otherwise(compare(count, op, value))
 

@@ -53,8 +53,8 @@ def duration(seconds: Column) -> Column:
 
 
 def parse_date(text: Column) -> Column:
-    """``yyyymmddHHMM[SS]`` as epoch seconds."""
-    return F.unix_timestamp(F.rpad(text, 14, "0"), "yyyyMMddHHmmss")
+    """``yyyymmddHHMM[SS]`` as epoch seconds; null if it is no date."""
+    return F.unix_timestamp(F.try_to_timestamp(F.rpad(text, 14, "0"), F.lit("yyyyMMddHHmmss")))
 
 
 def mode_string(mode: Column) -> Column:
@@ -119,16 +119,30 @@ def fixed_mode(mode: Column, must: int, never: int) -> Column:
 
 
 def printable(name: Column) -> Column:
-    return F.regexp_replace(name, r"[\x00-\x1F\x7F]", "?")
+    """Bytes that are not printable ASCII, and backslashes, as \\NNN (octal)."""
+    byte = lambda x: F.conv(x, 16, 10).cast("int")
+    shown = lambda x: F.when(byte(x).between(32, 126) & (byte(x) != 92), F.char(byte(x))).otherwise(F.concat(F.lit("\\"), F.lpad(F.conv(x, 16, 8), 3, "0")))
+    escaped = F.array_join(F.transform(F.regexp_extract_all(F.hex(F.encode(name, "UTF-8")), F.lit("(..)"), 1), shown), "")
+    return F.when(name.rlike(r"^[\x20-\x5B\x5D-\x7E]*$"), name).otherwise(escaped)
+
+
+def sounds(text: Column) -> Column:
+    """Soundex of any length: first letter and codes of the others; vowels, h, w and y go before repeats do."""
+    letters = F.regexp_replace(F.upper(text), "[^A-Z]", "")
+    codes = F.translate(letters, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "01230120022455012623010202")
+    kept = F.concat(F.substring(codes, 1, 1), F.regexp_replace(F.substring(codes, 2, 1 << 30), "0", ""))
+    out = F.concat(F.substring(letters, 1, 1), F.substring(F.regexp_replace(kept, r"(.)\1+", "$1"), 2, 1 << 30))
+    return F.when(letters == "", "").when(F.length(out) < 4, F.rpad(out, 4, "0")).otherwise(out)
 
 
 def blocks_on_ost(size: Column, stripe_size: Column, count: Column, place: Column) -> Column:
-    """512-byte blocks of a file on the OST at ``place`` (from 0) of its stripes, round robin by stripe size."""
-    width = stripe_size * count
+    """512-byte blocks of a file on the OST at ``place`` (from 0) of its stripes, round robin by stripe size. None without a
+    stripe there (null place)."""
+    width = F.nullif(stripe_size * count, F.lit(0))
     full = F.floor(size / width)
     rest = size - full * width
     own = F.greatest(F.lit(0), F.least(stripe_size, rest - place * stripe_size))
-    return F.ceil((full * stripe_size + own) / 512).cast("long")
+    return F.coalesce(F.ceil((full * stripe_size + own) / 512).cast("long"), F.lit(0))
 
 
 def placeholders(template: str, values: dict[str, Column]) -> Column:

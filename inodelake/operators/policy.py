@@ -5,12 +5,14 @@ A policy run is a plan table (id, rule, order, period ...); nothing is executed
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import expr as X
 from ..storage import materialize
@@ -47,6 +49,29 @@ def classes(definitions: dict[str, Column]) -> Column:
     return F.when(known, found)
 
 
+def algebra(definitions: dict[str, Column], term: str | tuple) -> Column:
+    """A class made of others: a name, or (``union`` | ``inter`` | ``not``, terms ...), evaluated in three values."""
+    if isinstance(term, str):
+        if term not in definitions:
+            raise ValueError(f"unknown class {term}")
+        return definitions[term]
+    kind, *terms = term
+    parts = [algebra(definitions, t) for t in terms]
+    return ~parts[0] if kind == "not" else {"union": X.or_, "inter": X.and_}[kind](*parts)
+
+
+def check_classes(defined: Sequence[str], targets: Sequence[tuple[str, Sequence[str]]], ignored: Sequence[str] = ()) -> None:
+    """Raise where rules (name, classes) aren't clear: an unknown class, one of two rules, or one that is ignored too."""
+    owner: dict[str, str] = {}
+    known = {c.lower() for c in defined}
+    for rule, names in [*targets, ("ignore", ignored)]:
+        for name in map(str.lower, names):
+            if name not in known:
+                raise ValueError(f"{rule}: unknown class {name}")
+            if owner.setdefault(name, rule) != rule:
+                raise ValueError(f"class {name} is in {owner[name]} and in {rule}")
+
+
 def whitelisted(ignore: Sequence[Column]) -> Column:
     """True if any ignore condition matches; else unknown if any of them is; else false."""
     if not ignore:
@@ -109,6 +134,12 @@ def effective_limit(*limits: int) -> int:
     return min((x for x in limits if x > 0), default=0)
 
 
+def effective_limits(*limits: Column) -> Column:
+    """``effective_limit`` by row; null counts as unlimited."""
+    set_ = [F.when(x > 0, x) for x in limits]
+    return F.coalesce(F.least(*set_) if len(set_) > 1 else set_[0], F.lit(0))
+
+
 def max_per_run(df: DataFrame, order: Sequence[str], max_count: int = 0, max_volume: int = 0, size: str = "size") -> DataFrame:
     """A run's share of the candidates: by count, by volume, or both (0 is no limit)."""
     limits = {"one": max_count, "volume": max_volume}
@@ -144,6 +175,39 @@ def token_periods(df: DataFrame, order: Sequence[str], per_period: int | None =
     return rows.withColumn("period", period) if by else rows.select("row.*", period.alias("period"))
 
 
+def token_plan(df: DataFrame, by: str, order: Sequence[str], per_period: int = 0, bytes_per_period: int = 0, max_wait: int = 0, size: str = "size") -> DataFrame:
+    """``df`` with the period in which a token bucket lets each action go, and whether it was forced out of its turn.
+
+    Each group of ``by`` (a policy) has a bucket of both limits (0 is none). A period refills it up to its capacity and
+    keeps its debt of bytes; an action goes while both have tokens. One that waited ``max_wait`` periods (0: no end) goes
+    at the next refill whatever the tokens. The bucket goes from action to action, so a group is one sorted pass that
+    keeps no rows; ``token_periods`` has the unbounded case of one limit without it."""
+    schema = T.StructType([*df.schema.fields, T.StructField("period", T.LongType()), T.StructField("forced", T.BooleanType())])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner: object = object()
+        period = count = volume = 0
+        for part in batches:
+            periods, forced = [], []
+            for key, own in zip(part.column(by).to_pylist(), part.column(size).to_pylist(), strict=True):
+                if key != owner:
+                    owner, period, count, volume = key, 0, per_period, bytes_per_period
+                need = 1 if per_period and count <= 0 else 0
+                if bytes_per_period and volume <= 0:
+                    need = max(need, -volume // bytes_per_period + 1)
+                waits = min(need, max_wait) if max_wait else need
+                if waits:
+                    period, count = period + waits, per_period
+                    volume = min(volume + waits * bytes_per_period, bytes_per_period)
+                periods.append(period)
+                forced.append(waits < need)
+                count, volume = count - 1, volume - (own or 0)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(periods, pa.int64()), pa.array(forced, pa.bool_())], names=[*part.schema.names, "period", "forced"])
+
+    keys = [F.desc(o[1:]) if o[0] == "-" else F.asc(o) for o in order]
+    return df.repartition(by).sortWithinPartitions(by, *keys).mapInArrow(read, schema)
+
+
 def capacity_trigger(capacity: DataFrame, high: float, low: float) -> DataFrame:
     """Targets whose used share is at or above ``high`` percent, with the blocks to free down to ``low`` percent."""
     total = F.col("f_blocks") + F.col("f_bavail") - F.col("f_bfree")
@@ -163,8 +227,8 @@ def adaptive_interval(max_usage: Column, least: float, most: float) -> Column:
 
 
 def maintenance_factor(now: int, at: int, window: int) -> float:
-    """Share of the pre-maintenance window that is left; 1 outside it."""
-    return (at - now) / window if at - window <= now < at else 1.0
+    """Share of the pre-maintenance window that is left; 1 outside it, without a window and without a date (0)."""
+    return (at - now) / window if window and at > 0 and at - window <= now <= at else 1.0
 
 
 def alert_digest(alerts: DataFrame, most: int = 100) -> DataFrame:

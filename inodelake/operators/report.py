@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -92,6 +94,44 @@ def by_size_ratio(df: DataFrame, key: str, literal: str, limit: int = 20) -> Dat
     return ranked(df.groupBy(key).agg((F.sum(inside.cast("int")) / F.count(F.lit(1))).alias("ratio")), [F.desc("ratio"), F.asc(key)], limit)
 
 
+def scan_activity(variables: DataFrame) -> DataFrame:
+    """One row on the last scan from its variables (name, value): seconds, entries, errors, threads, entries a second."""
+    value = lambda name: F.max(F.when(F.col("name") == name, F.col("value")))
+    names = ("scan_start", "scan_end", "entries_scanned", "scan_errors", "scan_threads", "avg_ms_per_entry")
+    one = variables.filter(F.col("name").isin(*names)).agg(*[value(n).alias(n) for n in names])
+    number = lambda name: F.col(name).cast("long")
+    ms = F.col("avg_ms_per_entry").cast("double")
+    return one.select(
+        (number("scan_end") - number("scan_start")).alias("duration"), number("entries_scanned").alias("entries"), number("scan_errors").alias("errors"),
+        number("scan_threads").alias("threads"), F.when(ms > 0, 1000 / ms * number("scan_threads")).otherwise(0.0).alias("speed"),
+    )
+
+
+@dataclass(frozen=True)
+class Chart:
+    """A saved report: its columns and filters as in ``native``, and what its axes and series show."""
+
+    name: str
+    kind: str
+    columns: dict[str, str]
+    x: str
+    y: str
+    series: str | None = None
+    filters: tuple = ()
+
+    def saved(self) -> str:
+        return json.dumps(asdict(self))
+
+    @staticmethod
+    def loaded(text: str) -> Chart:
+        return Chart(**json.loads(text))
+
+    def rows(self, df: DataFrame) -> DataFrame:
+        """x, y and series (null if it has none)."""
+        out = native(df, self.columns, self.filters)
+        return out.select(F.col(self.x).alias("x"), F.col(self.y).alias("y"), (F.col(self.series) if self.series else F.lit(None)).cast("string").alias("series"))
+
+
 def simple_filters(filters: dict[str, object], aggregates: Sequence[str] = ()) -> tuple[Column, Column]:
     """Conditions before and after aggregation from plain keys: ``min..`` is greater, ``max..`` is less, others are LIKE."""
     before = after = F.lit(True)

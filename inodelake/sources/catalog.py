@@ -101,6 +101,12 @@ def stripe_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("id"), (F.col("l_linenumber") - 1).cast("int").alias("stripe_index"), (F.col("l_suppkey") % 16).cast("int").alias("ostidx")).distinct()
 
 
+def striping(stripes: DataFrame) -> DataFrame:
+    """id and its OSTs in the order of its stripes, of which a file has few."""
+    items = F.array_sort(F.collect_list(F.struct("stripe_index", "ostidx")))
+    return stripes.groupBy("id").agg(F.transform(items, lambda x: x["ostidx"]).alias("osts"))
+
+
 STRIPES = "stripe_items AS (SELECT DISTINCT l_orderkey::VARCHAR AS id, (l_linenumber - 1)::INTEGER AS stripe_index, (l_suppkey % 16)::INTEGER AS ostidx FROM lineitem)"
 
 

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # A record of the key's kind says nothing new while one of these is pending for the same id.
@@ -80,6 +80,24 @@ def compact(records: DataFrame, batch: int = 1000) -> DataFrame:
     return real.repartition("mdt").sortWithinPartitions("mdt", "idx").mapInArrow(read, real.schema)
 
 
+def without_old_states(records: DataFrame, max_age: int | None = None) -> DataFrame:
+    """Archive records (idx, time, mdt, tfid, is_state) less each state that a later record of its id follows within
+    ``max_age`` seconds, while it waits: every record drops the last state before it, so a state stays only as the last."""
+    w = Window.partitionBy("mdt", "tfid").orderBy("idx")
+    last = F.lead("time").over(w).isNull()
+    late = F.lit(False) if max_age is None else F.lead("time").over(w) - F.col("time") > max_age
+    return records.withColumn("stays", ~F.col("is_state") | last | late).filter("stays").drop("stays")
+
+
+def speeds(reports: DataFrame) -> DataFrame:
+    """Reports of readers (mdt, report_time, rec_id, rec_time) with records a second, seconds of log a second, and how far
+    the log is behind."""
+    w = Window.partitionBy("mdt").orderBy("report_time")
+    seconds = F.nullif(F.col("report_time") - F.lag("report_time").over(w), F.lit(0))
+    gain = lambda c: (F.col(c) - F.lag(c).over(w)) / seconds
+    return reports.select("*", gain("rec_id").alias("speed"), gain("rec_time").alias("ratio"), (F.col("report_time") - F.col("rec_time")).alias("behind"))
+
+
 def expand_renames(records: DataFrame) -> DataFrame:
     """One RENAME becomes: UNLINK of an overwritten target, removal of the old name, creation of the new one; ``sub``
     keeps their order. ``records`` has type, tfid, pfid, name, sfid, spfid, sname."""

@@ -16,6 +16,7 @@ from inodelake.operators import namespace as N
 from inodelake.operators import policy as P
 from inodelake.plans import cube as C
 from inodelake.sources import catalog as K
+from inodelake.sources import sinks as O
 from inodelake.streaming import changelog as L
 
 SF = "/root/testdata/sf0.001"
@@ -202,6 +203,50 @@ def test_recovery_ends_only_when_all_is_done(spark):
     D.complete_recovery(D.set_recovery_state(table, spark.createDataFrame([("a", True), ("b", False)], "id string, ok boolean")))
 
 
+@pytest.mark.parametrize(("count", "volume", "most"), [(3, 100, 0), (0, 50, 2), (4, 0, 1), (2, 30, 4)])
+def test_token_plan_against_a_clock(spark, count, volume, most):
+    """One period after the other, trying the next action until the bucket refuses it."""
+    draw = random.Random(count + most)
+    rows = [(p, i, draw.choice([0, 5, 20, 90, 400, None])) for p in ("a", "b") for i in range(60)]
+    want = {}
+    for policy in ("a", "b"):
+        queue = [r for r in rows if r[0] == policy]
+        period, tokens, left, patience = 0, count, volume, most
+        while queue:
+            forced = False
+            if period:
+                tokens, left, forced = count, min(left + volume, volume), bool(most) and patience <= 0
+            while queue:
+                short = count and tokens <= 0 or volume and left <= 0
+                if short and not forced:
+                    patience -= 1
+                    break
+                _, number, own = queue.pop(0)
+                want[policy, number] = (period, bool(short))
+                tokens, left, patience, forced = tokens - 1, left - (own or 0), most, False
+            period += 1
+    plan = P.token_plan(spark.createDataFrame(rows, "policy string, n int, size bigint"), "policy", ["n"], count, volume, most)
+    assert {(r.policy, r.n): (r.period, r.forced) for r in plan.collect()} == want
+
+
+def test_class_sets_are_checked():
+    P.check_classes(["a", "b"], [("one", ["a"])], ["b"])
+    for rules, ignored in ([("one", ["c"])], []), ([("one", ["a"]), ("two", ["A"])], []), ([("one", ["a"])], ["a"]):
+        with pytest.raises(ValueError, match="class"):
+            P.check_classes(["a", "b"], rules, ignored)
+
+
+def test_variables_are_replaced_and_removed(spark, tmp_path):
+    for values in {"a": "1", "b": "2"}, {"a": "3"}, {"b": None, "c": "4"}:
+        O.put_variables(spark, f"{tmp_path}/vars", values)
+    assert {r.name: r.value for r in O.variables(spark, f"{tmp_path}/vars").collect()} == {"a": "3", "c": "4"}
+
+
+def test_maintenance_window():
+    assert [P.maintenance_factor(n, 100, 40) for n in (59, 60, 80, 100, 101)] == [1.0, 1.0, 0.5, 0.0, 1.0]
+    assert P.maintenance_factor(5, 0, 40) == P.maintenance_factor(5, 9, 0) == 1.0
+
+
 def test_placeholders(spark):
     row = spark.createDataFrame([("n1", None)], "name string, pool string")
     shown_ = row.select(S.placeholders("mv {name} /p{pool}/x", {"name": F.col("name"), "pool": F.col("pool")})).first()[0]
