@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bag_minhash, bpe, html_extract, line_dedup, media, mixing, quality_classifier, quality_rules, toxicity, url_filter
+from . import bag_minhash, bpe, fingerprint, html_extract, line_dedup, media, mixing, quality_classifier, quality_rules, toxicity, url_filter
 from .spark_io import table
 
 
@@ -54,13 +54,21 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.apply(pages, url_filter.listed_hosts(pages))
 
 
+def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.apply(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_quality_rules, op2_toxicity, op3_source_mixing, op4_media_columns, op5_byte_bpe,
         op6_quality_classifier, op7_html_extraction, op8_line_dedup, op9_minhash_near_dedup, op10_url_filters,
+        op11_document_fingerprints,
     )
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.oracle_sql(), "op3_source_mixing": mixing.ORACLE_SQL, "op10_url_filters": url_filter.oracle_sql()}
+    return {
+        "op1_quality_rules": quality_rules.oracle_sql(), "op3_source_mixing": mixing.ORACLE_SQL, "op10_url_filters": url_filter.oracle_sql(),
+        "op11_document_fingerprints": fingerprint.oracle_sql(),
+    }
