@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bag_minhash, bpe, fingerprint, html_extract, line_dedup, media, mixing, quality_classifier, quality_rules, toxicity, url_filter, whitening
+from . import bag_minhash, bpe, fingerprint, html_extract, line_dedup, media, mixing, quality_classifier, quality_rules, token_alignment, toxicity, url_filter, whitening
 from .spark_io import table
 
 
@@ -58,6 +58,10 @@ def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.apply(table(spark, sf_dir, "documents"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.apply(table(spark, sf_dir, "documents"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.apply(table(spark, sf_dir, "embeddings"))
 
@@ -66,7 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_quality_rules, op2_toxicity, op3_source_mixing, op4_media_columns, op5_byte_bpe,
         op6_quality_classifier, op7_html_extraction, op8_line_dedup, op9_minhash_near_dedup, op10_url_filters,
-        op11_document_fingerprints, op13_embedding_whitening,
+        op11_document_fingerprints, op12_token_alignment, op13_embedding_whitening,
     )
     return {f.__name__: f for f in every}
 
