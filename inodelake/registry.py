@@ -11,12 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import criteria as B
 from .functions import expr as X
 from .functions import scalar as S
 from .operators import diff as D
 from .operators import namespace as N
 from .operators import policy as P
 from .operators import report as R
+from .operators.ruleset import RuleSet
 from .plans import cube as C
 from .sources import catalog as K
 from .sources import sinks as O
@@ -1094,3 +1096,64 @@ def _(e: DataFrame) -> DataFrame:
 def _(spark: SparkSession, sf: str) -> DataFrame:
     usage = P.target_usage(_capacity(spark, sf))
     return usage.select(F.col("target").alias("ost"), P.adaptive_interval(F.col("used_pct"), 600, 86400).alias("seconds"))
+
+
+# ---- rules read from text ----
+
+RULES = """
+# long-lived data first; what users of the first pool own stays
+define_policy cleanup {
+    scope { type != directory and status != released }
+    status_manager = basic;
+    default_action = unlink;
+    default_lru_sort_attr = last_access;
+}
+FileClass big { definition { size >= 100MB } }
+FileClass small_new { definition { size < 1MB and last_mod < 3000d } }
+FileClass owned { definition { owner == "u1*" or group == g3 } report = no; }
+FileClass big_owned { definition { big inter owned } }
+FileClass other { definition { not big union small_new } }
+FileClass second { definition { type == file and projid != 1 and ost_pool == "pool_[b-z]" } }
+
+cleanup_rules {
+    ignore { owner == u7 or ost_pool == pool_a }
+    ignore { size == 0 }
+    rule owned_data { target_fileclass = big_owned; condition { last_access > 2200d and not nlink == 2 } action = archive; }
+    rule young { target_fileclass = small_new; condition = true; action_params { level = 3; } }
+    rule second { target_fileclass = second; condition { last_mod > 8y or projid == 2 and size > 1GB } }
+    rule default { condition { creation > 3000d or size > 40GB } }
+}
+cleanup_parameters { lru_sort_attr = last_mod(desc); max_action_count = 500; }
+cleanup_trigger { trigger_on = user_usage(u1, u2); high_threshold_pct = 20%; low_threshold_pct = 15%; check_interval = 5min; }
+"""
+RULE_CONTEXT = B.Context(now=NOW, statuses=("new", "modified", "synchro", "released"), stored=frozenset({"uid", "gid", "projid", "size", "type", "last_mod", "last_access", "creation_time", "nlink", "status", "ost_pool"}))
+_BIG, _SMALL, _OWNED = "size >= 104857600", f"(size < 1048576 AND {NOW} - last_mod < 259200000)", "(uid LIKE 'u1%' OR gid = 'g3')"
+RULES_SQL = f"""rules AS (
+  SELECT *, {_BIG} AS big, {_SMALL} AS small_new, {_BIG} AND {_OWNED} AS big_owned, NOT ({_BIG} OR {_SMALL}) AS other,
+    CASE WHEN type = 'file' AND projid <> 1 THEN regexp_full_match(ost_pool, 'pool_[b-z]') ELSE FALSE END AS second,
+    CASE WHEN uid = 'u7' THEN TRUE WHEN type <> 'file' THEN FALSE ELSE ost_pool = 'pool_a' END AS kept
+  FROM entries),
+acted AS (
+  SELECT *, CASE WHEN big_owned THEN CASE WHEN {NOW} - last_access > 190080000 AND nlink <> 2 THEN 'owned_data' END
+    WHEN small_new THEN 'young'
+    WHEN coalesce(second, FALSE) THEN CASE WHEN {NOW} - last_mod > 252288000 OR (projid = 2 AND size > 1073741824) THEN 'second' END
+    WHEN {NOW} - creation_time > 259200000 OR size > 42949672960 THEN 'default' END AS rule
+  FROM rules WHERE NOT invalid AND type <> 'dir' AND coalesce(status, '') <> 'released' AND kept = FALSE AND size <> 0)"""
+
+
+@query("j32_rules_from_text", sql("SELECT id, rule, CASE rule WHEN 'owned_data' THEN 'archive' ELSE 'unlink' END AS action FROM acted WHERE rule IS NOT NULL", ENTRIES, RULES_SQL))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    rules = RuleSet.read(RULES)
+    policy = rules.policy("cleanup", RULE_CONTEXT)
+    return P.candidates(K.entries(spark, sf), policy).select("id", "rule", P.action(policy, rules.policies["cleanup"].action).alias("action"))
+
+
+@query("j02_classes_from_text", sql("SELECT id, array_to_string(list_filter([CASE WHEN big THEN 'big' END, CASE WHEN small_new THEN 'small_new' END, CASE WHEN big_owned THEN 'big_owned' END, CASE WHEN other THEN 'other' END, CASE WHEN second THEN 'second' END], lambda x: x IS NOT NULL), '+') AS classes FROM rules", ENTRIES, RULES_SQL))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return K.entries(spark, sf).select("id", F.array_join(P.classes(RuleSet.read(RULES).class_columns(RULE_CONTEXT)), "+").alias("classes"))
+
+
+@query("b09_prefiltered_candidates", sql("SELECT rule, count(*)::BIGINT AS count, sum(size)::BIGINT AS size FROM acted WHERE rule IS NOT NULL GROUP BY rule", ENTRIES, RULES_SQL))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    found = RuleSet.read(RULES).candidates(K.entries(spark, sf), "cleanup", RULE_CONTEXT)
+    return found.groupBy("rule").agg(F.count(F.lit(1)).alias("count"), F.sum("size").alias("size"))
