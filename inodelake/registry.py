@@ -13,17 +13,20 @@ from pyspark.sql import functions as F
 
 from .functions import criteria as B
 from .functions import expr as X
+from .functions import ruletext as T
 from .functions import scalar as S
 from .operators import diff as D
 from .operators import namespace as N
 from .operators import policy as P
 from .operators import report as R
+from .operators import targets as G
 from .operators.ruleset import RuleSet
 from .plans import cube as C
+from .plans import route as W
 from .sources import catalog as K
 from .sources import sinks as O
 from .sources.catalog import CHANGELOG, ENTRIES, NAMES, NOW, STRIPES, sql
-from .storage import shared_dir
+from .storage import materialize, shared_dir
 from .streaming import changelog as L
 
 FLAGSHIP = "g03_top_users"
@@ -1157,3 +1160,76 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 def _(spark: SparkSession, sf: str) -> DataFrame:
     found = RuleSet.read(RULES).candidates(K.entries(spark, sf), "cleanup", RULE_CONTEXT)
     return found.groupBy("rule").agg(F.count(F.lit(1)).alias("count"), F.sum("size").alias("size"))
+
+
+# ---- reports by cube or base ----
+
+_OWNERS = W.Report(("uid", "type"), ("count", "sum_size", "avg_size", "sum_blocks", "profile"), T.condition("(group == g3 or group == 'g[56]') and not status == released"), (("count", ">=", 3),), ("-sum_size", "uid", "type"), 60)
+_LARGE = W.Report(("gid",), ("count", "sum_size", "avg_size", "min_size", "max_size", "distinct_uid"), T.condition("size > 1MB and type == file"))
+
+
+@query("e02_report_from_cube", sql(f"SELECT uid, type, count(*)::BIGINT AS count, sum(size)::BIGINT AS sum_size, round(sum(size) / count(size))::BIGINT AS avg_size, sum(blocks)::BIGINT AS sum_blocks, {PROFILE_SQL} FROM entries WHERE gid IN ('g3', 'g5', 'g6') AND coalesce(status, '') <> 'released' GROUP BY uid, type HAVING count(*) >= 3 ORDER BY sum_size DESC, uid, type LIMIT 60"))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    e = K.entries(spark, sf)
+    return W.run(_OWNERS, e, materialize(W.build(e)), RULE_CONTEXT)
+
+
+@query("e02_report_from_entries", sql("SELECT gid, count(*)::BIGINT AS count, sum(size)::BIGINT AS sum_size, round(sum(size) / count(size))::BIGINT AS avg_size, min(size)::BIGINT AS min_size, max(size)::BIGINT AS max_size, count(DISTINCT uid)::BIGINT AS distinct_uid FROM entries WHERE size > 1048576 AND type = 'file' GROUP BY gid"))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    e = K.entries(spark, sf)
+    return W.run(_LARGE, e, W.build(e), RULE_CONTEXT)
+
+
+# ---- runs for many targets ----
+
+QUOTA_RULES = """
+define_policy purge { scope { type == file } default_action = unlink; default_lru_sort_attr = last_access; }
+purge_rules { ignore { status == new } rule default { condition { size > 0 } } }
+purge_trigger { trigger_on = user_usage; high_threshold_pct = 2.2%; low_threshold_pct = 2%; check_interval = 1h; }
+purge_trigger { trigger_on = group_count(g1, g2, g4); high_threshold_cnt = 100; low_threshold_cnt = 90; check_interval = 1h; }
+purge_trigger { trigger_on = pool_usage; high_threshold_pct = 2%; low_threshold_pct = 1.9%; check_interval = 1h; }
+"""
+
+
+def _purge(spark: SparkSession, sf: str, number: int):
+    rules, e = RuleSet.read(QUOTA_RULES), K.entries(spark, sf)
+    policy = rules.policies["purge"]
+    return e, policy, policy.triggers[number], rules.candidates(e, "purge", RULE_CONTEXT).drop("rule")
+
+
+def _before(target: str, amount: str) -> str:
+    return f"coalesce(sum({amount}) OVER (PARTITION BY {target} ORDER BY last_access, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+
+
+_PURGED = "purged AS (SELECT * FROM entries WHERE NOT invalid AND type = 'file' AND coalesce(status, '') <> 'new' AND size > 0)"
+
+
+@query("f02_user_limits", sql(f"SELECT p.uid, p.id, p.blocks FROM (SELECT p.*, {_before('p.uid', 'blocks')} AS before FROM purged p) p JOIN users u ON p.uid = u.target WHERE before < u.blocks", ENTRIES, _PURGED, """
+users AS (SELECT uid AS target, (sum(blocks) - floor((SELECT sum(blocks) FROM entries) * 2.0::DOUBLE / 100))::BIGINT AS blocks FROM entries GROUP BY uid HAVING sum(blocks) > (SELECT sum(blocks) FROM entries) * 2.2::DOUBLE / 100)"""))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    e, policy, trigger, candidates = _purge(spark, sf, 0)
+    total = e.agg(F.sum("blocks")).first()[0]
+    limits = G.triggered(e, trigger, total=total).withColumnRenamed("blocks", "amount").withColumn("blocks", F.col("amount"))
+    return G.run_plan(candidates, policy, limits, "uid", "blocks").select("uid", "id", "blocks")
+
+
+@query("f02_group_counts", sql(f"SELECT gid, count(*)::BIGINT AS files, max(last_access)::BIGINT AS newest FROM (SELECT p.*, {_before('gid', '1')} AS before FROM purged p WHERE gid IN ('g1', 'g2', 'g4')) p JOIN (SELECT gid AS target, count(*) - 90 AS most FROM entries GROUP BY gid HAVING count(*) > 100) u ON p.gid = u.target WHERE before < u.most GROUP BY gid", ENTRIES, _PURGED))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    e, policy, trigger, candidates = _purge(spark, sf, 1)
+    plan = G.run_plan(candidates, policy, G.triggered(e, trigger), "gid", "count")
+    return plan.groupBy("gid").agg(F.count(F.lit(1)).alias("files"), F.max("last_access").alias("newest"))
+
+
+POOLS_SQL = """usages AS (SELECT 'ost' || ost AS target, (f_blocks - f_bfree)::BIGINT AS used, (f_blocks + f_bavail - f_bfree)::BIGINT AS total FROM capacity),
+full_osts AS (SELECT target, greatest(0, used - floor(total * 3.4::DOUBLE / 100))::BIGINT * 1000 AS blocks, row_number() OVER (ORDER BY 100 * used / total DESC, target) AS rank FROM usages WHERE 100 * used / total >= 3.5),
+placed AS (SELECT p.*, 'ost' || s.ostidx AS target FROM purged p JOIN (SELECT DISTINCT id, ostidx FROM stripe_items) s ON p.id = s.id),
+assigned AS (SELECT a.*, o.blocks AS most FROM placed a JOIN full_osts o USING (target) WHERE o.rank = (SELECT min(x.rank) FROM placed y JOIN full_osts x USING (target) WHERE y.id = a.id))"""
+
+
+@query("j18_ost_runs", sql(f"SELECT target, id, blocks FROM (SELECT *, {_before('target', 'blocks')} AS before FROM assigned) WHERE before < most", ENTRIES, STRIPES, CAPACITY_SQL, _PURGED, POOLS_SQL))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    _, policy, _, candidates = _purge(spark, sf, 0)
+    usage = P.target_usage(_capacity(spark, sf)).withColumn("target", F.concat(F.lit("ost"), "target"))
+    full = materialize(G.usage_targets(usage, 3.5, 3.4).withColumn("blocks", F.col("blocks") * 1000))
+    osts = K.stripe_items(spark, sf).select("id", F.concat(F.lit("ost"), "ostidx").alias("target")).distinct()
+    return G.run_plan(G.once(candidates.join(osts, "id"), "id", full), policy, full, "target", "blocks").select("target", "id", "blocks")
