@@ -24,8 +24,11 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +41,8 @@ from .spark_io import materialize
 
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
 SHORT = 40
-REMEMBERED = 300_000
+REMEMBERED = 600_000
+TOKENS = 4_000_000
 
 
 def default_paths() -> tuple[str, str]:
@@ -64,6 +68,9 @@ class Bytes:
             self.pieces[i] = piece
         self.encode = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        return list(map(self.encode, texts))
+
 
 class Pieces:
     """The piece vocabulary. It puts a space in front by itself, so a text is given without its first one."""
@@ -78,8 +85,9 @@ class Pieces:
             raise ValueError(f"{path} has pieces that go on over a space, so texts can't be cut at spaces")
         self.space = [names.index("▁")]
 
-    def encode(self, text: str) -> list[int]:
-        return self.model.encode(text[1:], num_threads=1) if text != " " else self.space
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        every = self.model.encode([t[1:] for t in texts], num_threads=1)
+        return [ids if t != " " else self.space for t, ids in zip(texts, every, strict=True)]
 
 
 #: A text (with a space in front) cut before every run of white space that begins with a space and follows another character.
@@ -87,27 +95,69 @@ CHUNKS = re.compile(r"\s*\S+(?:(?! )\s+\S*)*|\s+").findall
 
 
 class Encoder:
-    """Ids of both vocabularies for whole texts. Neither merges over a cut, so each chunk is encoded for itself; those of up to
-    ``SHORT`` characters are remembered, ``REMEMBERED`` at most, then anew."""
+    """Ids of both vocabularies for whole texts. Neither merges over a cut, so each chunk is encoded for itself, and its ids are
+    kept in two flat arrays by the chunk's number; chunks of up to ``SHORT`` characters keep their number until there are
+    ``REMEMBERED`` of them or ``TOKENS`` ids, then all begins anew."""
 
     def __init__(self, first: str, second: str) -> None:
         self.first, self.second = Bytes(first), Pieces(second)
-        self.known: dict[str, tuple[list[int], list[int]]] = {}
-
-    def __call__(self, text: str) -> tuple[list[int], list[int]]:
-        a: list[int] = []
-        b: list[int] = []
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        for chunk in CHUNKS(" " + text):
-            ids = self.known.get(chunk)
-            if ids is None:
-                ids = self.first.encode(chunk), self.second.encode(chunk)
-                if len(chunk) <= SHORT:
-                    self.known[chunk] = ids
-            a += ids[0]
-            b += ids[1]
-        return a, b
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids = array("i"), array("i")
+        self.starts = array("q", [0]), array("q", [0])
+        self.fine = bytearray()
+
+    def _add(self, chunks: list[str]) -> None:
+        """Encode chunks and number them; ``fine`` tells whether the bytes of both sides' tokens are the chunk's."""
+        raw = [chunk.encode() for chunk in chunks]
+        whole, lengths, fine = b"".join(raw), list(map(len, raw)), True
+        for vocabulary, flat, starts in zip((self.first, self.second), self.ids, self.starts, strict=True):
+            every = vocabulary.encode_all(chunks)
+            new = list(chain.from_iterable(every))
+            pieces = list(map(vocabulary.pieces.__getitem__, new))
+            ends = np.cumsum(list(map(len, every)))
+            sizes = np.concatenate([[0], np.cumsum(list(map(len, pieces)))])[ends]
+            if not (b"".join(pieces) == whole and (sizes == np.cumsum(lengths)).all()):
+                fine = False
+            starts.extend((ends + len(flat)).tolist())
+            flat.extend(new)
+        first = len(self.fine)
+        self.known.update(zip(chunks, range(first, first + len(chunks)), strict=True))
+        self.fine.extend(b"\x01" * len(chunks) if fine else bytes(self._is_fine(first + i, r) for i, r in enumerate(raw)))
+
+    def _is_fine(self, number: int, raw: bytes) -> bool:
+        sides = zip((self.first, self.second), self.ids, self.starts, strict=True)
+        return all(b"".join(map(v.pieces.__getitem__, ids[starts[number] : starts[number + 1]])) == raw for v, ids, starts in sides)
+
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of both sides, one text after another, and where each text begins among them (and the end). A text has none
+        if it is null or empty, or a chunk of it is not fine."""
+        if len(self.known) > REMEMBERED or len(self.ids[0]) > TOKENS:
+            self.clear()
+        parts = [CHUNKS(" " + t) if t else [] for t in texts]
+        flat = [chunk for own in parts for chunk in own]
+        numbers = list(map(self.known.get, flat))
+        new = list(dict.fromkeys(chunk for chunk, number in zip(flat, numbers, strict=True) if number is None))
+        if new:
+            self._add(new)
+            numbers = list(map(self.known.__getitem__, flat))
+            for chunk in new:
+                if len(chunk) > SHORT:
+                    del self.known[chunk]
+        n = np.array(numbers, np.int64)
+        of_text = np.repeat(np.arange(len(texts)), list(map(len, parts)))
+        bad = np.zeros(len(texts), bool)
+        bad[of_text[np.frombuffer(self.fine, np.uint8)[n] == 0]] = True
+        n, of_text = n[~bad[of_text]], of_text[~bad[of_text]]
+        out = []
+        for ids, starts in zip(self.ids, self.starts, strict=True):
+            at = np.frombuffer(starts, np.int64)
+            sizes = at[n + 1] - at[n]
+            where = np.repeat(at[n] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+            out += [np.frombuffer(ids, np.int32)[where].astype(np.int64) if len(where) else np.zeros(0, np.int64), np.concatenate([[0], np.cumsum(np.bincount(of_text, sizes, len(texts)))]).astype(np.int64)]
+        return out[0], out[2], out[1], out[3]
 
 
 @lru_cache(maxsize=2)
@@ -126,32 +176,31 @@ def runs(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
     """Groups of the ascending ends ``a`` and ``b`` of two token sequences over the same bytes, as runs (i, j, n): ``n`` groups whose
     last tokens are i, i + 1 ... on the one side and j, j + 1 ... on the other. A run is a one-to-one stretch, or one irregular group."""
     out: list[tuple[int, int, int]] = []
-    if not a:
-        return out
     a, b = [*a, -1], [*b, -2]  # unlike ends, at which every probe stops
     i = j = 0
     n = len(a) - 1
     while i < n:
-        start, step = i, 1
-        while a[i : i + step] == b[j : j + step]:
-            i, j, step = i + step, j + step, 2 * step
-        while step > 1:
-            step //= 2
-            if a[i : i + step] == b[j : j + step]:
-                i, j = i + step, j + step
-        if i > start:
+        if a[i] == b[j]:
+            start, i, j, step = i, i + 1, j + 1, 1
+            while a[i : i + step] == b[j : j + step]:
+                i, j, step = i + step, j + step, 2 * step
+            while step > 1:
+                step //= 2
+                if a[i : i + step] == b[j : j + step]:
+                    i, j = i + step, j + step
             out.append((start, j - i + start, i - start))
-        if i < n:
-            x, y = a[i], b[j]
-            while x != y:
-                if x < y:
-                    i += 1
-                    x = a[i]
-                else:
-                    j += 1
-                    y = b[j]
-            out.append((i, j, 1))
-            i, j = i + 1, j + 1
+            if i == n:
+                break
+        x, y = a[i], b[j]
+        while x != y:
+            if x < y:
+                i += 1
+                x = a[i]
+            else:
+                j += 1
+                y = b[j]
+        out.append((i, j, 1))
+        i, j = i + 1, j + 1
     return out
 
 
@@ -173,31 +222,37 @@ class Aligner:
         self.most = most
         self.shown = [b"%d%s" % (i, after) for after in (b",", b"|", b";") for i in range(most)]
 
-    def align(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Ids on both sides and the last token of each group; nothing where a side's bytes are not those of a space and the text."""
-        none = (np.zeros(0, np.int64),) * 4
-        if not text:
-            return none
-        want = b" " + text.encode()
-        ids = self.encode(text)
-        if any(b"".join(map(pieces.__getitem__, own)) != want for pieces, own in zip(self.pieces, ids, strict=True)):
-            return none
-        a, b = np.array(ids[0], np.int64), np.array(ids[1], np.int64)
-        found = runs(np.cumsum(self.sizes[0][a]).tolist(), np.cumsum(self.sizes[1][b]).tolist())
-        return a, b, *last_tokens(found)
-
-    def written(self, a: np.ndarray, b: np.ndarray, a_last: np.ndarray, b_last: np.ndarray) -> bytes:
-        """``a1,a2|b1;a3|b2,b3``: a token's place is after all of its own side and those of the other side's groups before."""
-        if not len(a):
-            return b""
-        after_a, after_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
-        after_a[a_last], after_b[b_last] = 1, 2
+    def align(self, texts: list[str | None]) -> Aligned:
+        """All texts as one sequence: at a text's end, tokens of both sides end."""
+        a, b, a_starts, b_starts = self.encode(texts)
+        last = last_tokens(runs(np.cumsum(self.sizes[0][a]).tolist(), np.cumsum(self.sizes[1][b]).tolist()))
+        return Aligned(a, b, *last, a_starts, b_starts, np.searchsorted(last[0], a_starts))
+
+    def written(self, x: Aligned) -> list[bytes]:
+        """``a1,a2|b1;a3|b2,b3`` of each text: a token's place is after all of its own side and those of the other side's
+        groups before."""
+        after_a, after_b = np.zeros(len(x.a), np.int64), np.zeros(len(x.b), np.int64)
+        after_a[x.a_last], after_b[x.b_last] = 1, 2
         of_a, of_b = np.cumsum(after_a) - after_a, (np.cumsum(after_b) - after_b) // 2  # each token's group
-        out = np.empty(len(a) + len(b), np.int64)
-        b_before, a_upto = np.concatenate([[0], b_last + 1]), a_last + 1
-        out[np.arange(len(a)) + b_before[of_a]] = a + self.most * after_a
-        out[np.arange(len(b)) + a_upto[of_b]] = b + self.most * after_b
-        return b"".join(map(self.shown.__getitem__, out.tolist()))[:-1]
+        out = np.empty(len(x.a) + len(x.b), np.int64)
+        b_before, a_upto = np.concatenate([[0], x.b_last + 1]), x.a_last + 1
+        out[np.arange(len(x.a)) + b_before[of_a]] = x.a + self.most * after_a
+        out[np.arange(len(x.b)) + a_upto[of_b]] = x.b + self.most * after_b
+        shown, at = list(map(self.shown.__getitem__, out.tolist())), (x.a_starts + x.b_starts).tolist()
+        return [b"".join(shown[i:j])[:-1] for i, j in pairwise(at)]
+
+
+@dataclass(frozen=True)
+class Aligned:
+    """Several texts' ids on both sides, the last token of each group, and where each text's tokens and groups begin (and the end)."""
+
+    a: np.ndarray
+    b: np.ndarray
+    a_last: np.ndarray
+    b_last: np.ndarray
+    a_starts: np.ndarray
+    b_starts: np.ndarray
+    starts: np.ndarray
 
 
 def alignments(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFrame:
@@ -207,9 +262,11 @@ def alignments(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner(*(own or default_paths()))
         for batch in slices(batches, "text"):
-            rows = [aligner.align(t) for t in batch.column("text").to_pylist()]
-            ints = lambda values: pa.array(values, pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[ints([r[k] for r in rows]) for k in range(4)]], names=["doc_id", "a_ids", "b_ids", "a_last", "b_last"])
+            x = aligner.align(batch.column("text").to_pylist())
+            lists = lambda values, starts: pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(values, pa.int32()))
+            of = np.repeat(np.arange(batch.num_rows), np.diff(x.starts))
+            columns = [lists(x.a, x.a_starts), lists(x.b, x.b_starts), lists(x.a_last - x.a_starts[of], x.starts), lists(x.b_last - x.b_starts[of], x.starts)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "a_ids", "b_ids", "a_last", "b_last"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, a_ids array<int>, b_ids array<int>, a_last array<int>, b_last array<int>")
@@ -222,13 +279,10 @@ def _documents(docs: DataFrame, paths: tuple[str, str] | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner(*(own or default_paths()))
         for batch in slices(batches, "text"):
-            columns: list[list] = [[] for _ in range(6)]
-            for text in batch.column("text").to_pylist():
-                a, b, a_last, b_last = aligner.align(text)
-                pairs, numbers = np.unique((a[a_last] << 32) + b[b_last], return_counts=True)
-                digest = hashlib.sha256(aligner.written(a, b, a_last, b_last)).hexdigest() if len(a) else ""
-                for column, value in zip(columns, (len(a), len(b), len(a_last), digest, pairs, numbers), strict=True):
-                    column.append(value)
+            x = aligner.align(batch.column("text").to_pylist())
+            linked = [np.unique(own, return_counts=True) for own in np.split((x.a[x.a_last] << 32) + x.b[x.b_last], x.starts[1:-1])]
+            digests = [hashlib.sha256(s).hexdigest() if s else "" for s in aligner.written(x)]
+            columns = [*map(np.diff, (x.a_starts, x.b_starts, x.starts)), digests, [p for p, _ in linked], [n for _, n in linked]]
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "pair", "number"])
 

@@ -100,7 +100,8 @@ def test_ids_equal_those_of_whole_texts(aligner):
     parts = ["a", "the", "Zürich", " ", "  ", "\n", "\t", ".", "'s", "12", "▂", "漢", " ", " ", "\x1c", "-", "\r\n"]
     for _ in range(400):
         text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 40)))
-        assert aligner.encode(text) == (plain.a.encode(" " + text, add_special_tokens=False).ids, plain.b.encode(text)), repr(text)
+        a, b, *_ = aligner.encode([text])
+        assert (a.tolist(), b.tolist()) == (plain.a.encode(" " + text, add_special_tokens=False).ids, plain.b.encode(text)), repr(text)
 
 
 def test_runs_are_all_common_ends():
@@ -130,7 +131,15 @@ def test_alignments_keep_ids_and_groups(spark):
 def test_empty_table_and_very_long_texts(spark, aligner):
     assert A.apply(spark.createDataFrame([], SCHEMA)).collect() == []
     long = "many words, one after another. " * 60_000
-    a, b, x, y = aligner.align(long)
-    assert len(a) == len(A.encoder(*A.default_paths()).first.encode(" " + long)) and x[-1] == len(a) - 1
-    one = aligner.align("ab" * 100_000)
-    assert one[2][-1] == len(one[0]) - 1
+    x = aligner.align([None, long, "ab" * 100_000, "▁", "end"])
+    assert x.a_starts[2] == len(aligner.encode.first.encode(" " + long)) and x.a_starts[1] == 0 and x.a_starts[3] == x.a_starts[4] < x.a_starts[5]
+    assert [x.a_last[x.starts[k] - 1] for k in (2, 3, 5)] == [x.a_starts[k] - 1 for k in (2, 3, 5)]
+
+
+def test_beginning_anew_changes_nothing(monkeypatch, aligner):
+    texts = [t for t in TEXTS if t] * 3
+    want = [v.tolist() for v in aligner.encode(texts)]
+    monkeypatch.setattr(A, "REMEMBERED", 2)
+    monkeypatch.setattr(A, "SHORT", 3)
+    fresh = A.Encoder(*A.default_paths())
+    assert all([v.tolist() for v in fresh(texts)] == want for _ in range(3))
