@@ -4,8 +4,8 @@ The vocabulary file maps bytes to printable characters; ids are decoded by mappi
 bytes and joining, so characters split over several tokens come out whole. The vocabulary's path is a parameter, opened
 where the texts are; nothing is trained. Text that looks like a special token is encoded as ordinary text.
 
-Every match of the pattern is encoded for itself, so a worker keeps the ids of the matches it has met (``REMEMBERED`` of
-them; then it starts anew) and gives the library only the new ones, a batch at a time.
+Every match of the pattern is encoded for itself, so a worker keeps the ids of the short matches it has met (``REMEMBERED`` of
+up to ``LONGEST`` characters; then it starts anew) and gives the library only the new ones, a batch at a time.
 
 Edge cases: null counts as the empty text (no ids, empty bytes); long texts are encoded whole; repeated rows give equal
 values; an empty table gives an empty result; columns other than ``doc_id`` and ``text`` are ignored.
@@ -25,8 +25,9 @@ from pyspark.sql import DataFrame
 from .arrow_text import slices
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Matches whose ids a worker keeps.
+#: Matches whose ids a worker keeps, and the longest of them (characters); longer ones are encoded anew each time.
 REMEMBERED = 200_000
+LONGEST = 64
 
 
 def default_path() -> str:
@@ -74,7 +75,11 @@ class Codec:
         if new:
             fast = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
             self.known.update((p, np.array(e.ids, np.int32).tobytes()) for p, e in zip(new, fast(new, add_special_tokens=False), strict=True))
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, own)), np.int32) for own in parts]
+        out = [np.frombuffer(b"".join(map(self.known.__getitem__, own)), np.int32) for own in parts]
+        for p in new:
+            if len(p) > LONGEST:
+                del self.known[p]
+        return out
 
     def offsets(self, ids: np.ndarray) -> np.ndarray:
         """Byte offsets at which each token starts, and the length of the whole."""

@@ -73,6 +73,14 @@ class Node:
     children: list[int] = field(default_factory=list)
 
 
+#: What an opening tag closes, and the elements that it doesn't look beyond; last, what an end tag doesn't look beyond.
+_SCOPES = {
+    "p": ({"p"}, {"td", "th", "button", "table", "body"}), "li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "td": ({"td", "th"}, {"table", "tr"}), "tr": ({"tr"}, {"table"}),
+    "option": ({"option"}, {"select"}), "head": ({"head"}, set()), "#block": ({"article", "main", "body", "section", "div", "td", "nav", "footer", "aside"}, set()), "#body": ({"body"}, set()),
+}
+_PLACE = {name: i for i, name in enumerate(_SCOPES)}
+
+
 class _Builder(HTMLParser):
     """A flat list of nodes in page order; children follow their parent."""
 
@@ -80,6 +88,8 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.nodes = [Node("#root")]
         self.open = [0]
+        self.near = [(0,) * len(_SCOPES)]  # by open element and scope: the nearest open element that a tag closes, 0 if none
+        self.at: dict[str, list[int]] = {}  # places of open elements by tag
 
     def _add(self, node: Node) -> int:
         node.parent = self.open[-1]
@@ -88,35 +98,42 @@ class _Builder(HTMLParser):
         self.nodes[node.parent].children.append(len(self.nodes) - 1)
         return len(self.nodes) - 1
 
-    def _close(self, tags: set[str], until: set[str]) -> None:
-        for k in range(len(self.open) - 1, 0, -1):
-            tag = self.nodes[self.open[k]].tag
-            if tag in tags:
-                del self.open[k:]
-                return
-            if tag in until:
-                return
+    def _cut(self, place: int) -> None:
+        """Close the open elements from ``place`` on."""
+        for at in self.open[place:]:
+            self.at[self.nodes[at].tag].pop()
+        del self.open[place:], self.near[place:]
+
+    def _close(self, scope: str) -> None:
+        if place := self.near[-1][_PLACE[scope]]:
+            self._cut(place)
+
+    def _push(self, at: int) -> None:
+        tag, place = self.nodes[at].tag, len(self.open)
+        self.near.append(tuple(place if tag in tags else 0 if tag in until else near for (tags, until), near in zip(_SCOPES.values(), self.near[-1], strict=True)))
+        self.at.setdefault(tag, []).append(place)
+        self.open.append(at)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK and tag not in ("td", "th"):
-            self._close({"p"}, {"td", "th", "button", "table", "body"})
+            self._close("p")
         if tag == "li":
-            self._close({"li"}, {"ul", "ol", "menu"})
+            self._close("li")
         elif tag in ("dd", "dt"):
-            self._close({"dd", "dt"}, {"dl"})
+            self._close("dd")
         elif tag in ("tr", "td", "th"):
-            self._close({"td", "th"}, {"table", "tr"})
+            self._close("td")
             if tag == "tr":
-                self._close({"tr"}, {"table"})
+                self._close("tr")
         elif tag == "option":
-            self._close({"option"}, {"select"})
+            self._close("option")
         elif tag == "body":
-            self._close({"head"}, set())
+            self._close("head")
         values = " ".join(v for k, v in attrs if v and k in ("class", "id", "role", "itemprop", "aria-label"))
         hidden = any(k == "hidden" for k, _ in attrs)
         at = self._add(Node(tag, tuple(_WORDS.findall(values.lower())) + (("hidden",) if hidden else ()), silent=tag in SILENT))
         if tag not in VOID:
-            self.open.append(at)
+            self._push(at)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -124,8 +141,10 @@ class _Builder(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        until = {"article", "main", "body", "section", "div", "td", "nav", "footer", "aside"} if tag not in BLOCK else {"body"} if tag not in ("body", "html") else set()
-        self._close({tag}, until - {tag})
+        place = self.at[tag][-1] if self.at.get(tag) else 0
+        around = 0 if tag in ("body", "html") else self.near[-1][_PLACE["#body" if tag in BLOCK else "#block"]]
+        if place and place >= around:
+            self._cut(place)
 
     def handle_data(self, data: str) -> None:
         if data.strip():

@@ -3,7 +3,7 @@
 Every line with a word gets features of its own and of its neighbours; two states (bad, good) with transition weights.
 Forward-backward marginals, weighted by line length, are aggregated to the document and calibrated by a logistic
 regression. Documents' labels are the lines' training labels. Fitted on at most ``MAX_DOCS`` labelled documents (those
-of least hash, crc32(doc_id) mod 3 other than 1) and ``MAX_LINES`` of their lines in whole documents.
+of least hash, crc32(doc_id) mod 3 other than 1) and ``MAX_LINES`` of their lines in whole documents, each of up to ``DOC_LINES``.
 
 Edge cases: null, empty and blank texts have no line and score 0; repeated rows score alike; null labels are not
 learned from; with nothing to learn from (no label, or one class only) every score is 0.5 (0 without a line); an empty
@@ -24,6 +24,8 @@ from .arrow_text import Hasher, slices, utf8, words
 from .spark_io import materialize
 
 MAX_DOCS, MAX_LINES = 8000, 400_000
+#: A document with more line ends is not learned from, so that one alone cannot use up the lines of all.
+DOC_LINES = 4_000
 
 _CLASS = {
     "symbol": np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>@^~_={}[]\\+", np.uint8)),
@@ -163,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, l2: float = 1e-4, steps: int = 150)
 
     rows = sample.mapInArrow(lines, f"id {docs.schema['doc_id'].dataType.simpleString()}, y int, x array<float>, size array<double>")
     # Whole documents in order of hash up to the bound; a running sum over at most MAX_DOCS rows of two numbers.
-    small = sample.select("label_id", F.regexp_count("text", F.lit("\n")).alias("k"))
+    small = sample.select("label_id", F.regexp_count("text", F.lit("\n")).alias("k")).filter(F.col("k") < DOC_LINES)
     order = Window.orderBy(F.xxhash64("label_id", F.lit("quality")), "label_id")
     fits = small.withColumn("upto", F.sum(F.col("k") + 1).over(order)).filter(F.col("upto") <= MAX_LINES)
     rows = rows.join(F.broadcast(fits.select(F.col("label_id").alias("id"))), "id", "left_semi")
