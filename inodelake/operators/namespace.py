@@ -40,6 +40,13 @@ def all_paths(names: DataFrame, root: str, rounds: int | None = None, directorie
     return _climb(names, edges, root, rounds)
 
 
+def paths_of(some: DataFrame, names: DataFrame, root: str, rounds: int | None = None) -> DataFrame:
+    """``all_paths`` of some names (id, parent_id, name) only."""
+    parents = names.select(F.col("parent_id").alias("id")).distinct()
+    edges = names.join(parents, "id", "left_semi").groupBy("id").agg(F.min(F.struct("parent_id", "name")).alias("x")).select("id", "x.parent_id", "x.name")
+    return _climb(some, edges, root, rounds)
+
+
 def one_path(names: DataFrame, root: str, rounds: int | None = None) -> DataFrame:
     return all_paths(names, root, rounds).groupBy("id").agg(F.min("path").alias("path"))
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import criteria as B
@@ -16,6 +16,8 @@ from .functions import expr as X
 from .functions import ruletext as T
 from .functions import scalar as S
 from .operators import diff as D
+from .operators import garbage as Q
+from .operators import moves as M
 from .operators import namespace as N
 from .operators import policy as P
 from .operators import report as R
@@ -28,6 +30,8 @@ from .sources import sinks as O
 from .sources.catalog import CHANGELOG, ENTRIES, NAMES, NOW, STRIPES, sql
 from .storage import materialize, shared_dir
 from .streaming import changelog as L
+from .streaming import keyed as Y
+from .streaming import progress as V
 
 FLAGSHIP = "g03_top_users"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1233,3 +1237,108 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     full = materialize(G.usage_targets(usage, 3.5, 3.4).withColumn("blocks", F.col("blocks") * 1000))
     osts = K.stripe_items(spark, sf).select("id", F.concat(F.lit("ost"), "ostidx").alias("target")).distinct()
     return G.run_plan(G.once(candidates.join(osts, "id"), "id", full), policy, full, "target", "blocks").select("target", "id", "blocks")
+
+
+# ---- what a scan has not seen, moved directories ----
+
+SCAN = 860_000_000
+SCANNED = f"""seen AS (SELECT *, last_mod AS md_update FROM entries),
+dated AS (SELECT n.*, CASE WHEN n.name LIKE '%link' THEN s.last_mod + 40000000 ELSE s.last_mod END AS path_update FROM names n LEFT JOIN seen s ON n.id = s.id),
+named AS (SELECT d.*, p.path, d.path_update < {SCAN} AS old FROM dated d JOIN full_paths p ON d.id = p.id AND d.parent_id = p.parent_id AND d.name = p.name)"""
+
+
+def _scanned(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Entries and names with the dates at which a scan saw them; second names were seen later than first ones."""
+    e = K.entries(spark, sf).withColumn("md_update", F.col("last_mod"))
+    names = K.names(spark, sf).join(e.select("id", "md_update"), "id", "left")
+    return e, names.select("id", "parent_id", "name", F.when(F.col("name").endswith("link"), F.col("md_update") + 40_000_000).otherwise(F.col("md_update")).alias("path_update"))
+
+
+@query("h05_partial_scan_tombstones", sql(f"""SELECT s.id, s.size, n.path, {NOW}::BIGINT AS rm_time FROM seen s LEFT JOIN (
+  SELECT id, count(*) AS n_names, count(CASE WHEN old AND starts_with(path, '/d20/') THEN 1 END) AS n_lost, min(CASE WHEN old AND starts_with(path, '/d20/') THEN path END) AS path FROM named GROUP BY id) n ON s.id = n.id
+  WHERE s.md_update < {SCAN} AND (n.id IS NULL OR n_lost = n_names)""", ENTRIES, NAMES, PATHS, SCANNED))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    e, names = _scanned(spark, sf)
+    return Q.collect(e, names, SCAN, NOW, K.ROOT, "/d20").tombstones.select("id", "size", "path", "rm_time")
+
+
+@query("h07_partial_scan_names", sql("SELECT id, parent_id, name FROM named WHERE NOT (old AND starts_with(path, '/d20/'))", ENTRIES, NAMES, PATHS, SCANNED))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    e, names = _scanned(spark, sf)
+    return Q.collect(e, names, SCAN, NOW, K.ROOT, "/d20").names.select("id", "parent_id", "name")
+
+
+@query("h07_full_scan_tombstones", sql(f"SELECT s.id, s.size, min(CASE WHEN n.old THEN n.path END) AS path, {NOW}::BIGINT AS rm_time FROM seen s LEFT JOIN named n ON s.id = n.id WHERE s.md_update < {SCAN} GROUP BY s.id, s.size", ENTRIES, NAMES, PATHS, SCANNED))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    e, names = _scanned(spark, sf)
+    return Q.collect(e, names, SCAN, NOW, K.ROOT).tombstones.select("id", "size", "path", "rm_time")
+
+
+MOVED = """moved(id, parent_id, name) AS (VALUES ('40', '80', 'inner'), ('80', '0', 'outer'), ('420', '40', 'd420'), ('60', '0', 'sixty')),
+dirs AS (SELECT n.id, coalesce(m.parent_id, n.parent_id) AS parent_id, coalesce(m.name, n.name) AS name FROM names n JOIN entries e ON n.id = e.id LEFT JOIN moved m ON n.id = m.id WHERE e.type = 'dir'),
+ways AS (SELECT id, parent_id AS up, name AS way FROM dirs UNION ALL SELECT w.id, d.parent_id, d.name || '/' || w.way FROM ways w JOIN dirs d ON w.up = d.id)"""
+
+
+@query("d07_paths_after_moves", sql("SELECT id, '/' || way AS path FROM ways WHERE up = '0'", ENTRIES, NAMES, MOVED))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    kinds = K.entries(spark, sf).filter("type = 'dir'").select("id")
+    stored = materialize(N.all_paths(K.names(spark, sf).join(kinds, "id", "left_semi"), K.ROOT).select("id", "path"))
+    moves = spark.createDataFrame([("40", "80", "inner"), ("80", "0", "outer"), ("420", "40", "d420"), ("60", "0", "sixty")], "id string, parent_id string, name string")
+    return M.after_moves(stored, moves, K.ROOT)
+
+
+# ---- change records with keyed state ----
+
+_AGE = 86_400
+WALK = f"""recs AS (SELECT *, row_number() OVER (PARTITION BY mdt, tfid ORDER BY idx) AS n FROM changelog WHERE type NOT IN ('MARK', 'IOCTL')),
+walk AS (
+  SELECT mdt, tfid, 0::BIGINT AS n, []::STRUCT(idx BIGINT, time BIGINT, type VARCHAR)[] AS waiting, []::STRUCT(idx BIGINT, time BIGINT, type VARCHAR)[] AS gone FROM (SELECT DISTINCT mdt, tfid FROM recs)
+  UNION ALL
+  SELECT mdt, tfid, n,
+    CASE WHEN list_has_any(list_transform(live, lambda x: x.type), hiders) THEN live
+      WHEN len(live) > 0 AND type = 'UNLINK' AND live[-1].type IN ('CREATE', 'MKNOD') THEN live[:-2]
+      ELSE list_append(live, {{'idx': idx, 'time': time, 'type': type}}) END, over
+  FROM (SELECT w.mdt, w.tfid, r.n, r.idx, r.time, r.type, list_filter(w.waiting, lambda x: x.time > r.time - {_AGE}) AS live, list_filter(w.waiting, lambda x: x.time <= r.time - {_AGE}) AS over,
+      CASE WHEN r.type IN ('CLOSE', 'TRUNC') THEN ['TRUNC', 'CLOSE', 'MTIME', 'CREATE'] WHEN r.type = 'MTIME' THEN ['TRUNC', 'CLOSE', 'MTIME', 'CREATE', 'MKNOD', 'MKDIR']
+        WHEN r.type IN ('SETATTR', 'CTIME') THEN ['CTIME', 'SETATTR', 'CREATE', 'MKNOD', 'MKDIR'] ELSE []::VARCHAR[] END AS hiders
+    FROM walk w JOIN recs r ON r.mdt = w.mdt AND r.tfid = w.tfid AND r.n = w.n + 1)),
+stays AS (
+  SELECT mdt, tfid, unnest(gone, recursive := true) FROM walk
+  UNION ALL SELECT w.mdt, w.tfid, unnest(w.waiting, recursive := true) FROM walk w JOIN (SELECT mdt, tfid, max(n) AS n FROM recs GROUP BY ALL) m ON w.mdt = m.mdt AND w.tfid = m.tfid AND w.n = m.n)"""
+
+
+@query("i02_keyed_compaction", sql("SELECT mdt, tfid, idx, time, type FROM stays", RECORDS_SQL, WALK))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return Y.compact(K.changelog(spark, sf), _AGE).select("mdt", "tfid", "idx", "time", "type")
+
+
+@query("i05_stream_compaction", sql("SELECT mdt, tfid, idx, time, type FROM stays", RECORDS_SQL, WALK))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """The log comes in three parts, each followed by a run that goes on from the checkpoint of the one before; a last
+    record far in the future lets all go that still waits."""
+    at, log, store = f"{shared_dir(spark)}/records-{uuid.uuid4().hex}", K.changelog(spark, sf), "spark.sql.streaming.stateStore.providerClass"
+    first, last = log.agg(F.min("idx"), F.max("idx")).first()
+    if first is None:
+        return log.select("mdt", "tfid", "idx", "time", "type")
+    ends = [first + (last - first) * k // 3 for k in (1, 2)]
+    parts = [log.filter(F.col("idx") <= ends[0]), log.filter((F.col("idx") > ends[0]) & (F.col("idx") <= ends[1])), log.filter(F.col("idx") > ends[1])]
+    final = log.select("mdt").distinct().select(F.lit(1 << 60).alias("idx"), F.lit(NOW * 100).alias("time"), F.lit("CREATE").alias("type"), "mdt", F.lit("end").alias("tfid")).select(*log.columns)
+    before = spark.conf.get(store, None)
+    try:
+        Y.use_state_store(spark)
+        for part in (*parts, final):
+            part.write.mode("append").parquet(f"{at}/in")
+            stream = Y.compact_stream(spark.readStream.schema(log.schema).parquet(f"{at}/in"), _AGE, "30 days")
+            stream.writeStream.outputMode("append").format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(store) if before is None else spark.conf.set(store, before)
+    return spark.read.schema(log.schema).parquet(f"{at}/out").filter("tfid <> 'end'").select("mdt", "tfid", "idx", "time", "type")
+
+
+@query("e20_counter_differences", sql("""SELECT day, mdt, type, total, (total - coalesce(lag(total) OVER w, 0))::BIGINT AS gained, ((total - coalesce(lag(total) OVER w, 0)) / nullif(day - lag(day) OVER w, 0))::DOUBLE AS speed
+  FROM (SELECT day, mdt, type, sum(n) OVER (PARTITION BY mdt, type ORDER BY day)::BIGINT AS total FROM (SELECT (time // 86400 + 1) * 86400 AS day, mdt, type, count(*) AS n FROM changelog GROUP BY ALL)) WINDOW w AS (PARTITION BY mdt, type ORDER BY day)""", RECORDS_SQL))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    day = ((F.floor(F.col("time") / 86_400) + 1) * 86_400).cast("long")
+    daily = K.changelog(spark, sf).groupBy(day.alias("day"), "mdt", "type").agg(F.count(F.lit(1)).alias("n"))
+    totals = daily.select("day", "mdt", "type", F.sum("n").over(Window.partitionBy("mdt", "type").orderBy("day")).alias("total"))
+    return V.differences(totals, "day").select("day", "mdt", "type", "total", "gained", "speed")
