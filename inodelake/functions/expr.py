@@ -201,3 +201,36 @@ def path_filter(path: Column, wanted: str, root: str = "/") -> Column | None:
     if f"{root.rstrip('/')}/".startswith(f"{full}/"):
         return None
     return path.rlike(glob_regex(full)[:-1] + "(/.*)?$")
+
+
+class Filters:
+    """A filter that grows test by test: all of its parts, or any of them. A part is a test of an attribute in its database
+    form (unknown values pass as ``allow_null`` says), or a block with parts of its own."""
+
+    def __init__(self, any_of: bool = False) -> None:
+        self.any_of, self.parts = any_of, []
+
+    def add(self, attribute: str, op: str, value: object, text: bool = False) -> Filters:
+        self.parts.append((attribute, allow_null(F.col(attribute), op, value, text)))
+        return self
+
+    def replace(self, attribute: str, op: str, value: object, text: bool = False) -> Filters:
+        """One test of the attribute in the place of the first that is there."""
+        at = next((i for i, (a, _) in enumerate(self.parts) if a == attribute), len(self.parts))
+        rest = [p for p in self.parts if p[0] != attribute]
+        self.parts = [*rest[:at], (attribute, allow_null(F.col(attribute), op, value, text)), *rest[at:]]
+        return self
+
+    def add_if_absent(self, attribute: str, op: str, value: object, text: bool = False) -> Filters:
+        return self if any(a == attribute for a, _ in self.parts) else self.add(attribute, op, value, text)
+
+    def block(self, any_of: bool = False) -> Filters:
+        """A new block inside this one."""
+        inner = Filters(any_of)
+        self.parts.append((None, inner))
+        return inner
+
+    def column(self) -> Column:
+        """True without any part."""
+        tests = [p.column() if isinstance(p, Filters) else p for _, p in self.parts if not isinstance(p, Filters) or p.parts]
+        return reduce((lambda a, b: a | b) if self.any_of else (lambda a, b: a & b), tests) if tests else F.lit(True)

@@ -54,6 +54,12 @@ def diff(old: DataFrame, new: DataFrame, columns: Sequence[str], key: str = "id"
     return rows.select(key, "d.op", "d.attribute", "d.old", "d.new")
 
 
+def reversed_diff(rows: DataFrame) -> DataFrame:
+    """A diff as what has to be done to the other side: what is new there is to be removed, what is gone to be made."""
+    op = F.when(F.col("op") == "++", "--").when(F.col("op") == "--", "++").otherwise(F.col("op"))
+    return rows.withColumns({"op": op, "old": F.col("new"), "new": F.col("old")})
+
+
 def backup_status(catalog: DataFrame, listing: DataFrame) -> DataFrame:
     """Copy status by path: new, archiving, modified or synchro. ``listing`` has path, b_type, b_mtime, b_size, busy."""
     j = catalog.join(listing.withColumnRenamed("path", "b_path"), F.col("path") == F.col("b_path"), "left")

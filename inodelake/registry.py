@@ -15,7 +15,9 @@ from .functions import criteria as B
 from .functions import expr as X
 from .functions import ruletext as T
 from .functions import scalar as S
+from .operators import checks as H
 from .operators import diff as D
+from .operators import find as I
 from .operators import garbage as Q
 from .operators import moves as M
 from .operators import namespace as N
@@ -55,6 +57,9 @@ full_paths AS (SELECT id, parent_id, name, CASE WHEN up = '0' THEN '/' || way EL
   WHERE up = '0' OR NOT EXISTS (SELECT 1 FROM names x WHERE x.id = p.up))"""
 
 
+RECORDS_SQL = CHANGELOG.replace("epoch(ts)::BIGINT", "(epoch_us(ts) // 1000000)::BIGINT")
+
+
 def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         _QUERIES[name] = f
@@ -132,10 +137,10 @@ def _(e: DataFrame) -> DataFrame:
     return e.filter(X.allow_null(F.col("status"), "!=", "new", text=True)).select("id", "status")
 
 
-@query("b12_name_globs", sql("SELECT id, name, regexp_full_match(name, 'f[0-9]*1.') AS plain, regexp_full_match(name, '[^f].*') AS other, lower(name) LIKE 'f%7\\_link' ESCAPE '\\' AS nocase FROM names", ENTRIES, NAMES))
+@query("b12_name_globs", sql("SELECT id, name, regexp_full_match(name, 'f.*1.') AS plain, regexp_full_match(name, '[^f].*') AS other, lower(name) LIKE 'f%7\\_link' ESCAPE '\\' AS nocase FROM names", ENTRIES, NAMES))
 def _(spark: SparkSession, sf: str) -> DataFrame:
     n = F.col("name")
-    return K.names(spark, sf).select("id", "name", (X.like_glob(n, "f*1?") & n.rlike("^f[0-9]+$")).alias("plain"), X.like_glob(n, "[!f]*").alias("other"), X.like_glob(n, "F*7_LINK", ignore_case=True).alias("nocase"))
+    return K.names(spark, sf).select("id", "name", X.like_glob(n, "f*1?").alias("plain"), X.like_glob(n, "[!f]*").alias("other"), X.like_glob(n, "F*7_LINK", ignore_case=True).alias("nocase"))
 
 
 @query("b13_path_globs", sql("SELECT id, path, regexp_full_match(path, '/d[^/]*/f[^/]*') AS one_level, regexp_full_match(path, '/d20/.*') OR path = '/d20' AS tree FROM full_paths", ENTRIES, NAMES, PATHS))
@@ -155,11 +160,11 @@ def _(e: DataFrame) -> DataFrame:
     return e.filter(X.age(F.col("last_mod"), ">", age, NOW) & X.age(F.col("last_access"), ">=", X.parse_duration("1d"), NOW)).select("id")
 
 
-@on_entries("b26_criteria", f"""SELECT id, size >= 1048576 AS big, uid LIKE 'u1%' AS owner, {NOW} - last_mod > 2592000 AS old, coalesce(status, '') = '' AS no_status,
+@on_entries("b26_criteria", f"""SELECT id, size >= 1048576 AS big, uid LIKE 'u1%' AS owner, {NOW} - last_mod > 103680000 AS old, coalesce(status, '') = '' AS no_status,
   CASE WHEN type <> 'file' THEN FALSE ELSE ost_pool LIKE 'pool%' END AS pool, projid <> 2 AS project FROM entries""")
 def _(e: DataFrame) -> DataFrame:
     return e.select(
-        "id", (F.col("size") >= X.parse_size("1M")).alias("big"), X.like_glob(F.col("uid"), "u1*").alias("owner"), X.age(F.col("last_mod"), ">", X.parse_duration("30d"), NOW).alias("old"),
+        "id", (F.col("size") >= X.parse_size("1M")).alias("big"), X.like_glob(F.col("uid"), "u1*").alias("owner"), X.age(F.col("last_mod"), ">", X.parse_duration("1200d"), NOW).alias("old"),
         X.status(F.col("status"), "").alias("no_status"), X.ost_pool(F.col("type"), F.col("ost_pool"), "pool*").alias("pool"), X.compare(F.col("projid"), "!=", 2).alias("project"),
     )
 
@@ -176,9 +181,9 @@ def _(e: DataFrame) -> DataFrame:
     return e.filter(tests).select("id", "uid", "size")
 
 
-@on_entries("b42_rest_filters", "SELECT id, uid FROM entries WHERE uid LIKE 'u%3' AND gid NOT LIKE 'g6' AND size > 5000 AND projid < 3")
+@on_entries("b42_rest_filters", "SELECT id, uid FROM entries WHERE uid LIKE 'u%3' AND gid NOT LIKE 'g6' AND size > 5000 AND projid > 2")
 def _(e: DataFrame) -> DataFrame:
-    return e.filter(F.col("uid").like("u%3") & ~F.col("gid").like("g6") & (F.col("size") > 5000) & (F.col("projid") < 3)).select("id", "uid")
+    return e.filter(F.col("uid").like("u%3") & ~F.col("gid").like("g6") & (F.col("size") > 5000) & (F.col("projid") > 2)).select("id", "uid")
 
 
 @on_entries("b44_row_access", "SELECT id, uid, gid FROM entries WHERE uid IN ('u1', 'u2') OR gid IN ('g3')")
@@ -822,9 +827,9 @@ def _tombs(e: DataFrame) -> DataFrame:
     return gone.select("id", "size", "type", F.concat(F.lit("/t/"), "uid", F.lit("/f"), "num").alias("path"), "status", (NOW - F.col("num") % 100).alias("rm_time"))
 
 
-@query("a10_tombstone_listing", sql("SELECT id, path, rm_time FROM tombs WHERE size > 5000 ORDER BY rm_time, id LIMIT 60", ENTRIES, TOMBS))
+@query("a10_tombstone_listing", sql("SELECT id, path, rm_time FROM tombs WHERE size > 5000 ORDER BY rm_time, id LIMIT 400", ENTRIES, TOMBS))
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return D.undelete_listing(_tombs(K.entries(spark, sf)).filter("size > 5000")).select("id", "path", "rm_time").limit(60)
+    return D.undelete_listing(_tombs(K.entries(spark, sf)).filter("size > 5000")).select("id", "path", "rm_time").limit(400)
 
 
 @query("b29_removal_time", sql(f"SELECT id FROM tombs WHERE {NOW} - rm_time > 40", ENTRIES, TOMBS))
@@ -868,10 +873,10 @@ def _(e: DataFrame) -> DataFrame:
     return e.select("id", own.alias("own"), L.strongest(own, F.when(F.col("num") % 5 == 0, "soft_remove")).alias("strongest"))
 
 
-@query("i10_inferred_attributes", sql("SELECT c.idx, CASE WHEN c.type = 'CREATE' THEN 'file' END AS kind, (CASE c.type WHEN 'CREATE' THEN 1 WHEN 'HLINK' THEN e.nlink + 1 END)::INTEGER AS nlink, CASE WHEN c.type = 'CREATE' AND e.id IS NULL THEN c.time END AS creation_time FROM (SELECT idx, time, tfid, CASE type WHEN 'CLOSE' THEN 'HLINK' ELSE type END AS type FROM changelog) c LEFT JOIN entries e ON c.tfid = e.id", ENTRIES, CHANGELOG))
+@query("i10_inferred_attributes", sql("SELECT c.idx, CASE WHEN c.type = 'CREATE' THEN 'file' END AS kind, (CASE c.type WHEN 'CREATE' THEN 1 WHEN 'HLINK' THEN e.nlink + 1 END)::INTEGER AS nlink, CASE WHEN c.type = 'CREATE' AND e.id IS NULL THEN c.time END AS creation_time FROM (SELECT idx, time, tfid, CASE type WHEN 'CLOSE' THEN 'HLINK' ELSE type END AS type FROM changelog) c LEFT JOIN (SELECT * FROM entries WHERE num % 3 > 0) e ON c.tfid = e.id", ENTRIES, RECORDS_SQL))
 def _(spark: SparkSession, sf: str) -> DataFrame:
     records = K.changelog(spark, sf).withColumn("type", F.when(F.col("type") == "CLOSE", "HLINK").otherwise(F.col("type")))
-    return L.inferred(records, K.entries(spark, sf)).select("idx", "kind", "nlink", "creation_time")
+    return L.inferred(records, K.entries(spark, sf).filter("num % 3 > 0")).select("idx", "kind", "nlink", "creation_time")
 
 
 @query("i11_effective_updates", sql("SELECT l.id FROM later l LEFT JOIN entries e ON e.id = l.id WHERE e.id IS NULL OR (l.size IS NOT NULL AND l.size IS DISTINCT FROM e.size) OR (l.status IS NOT NULL AND l.status IS DISTINCT FROM e.status)", ENTRIES, LATER))
@@ -889,15 +894,15 @@ def _(e: DataFrame) -> DataFrame:
 # ---- further criteria, scalars and report options ----
 
 
-@on_entries("b11_more_criteria", f"SELECT id, type = 'dir' AND nlink > 1 AS links, coalesce(list_contains({CLASSES_SQL}, 'big') OR list_contains({CLASSES_SQL}, 'fresh'), FALSE) AS tagged, coalesce(last_access, 0) <> 0 AND {NOW} - last_access > 86400 AS since, type = 'file' AND size > 4096 AND projid = 1 AS all_three FROM entries")
+@on_entries("b11_more_criteria", f"SELECT id, type = 'dir' AND nlink > 0 AS links, coalesce(list_contains({CLASSES_SQL}, 'big') OR list_contains({CLASSES_SQL}, 'fresh'), FALSE) AS tagged, coalesce(last_access, 0) <> 0 AND {NOW} - last_access > 86400 AS since, type = 'file' AND size > 4096 AND projid = 1 AS all_three FROM entries")
 def _(e: DataFrame) -> DataFrame:
     tagged = X.has_class(P.classes(_classes()), "[bf]*")
-    return e.select("id", X.dircount(F.col("type"), F.col("nlink"), ">", 1).alias("links"), tagged.alias("tagged"), X.duration_info(F.col("last_access"), ">", 86400, NOW).alias("since"), X.all_of(F.col("type") == "file", F.col("size") > 4096, F.col("projid") == 1).alias("all_three"))
+    return e.select("id", X.dircount(F.col("type"), F.col("nlink"), ">", 0).alias("links"), tagged.alias("tagged"), X.duration_info(F.col("last_access"), ">", 86400, NOW).alias("since"), X.all_of(F.col("type") == "file", F.col("size") > 4096, F.col("projid") == 1).alias("all_three"))
 
 
-@on_entries("b43_simple_filters", "SELECT uid, count(*)::BIGINT AS count, sum(size)::BIGINT AS size FROM entries WHERE gid LIKE 'g%' AND projid > 1 GROUP BY uid HAVING sum(size) < 50000000000000")
+@on_entries("b43_simple_filters", "SELECT uid, count(*)::BIGINT AS count, sum(size)::BIGINT AS size FROM entries WHERE gid LIKE 'g%' AND projid > 1 GROUP BY uid HAVING sum(size) < 590000000000000")
 def _(e: DataFrame) -> DataFrame:
-    before, after = R.simple_filters({"gid": "g*", "minprojid": 1, "maxsize": 50_000_000_000_000}, ["size"])
+    before, after = R.simple_filters({"gid": "g*", "minprojid": 1, "maxsize": 590_000_000_000_000}, ["size"])
     return e.filter(before).groupBy("uid").agg(F.count(F.lit(1)).alias("count"), F.sum("size").alias("size")).filter(after)
 
 
@@ -914,17 +919,17 @@ def _(e: DataFrame) -> DataFrame:
 SOUNDS_SQL = "upper(substr(t, 1, 1)) || substr(" + "".join("regexp_replace(" for _ in range(6)) + "substr(c, 1, 1) || replace(substr(c, 2), '0', '')" + "".join(f", '{i}+', '{i}', 'g')" for i in range(1, 7)) + ", 2)"
 
 
-@query("b42_sounds_like", f"SELECT id, word, sound, sound = 'G65' || '0' AS alike FROM (SELECT id, word, CASE WHEN length(s) < 4 THEN rpad(s, 4, '0') ELSE s END AS sound FROM (SELECT *, {SOUNDS_SQL} AS s FROM (SELECT p_partkey AS id, p_name AS word, replace(p_name, ' ', '') AS t, translate(upper(replace(p_name, ' ', '')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '01230120022455012623010202') AS c FROM part)))")
+@query("b42_sounds_like", f"SELECT id, word, sound, sound = 'R323' AS alike FROM (SELECT id, word, CASE WHEN length(s) < 4 THEN rpad(s, 4, '0') ELSE s END AS sound FROM (SELECT *, {SOUNDS_SQL} AS s FROM (SELECT p_partkey AS id, p_name AS word, replace(p_name, ' ', '') AS t, translate(upper(replace(p_name, ' ', '')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '01230120022455012623010202') AS c FROM part)))")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     word = F.col("p_name")
-    return K.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), word.alias("word"), S.sounds(word).alias("sound"), X.sounds_like(word, "green").alias("alike"))
+    return K.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), word.alias("word"), S.sounds(word).alias("sound"), X.sounds_like(word, "rad wedgit").alias("alike"))
 
 
-@query("b14_any_depth_globs", sql("SELECT id, path, starts_with(path, '/d20/') AND regexp_full_match(path, '/.*/f[^/][^/][^/][^/]') AS below, regexp_full_match(path, '/.*/f[^/][^/]') AS short_names FROM full_paths", ENTRIES, NAMES, PATHS))
+@query("b14_any_depth_globs", sql("SELECT id, path, starts_with(path, '/d20/') AND regexp_full_match(path, '/.*/f[^/][^/][^/][^/]') AS below, regexp_full_match(path, '/.*/f[^/][^/][^/]') AS short_names FROM full_paths", ENTRIES, NAMES, PATHS))
 def _(spark: SparkSession, sf: str) -> DataFrame:
     p = F.col("path")
     below = X.in_tree(p, "/d20") & X.like_glob(p, "/**/f????", path=True)
-    return N.all_paths(K.names(spark, sf), K.ROOT).select("id", "path", below.alias("below"), X.like_glob(p, "/**/f??", path=True).alias("short_names"))
+    return N.all_paths(K.names(spark, sf), K.ROOT).select("id", "path", below.alias("below"), X.like_glob(p, "/**/f???", path=True).alias("short_names"))
 
 
 @on_entries("b34_attributes", "SELECT id, num % 3 = 0 AND projid BETWEEN 1 AND 3 AS tagged, num % 3 <> 0 AS without FROM entries")
@@ -1061,7 +1066,6 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 
 #: Change records with seconds cut off, as ``catalog.changelog`` does; CHANGELOG rounds them.
-RECORDS_SQL = CHANGELOG.replace("epoch(ts)::BIGINT", "(epoch_us(ts) // 1000000)::BIGINT")
 
 
 @query("i04_archive_records", sql("SELECT idx, tfid, is_state FROM (SELECT *, type IN ('CLOSE', 'MTIME') AS is_state, lead(time) OVER (PARTITION BY mdt, tfid ORDER BY idx) - time AS gap FROM changelog) WHERE NOT is_state OR gap IS NULL OR gap > 86400", RECORDS_SQL))
@@ -1342,3 +1346,114 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     daily = K.changelog(spark, sf).groupBy(day.alias("day"), "mdt", "type").agg(F.count(F.lit(1)).alias("n"))
     totals = daily.select("day", "mdt", "type", F.sum("n").over(Window.partitionBy("mdt", "type").orderBy("day")).alias("total"))
     return V.differences(totals, "day").select("day", "mdt", "type", "total", "gained", "speed")
+
+
+# ---- find and du over roots, checks, lifecycle ----
+
+def _named_find(spark: SparkSession, sf: str, test, roots, **more) -> DataFrame:
+    e, names = K.entries(spark, sf), K.names(spark, sf)
+    return I.find(e, names, K.ROOT, roots, None, **more).withColumn("name", F.element_at(F.split("path", "/"), -1)).filter(X.matched(B.compiled(test, RULE_CONTEXT)))
+
+
+@query("b40_find_below_roots", sql("SELECT r.root, p.id, p.path FROM full_paths p JOIN entries e ON p.id = e.id JOIN (VALUES ('/d20'), ('/d60/d1200')) r(root) ON p.path = r.root OR starts_with(p.path, r.root || '/') WHERE e.type = 'dir' OR e.size > 1048576", ENTRIES, NAMES, PATHS))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return _named_find(spark, sf, T.condition("type == directory or size > 1MB"), ["/d20", "/d60/d1200", "/not/there"]).select("root", "id", "path")
+
+
+@query("b40_find_everything", sql("SELECT p.id, p.path FROM full_paths p JOIN entries e ON p.id = e.id WHERE e.type <> 'dir' AND ((e.type = 'file' AND e.size > 1048576) OR (lower(p.name) LIKE 'f%link' AND e.uid LIKE 'u2%'))", ENTRIES, NAMES, PATHS))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return _named_find(spark, sf, T.condition("(type == file and size > 1MB) or iname == 'F*LINK' and owner == 'u2*'"), ["/"], kinds="no_dirs").select("id", "path")
+
+
+@query("b40_find_root_row", sql("SELECT p.id, p.path FROM full_paths p JOIN entries e ON p.id = e.id WHERE e.type = 'dir' AND e.nlink < 2 AND e.mode = 420 UNION ALL SELECT '0', '/'", ENTRIES, NAMES, PATHS))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    e, names = K.entries(spark, sf), K.names(spark, sf)
+    return I.find(e, names, K.ROOT, ["/"], (F.col("nlink") < 2) & (F.col("mode") == 420), "dirs", {"type": "dir", "nlink": 1, "mode": 420}).select("id", "path")
+
+
+_DU_SQL = "SELECT DISTINCT r.root, e.id, e.type, e.blocks, e.size FROM full_paths p JOIN entries e ON p.id = e.id JOIN (VALUES ('/d20'), ('/d40'), ('/d60')) r(root) ON p.path = r.root OR starts_with(p.path, r.root || '/') WHERE e.uid LIKE 'u1%' AND coalesce(e.status, '') <> 'released'"
+_DU_TEST = T.condition("owner == 'u1*' and status != released")
+
+
+@query("e13_du_filtered", sql(f"SELECT root, type, count(*) AS count, sum(blocks)::BIGINT AS blocks, sum(size)::BIGINT AS size, (sum(blocks) * 512)::BIGINT AS used FROM ({_DU_SQL}) GROUP BY 1, 2", ENTRIES, NAMES, PATHS))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return I.du(K.entries(spark, sf), K.names(spark, sf), K.ROOT, ["/d20", "/d40", "/d60"], B.compiled(_DU_TEST, RULE_CONTEXT))
+
+
+@query("e13_du_sum", sql(f"SELECT count(*) AS count, sum(blocks)::BIGINT AS blocks, sum(size)::BIGINT AS size, (sum(blocks) * 512)::BIGINT AS used FROM ({_DU_SQL})", ENTRIES, NAMES, PATHS))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return I.du(K.entries(spark, sf), K.names(spark, sf), K.ROOT, ["/d20", "/d40", "/d60"], B.compiled(_DU_TEST, RULE_CONTEXT), total=True)
+
+
+@on_entries("b11_filter_blocks", "SELECT id FROM entries WHERE (size > 1048576 OR size IS NULL) AND (status = 'new' OR (projid <= 2 OR projid IS NULL) OR (type = 'dir' AND nlink = 1)) AND (gid <> 'g2' OR gid IS NULL)")
+def _(e: DataFrame) -> DataFrame:
+    f = X.Filters().add("size", ">", 5).add("gid", "==", "g1", text=True).replace("size", ">", 1 << 20).add_if_absent("size", "<", 3)
+    either = f.block(any_of=True).add("status", "==", "new", text=True).add("projid", "<=", 2)
+    either.block().add("type", "==", "dir", text=True).add("nlink", "==", 1)
+    f.block()
+    return e.filter(f.replace("gid", "!=", "g2", text=True).column()).select("id")
+
+
+@query("b27_dircount", sql("SELECT e.id, CASE WHEN type <> 'dir' THEN FALSE ELSE coalesce(n, 0) > 19 END AS many, CASE WHEN type <> 'dir' THEN FALSE ELSE coalesce(n, 0) = 0 END AS none FROM entries e LEFT JOIN (SELECT parent_id, count(*) AS n FROM names GROUP BY 1) c ON e.id = c.parent_id", ENTRIES, NAMES))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    e = K.entries(spark, sf)
+    counts = N.directory_totals(K.names(spark, sf), e).select(F.col("parent_id").alias("dir_id"), "dircount")
+    rows = e.join(counts, F.col("id") == F.col("dir_id"), "left").withColumn("dircount", F.coalesce("dircount", F.lit(0)))
+    test = lambda text: B.compiled(T.condition(text), RULE_CONTEXT)
+    return rows.select("id", test("dircount > 19").alias("many"), test("dircount == 0").alias("none"))
+
+
+LISTING = """listing AS (SELECT '/l/' || num AS path, num AS ino, uid, gid, size, blocks, CASE WHEN num % 3 = 0 THEN last_mod - 500 ELSE last_access END AS atime, last_mod AS mtime, CASE WHEN num % 5 = 0 THEN last_mod - 9 ELSE last_mod + 9 END AS ctime,
+  type, mode + 32768 AS st_mode, nlink FROM entries)"""
+
+
+@query("a01_listing", sql("SELECT ino::VARCHAR AS id, path AS fullpath, greatest(atime, mtime)::BIGINT AS last_access, mtime::BIGINT AS last_mod, least(ctime, mtime)::BIGINT AS creation_time, (st_mode & 4095)::INTEGER AS mode, size FROM listing WHERE type <> 'symlink' AND NOT (size = 0 AND uid LIKE 'u1%')", ENTRIES, LISTING))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    e = K.entries(spark, sf)
+    listing = e.select(
+        F.concat(F.lit("/l/"), "num").alias("path"), F.col("num").alias("ino"), "uid", "gid", "size", "blocks", F.when(F.col("num") % 3 == 0, F.col("last_mod") - 500).otherwise(F.col("last_access")).alias("atime"), F.col("last_mod").alias("mtime"),
+        F.when(F.col("num") % 5 == 0, F.col("last_mod") - 9).otherwise(F.col("last_mod") + 9).alias("ctime"), "type", (F.col("mode") + 32768).alias("st_mode"), "nlink",
+    )
+    ignored = [B.compiled(T.condition(c), RULE_CONTEXT) for c in ("type == symlink", "size == 0 and owner == 'u1*'")]
+    return K.from_listing(K.scan_filter(listing, ignored)).select("id", "fullpath", "last_access", "last_mod", "creation_time", "mode", "size")
+
+
+CHECKS = f"""checked AS (SELECT doc_id AS id, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE sha256(coalesce(text, '')) END AS out FROM documents WHERE doc_id % 10 <> 3),
+before AS (SELECT doc_id AS id, CASE WHEN doc_id % 4 = 1 THEN 'failed' ELSE 'ok' END AS check_status, CASE WHEN doc_id % 4 = 1 THEN NULL WHEN doc_id % 5 = 0 THEN sha256(coalesce(text, '') || '!') ELSE sha256(coalesce(text, '')) END AS output,
+  {NOW} - 86400 AS last_check, CASE WHEN doc_id % 4 <> 1 THEN {NOW} - 86400 END AS last_success FROM documents WHERE doc_id % 3 > 0)"""
+
+
+@query("j22_check_against_previous", f"""WITH {CHECKS}, both_ AS (SELECT coalesce(b.id, c.id) AS id, b.check_status AS old_status, b.output AS old, b.last_check AS old_check, b.last_success AS old_success, c.id IS NOT NULL AS ran, c.out AS out FROM before b FULL JOIN checked c ON b.id = c.id),
+judged AS (SELECT *, CASE WHEN NOT ran THEN NULL WHEN out IS NULL THEN 'error' WHEN old IS NULL THEN 'first' WHEN out = old THEN 'same' ELSE 'changed' END AS outcome FROM both_)
+SELECT id, CASE WHEN outcome IN ('first', 'same') THEN 'ok' WHEN ran THEN 'failed' ELSE old_status END AS check_status, CASE WHEN outcome IN ('first', 'same') THEN out ELSE old END AS output,
+  (CASE WHEN ran THEN {NOW} ELSE old_check END)::BIGINT AS last_check, (CASE WHEN outcome IN ('first', 'same') THEN {NOW} ELSE old_success END)::BIGINT AS last_success, outcome FROM judged""")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    docs, i = K.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")), F.col("id")
+    outputs = docs.filter(i % 10 != 3).select("id", F.when(i % 7 != 0, F.sha2("text", 256)).alias("output"))
+    failed = i % 4 == 1
+    state = docs.filter(i % 3 > 0).select(
+        "id", F.when(failed, "failed").otherwise("ok").alias("check_status"), F.when(~failed, F.when(i % 5 == 0, F.sha2(F.concat("text", F.lit("!")), 256)).otherwise(F.sha2("text", 256))).alias("output"),
+        F.lit(NOW - 86_400).alias("last_check"), F.when(~failed, NOW - 86_400).alias("last_success"),
+    )
+    return H.check(outputs, state, NOW)
+
+
+@query("j29_stale_by_state", sql(f"""SELECT CASE WHEN l.id IS NULL THEN 'gone' WHEN l.status = 'modified' THEN 'running' ELSE 'reset' END AS state, count(*)::BIGINT AS count
+  FROM (SELECT *, CASE WHEN num % 9 > 0 THEN last_mod END AS md_update FROM entries) e LEFT JOIN later l ON e.id = l.id WHERE e.status = 'modified' AND NOT e.invalid AND (md_update <= 850000000 OR md_update IS NULL) GROUP BY 1""", ENTRIES, LATER))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    e = K.entries(spark, sf).withColumn("md_update", F.when(F.col("num") % 9 > 0, F.col("last_mod")))
+    return H.stale_actions(e, _later(e), "modified", NOW, NOW - 850_000_000).groupBy("state").agg(F.count(F.lit(1)).alias("count"))
+
+
+@query("j24_lifecycle", sql(f"SELECT id, CASE WHEN status = 'synchro' THEN 'release' ELSE 'archive' END AS action FROM entries WHERE type = 'file' AND NOT invalid AND (status = 'synchro' OR (status IN ('new', 'modified') AND uid NOT LIKE 'u1%')) UNION ALL SELECT id, 'remove' FROM tombs WHERE type = 'file' AND rm_time <= {NOW} - 50", ENTRIES, TOMBS))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    e = K.entries(spark, sf)
+    return H.lifecycle(e, _tombs(e), NOW, 50, X.like_glob(F.col("uid"), "u1*"))
+
+
+@query("h10_reversed_diff", sql("""SELECT coalesce(e.id, l.id) AS id, CASE WHEN e.id IS NULL THEN '--' ELSE '++' END AS op, NULL::VARCHAR AS attribute, NULL::VARCHAR AS old, NULL::VARCHAR AS new FROM entries e FULL JOIN later l ON e.id = l.id WHERE e.id IS NULL OR l.id IS NULL
+  UNION ALL SELECT e.id, '-+', 'size', l.size::VARCHAR, e.size::VARCHAR FROM entries e JOIN later l ON e.id = l.id WHERE e.size <> l.size
+  UNION ALL SELECT e.id, '-+', 'status', l.status, e.status FROM entries e JOIN later l ON e.id = l.id WHERE e.status <> l.status""", ENTRIES, LATER))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    e = K.entries(spark, sf)
+    return D.reversed_diff(D.diff(e, _later(e), ["size", "status"]))
