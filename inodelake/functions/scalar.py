@@ -178,13 +178,16 @@ def utc_text(t: Column, template: str = "%Y/%m/%d %H:%M:%S") -> Column:
 
 def printed(template: str, values: dict[str, Column]) -> Column:
     """``template`` with each directive, %[-][0][width]letters, replaced by its value in ``values``, null as empty. A value
-    of a date directive (A, C, T, RC) is epoch seconds and takes its form from ``{...}``. Escapes: \\n, \\t, \\\\, \\NNN
+    of a date directive (A, C, T, RC) is epoch seconds and takes its form from ``{...}``; ``%Rm{manager.attribute}`` prints
+    the value ``Rm{manager.attribute}``. Escapes: \\n, \\t, \\\\, \\NNN
     (octal) and \\xHH; an unknown directive or escape is an error."""
     token = re.compile(r"%%|%(?P<left>-?)(?P<zero>0?)(?P<width>\d*)(?P<name>R?[A-Za-z])(?:\{(?P<form>[^}]*)\})?|\\(?P<escape>[0-7]{3}|x[0-9A-Fa-f]{2}|[nt\\])|[^%\\]+")
     parts, at = [], 0
     while at < len(template):
         found = token.match(template, at)
         name = found and found["name"]
+        if name == "Rm":
+            name = f"Rm{{{found['form']}}}"
         if not found or name and name not in values:
             raise ValueError(f"unknown directive at {template[at:]!r}")
         at = found.end()
@@ -211,3 +214,16 @@ def listed(e: dict[str, Column], *more: Column) -> Column:
         "Rf": e["id"], "y": F.coalesce(e["type"], F.lit("?")), "M": mode_string(e["mode"]), "n": e["nlink"], "u": e["uid"], "g": e["gid"], "s": e["size"], "T": e["last_mod"],
     })
     return F.concat(head, *[printed(" %-15s ", {"s": x}) for x in more], F.coalesce(e["path"], F.lit("")))
+
+
+def stripe_list(items: Column) -> Column:
+    """Stripes (an array of structs of ostidx and objid) as ``ost#index:object`` with commas; ``(none)`` without any."""
+    each = F.transform(items, lambda s: F.concat(F.lit("ost#"), s["ostidx"].cast("string"), F.lit(":"), F.coalesce(s["objid"].cast("string"), F.lit("0"))))
+    return F.when(F.coalesce(F.size(items), F.lit(0)) > 0, F.array_join(each, ", ")).otherwise("(none)")
+
+
+def listed_briefly(e: dict[str, Column], *more: Column, stripes: Column | None = None) -> Column:
+    """A short listing line: id, type, size, then ``more`` (status, class), the path, and for entries with stripes those."""
+    head = printed("[%Rf] %-4y %15s ", {"Rf": e["id"], "y": F.coalesce(e["type"], F.lit("?")), "s": e["size"]})
+    tail = F.when(F.coalesce(F.size(stripes), F.lit(0)) > 0, F.concat(F.lit("  "), stripe_list(stripes))).otherwise("") if stripes is not None else F.lit("")
+    return F.concat(head, *[printed(" %-15s ", {"s": x}) for x in more], F.coalesce(e["path"], F.lit("")), tail)

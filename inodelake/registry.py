@@ -28,6 +28,7 @@ from .operators.ruleset import RuleSet
 from .plans import cube as C
 from .plans import route as W
 from .sources import catalog as K
+from .sources import records as U
 from .sources import sinks as O
 from .sources.catalog import CHANGELOG, ENTRIES, NAMES, NOW, STRIPES, sql
 from .storage import materialize, shared_dir
@@ -1457,3 +1458,46 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 def _(spark: SparkSession, sf: str) -> DataFrame:
     e = K.entries(spark, sf)
     return D.reversed_diff(D.diff(e, _later(e), ["size", "status"]))
+
+
+@query("b46_find_lsost", sql("""SELECT id, printf('[%s] %-4s %15d %s', id, type, size, '/' || id) || CASE WHEN osts IS NULL THEN '' ELSE '  ' || osts END AS line
+  FROM entries e LEFT JOIN (SELECT id AS sid, string_agg('ost#' || ostidx || ':' || (id::BIGINT * 10 + stripe_index), ', ' ORDER BY stripe_index, ostidx) AS osts FROM stripe_items GROUP BY id) s ON e.id = s.sid""", ENTRIES, STRIPES))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    each = F.struct("stripe_index", "ostidx", (F.col("id").cast("long") * 10 + F.col("stripe_index")).alias("objid"))
+    striped = K.stripe_items(spark, sf).groupBy(F.col("id").alias("sid")).agg(F.array_sort(F.collect_list(each)).alias("stripes"))
+    rows = K.entries(spark, sf).join(striped, F.col("id") == F.col("sid"), "left")
+    return rows.select("id", S.listed_briefly({"id": F.col("id"), "type": F.col("type"), "size": F.col("size"), "path": F.concat(F.lit("/"), "id")}, stripes=F.col("stripes")).alias("line"))
+
+
+@on_entries("b47_printf_modules", "SELECT id, printf('%s %6s|%-9s|%d', id, coalesce(status, ''), CASE WHEN num % 2 = 0 THEN 'a' || (num % 7) ELSE '' END, projid) AS line FROM entries")
+def _(e: DataFrame) -> DataFrame:
+    values = {"Rf": F.col("id"), "Rm{copy.status}": F.col("status"), "Rm{copy.archive_id}": F.when(F.col("num") % 2 == 0, F.concat(F.lit("a"), F.col("num") % 7)), "RP": F.col("projid")}
+    return e.select("id", S.printed("%Rf %6Rm{copy.status}|%-9Rm{copy.archive_id}|%RP", values).alias("line"))
+
+
+@query("a04_change_records", sql("SELECT idx, time, type, mdt::VARCHAR AS mdt, tfid FROM changelog", RECORDS_SQL))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """The log as segments of 500 indexes a reader; a first run reads some readers, another one goes on to the end."""
+    at, log = f"{shared_dir(spark)}/records-{uuid.uuid4().hex}", K.changelog(spark, sf)
+    span = F.floor(F.col("idx") / 500) * 500
+    parts = log.withColumn("span", F.concat(span.cast("string"), F.lit("-"), (span + 499).cast("string")))
+    schema = "idx long, time long, type string, mdt string, tfid string"
+    U.register(spark)
+    for some in ("mdt < 2", "mdt >= 2"):
+        parts.filter(some).write.mode("append").partitionBy("mdt", "span").parquet(f"{at}/log")
+        stream = spark.readStream.format(U.NAME).option("path", f"{at}/log").option("schema", schema).option("range", 2000).load()
+        stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).parquet(f"{at}/out")
+
+
+@on_entries("b35_own_attributes", f"""SELECT id, coalesce(status, '') = '' AS untagged, coalesce(status, '') LIKE '%o%' AS tagged, CASE WHEN num % 3 > 0 THEN projid >= 2 END AS copies, CASE WHEN num % 5 > 0 THEN invalid = FALSE END AS fine,
+  coalesce(CASE WHEN num % 7 = 0 THEN 0 WHEN num % 7 < 5 THEN last_access END, 0) = 0 AS never, coalesce(CASE WHEN num % 7 = 0 THEN 0 WHEN num % 7 < 5 THEN last_access END, 0) <> 0 AND {NOW} - last_access > 86400000 AS long_ago FROM entries""")
+def _(e: DataFrame) -> DataFrame:
+    n = F.col("num")
+    rows = e.withColumns({"copies": F.when(n % 3 > 0, F.col("projid")), "hidden": F.when(n % 5 > 0, F.col("invalid")), "archived": F.when(n % 7 == 0, 0).when(n % 7 < 5, F.col("last_access"))})
+    context = B.Context(now=NOW, infos={"tag": B.Info("status", "text"), "copies": B.Info("copies", "number"), "hidden": B.Info("hidden", "boolean"), "last_archive": B.Info("archived", "moment")})
+    test = lambda text: B.compiled(T.condition(text), context)
+    return rows.select(
+        "id", test("tag == ''").alias("untagged"), test("tag == '*o*'").alias("tagged"), test("copies >= 2").alias("copies"), test("hidden == no").alias("fine"), test("last_archive == 0").alias("never"),
+        test("last_archive > 1000d").alias("long_ago"),
+    )

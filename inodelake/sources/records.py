@@ -1,7 +1,8 @@
 """Change records as a streaming source: several readers, each with its own position in its log.
 
-A log is a folder of segments, ``<reader>/<first>-<last>.parquet`` with the records of those indexes (column idx). The
-position is one index for each reader. A batch goes from one position to another and is planned into ranges of at most
+A log is a folder of segments, ``<reader>/<first>-<last>.parquet`` with the records of those indexes (column idx), or a
+folder of that name with several files; names of partition columns (``mdt=<reader>/span=<first>-<last>``) may be in
+front. A segment doesn't change once it is there. The position is one index for each reader. A batch goes from one position to another and is planned into ranges of at most
 ``range`` indexes; a task reads the segments that its range touches, and of them the rows in it. ``commit`` notes the
 position in ``acknowledged``, from which a stream without a checkpoint goes on.
 
@@ -24,7 +25,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 NAME = "change_records"
-_SEGMENT = re.compile(r"([^/]+)/(\d+)-(\d+)\.parquet$")
+_SEGMENT = re.compile(r"(?:[^/=]+=)?([^/=]+)/(?:[^/=]+=)?(\d+)-(\d+)(?:/[^/_.][^/]*)?\.parquet$")
 
 
 @dataclass
