@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import size_bucket
 from ..operators.report import PROFILE, profile_columns
 
 KEYS = ("uid", "gid", "type", "status")
@@ -24,6 +25,13 @@ def deltas(old: DataFrame, new: DataFrame, keys: Sequence[str] = KEYS) -> DataFr
     return profile.groupBy(*keys).agg(*[F.sum(F.col(m) * F.col("sign")).alias(m) for m in MEASURES])
 
 
+def signed(rows: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """``deltas`` of rows that carry their ``sign``, in one pass."""
+    bucket, sign = size_bucket(F.col("size")), F.col("sign")
+    profile = [F.sum(F.when(bucket == i - 1, sign).otherwise(0)).alias(name) for i, name in enumerate(PROFILE)]
+    return rows.groupBy(*keys).agg(F.sum(F.col("size") * sign).alias("size"), F.sum(F.col("blocks") * sign).alias("blocks"), F.sum(sign).alias("count"), *profile)
+
+
 def merge(cube: DataFrame, change: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     both = cube.unionByName(change).groupBy(*keys).agg(*[F.sum(m).alias(m) for m in MEASURES])
     return both.filter("count <> 0")

@@ -42,7 +42,7 @@ class KeptCube:
         found = self.versions()
         if found and found[-1] >= batch:
             return False
-        change = C.deltas(signed.filter("sign < 0").drop("sign"), signed.filter("sign > 0").drop("sign"), self.keys)
+        change = C.signed(signed, self.keys)
         cube = C.merge(self.at(found[-1]), change, self.keys) if found else change.filter("count <> 0")
         cube.coalesce(max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 8)).write.mode("overwrite").parquet(f"{self.path}/version={batch}")
         return True
