@@ -22,6 +22,12 @@ def upsert(catalog: DataFrame, batch: DataFrame, key: str = "id", fill_only: boo
     return joined.select(*[pick(c) for c in catalog.columns])
 
 
+def replaced(catalog: DataFrame, batch: DataFrame, key: str = "id") -> DataFrame:
+    """The catalog with whole rows of ``batch`` in place of those of the same id."""
+    new = batch.select(*catalog.columns)
+    return new.unionByName(remove(catalog, new, key))
+
+
 def remove(catalog: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     return catalog.join(ids.select(key), key, "left_anti")
 

@@ -88,10 +88,15 @@ def size_range(size: Column, literal: str) -> Column:
     return inside if high == "inf" else inside & (size < parse_size(high))
 
 
+def size_ratio(df: DataFrame, keys: Sequence[str], literal: str) -> DataFrame:
+    """The share of each group's files that are in a size range."""
+    inside = size_range(F.col("size"), literal)
+    return df.groupBy(*keys).agg((F.sum(inside.cast("int")) / F.count(F.lit(1))).alias("ratio"))
+
+
 def by_size_ratio(df: DataFrame, key: str, literal: str, limit: int = 20) -> DataFrame:
     """Owners by the share of their files in a size range, highest first."""
-    inside = size_range(F.col("size"), literal)
-    return ranked(df.groupBy(key).agg((F.sum(inside.cast("int")) / F.count(F.lit(1))).alias("ratio")), [F.desc("ratio"), F.asc(key)], limit)
+    return ranked(size_ratio(df, [key], literal), [F.desc("ratio"), F.asc(key)], limit)
 
 
 def scan_activity(variables: DataFrame) -> DataFrame:

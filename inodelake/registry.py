@@ -354,8 +354,7 @@ def _(e: DataFrame) -> DataFrame:
 
 @on_entries("e06_size_ratio", "SELECT uid, sum(CASE WHEN size >= 1048576 AND size < 1073741824 THEN 1 ELSE 0 END) / count(*) AS ratio FROM entries GROUP BY uid")
 def _(e: DataFrame) -> DataFrame:
-    inside = (F.col("size") >= 1 << 20) & (F.col("size") < 1 << 30)
-    return e.groupBy("uid").agg((F.sum(inside.cast("int")) / F.count(F.lit(1))).alias("ratio"))
+    return R.size_ratio(e, ["uid"], "1M..1G")
 
 
 @on_entries("e07_fs_info", f"SELECT type, {USAGE_SQL} FROM entries GROUP BY type")
@@ -655,8 +654,7 @@ def _(e: DataFrame) -> DataFrame:
 @query("h02_update_attributes", sql("SELECT id, size, status FROM later UNION ALL SELECT id, size, status FROM entries e WHERE NOT EXISTS (SELECT 1 FROM later l WHERE l.id = e.id)", ENTRIES, LATER))
 def _(spark: SparkSession, sf: str) -> DataFrame:
     e = K.entries(spark, sf)
-    changed = _later(e).select("id", "size", "status")
-    return changed.unionByName(D.remove(e.select("id", "size", "status"), changed.select("id")))
+    return D.replaced(e.select("id", "size", "status"), _later(e))
 
 
 @on_entries("j02_class_algebra", "SELECT id, (size >= 1048576 OR uid = 'u1') AND NOT coalesce(status = 'new', false) AS chosen FROM entries")
@@ -958,7 +956,7 @@ def _new_path(spark: SparkSession) -> str:
 @on_entries("a13_csv_report", "SELECT row_number() OVER (ORDER BY size DESC, uid) AS rank, uid, count, size FROM (SELECT uid, count(*)::BIGINT AS count, sum(size)::BIGINT AS size FROM entries GROUP BY uid)")
 def _(e: DataFrame) -> DataFrame:
     path = _new_path(e.sparkSession)
-    O.write_report(e.groupBy("uid").agg(F.count(F.lit(1)).alias("count"), F.sum("size").alias("size")), path, order=[F.desc("size"), F.asc("uid")])
+    O.write_report(e.groupBy("uid").agg(F.count(F.lit(1)).alias("count"), F.sum("size").alias("size")), path, order=["-size", "uid"])
     return O.read_report(e.sparkSession, path, "rank bigint, uid string, count bigint, size bigint")
 
 
@@ -1524,3 +1522,14 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
         spark.conf.unset(store) if before is None else spark.conf.set(store, before)
     cube = kept.latest()
     return C.build(e.limit(0)) if cube is None else cube.select(*C.KEYS, *C.MEASURES)
+
+
+@query("i17_stream_rates", sql("""SELECT batch, report, mdt, type, (sum(n) OVER w)::BIGINT AS total, n AS gained, (report - lag(report) OVER w)::BIGINT AS seconds, (n / nullif(report - lag(report) OVER w, 0))::DOUBLE AS speed,
+    ((last_time - lag(last_time) OVER w) / nullif(report - lag(report) OVER w, 0))::DOUBLE AS ratio, (report - last_time)::BIGINT AS behind
+  FROM (SELECT batch, mdt::VARCHAR AS mdt, type, count(*)::BIGINT AS n, max(time) AS last_time FROM batches GROUP BY ALL) JOIN (SELECT batch, max(time) + 45 AS report FROM batches GROUP BY 1) USING (batch) WINDOW w AS (PARTITION BY mdt, type ORDER BY batch)""", RECORDS_SQL, "batches AS (SELECT *, time // 259200 AS batch FROM changelog)"))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Reports as a stream stores them: a batch for every three days of the log, told of 45 seconds after its last record."""
+    log = K.changelog(spark, sf).withColumn("batch", F.floor(F.col("time") / 259_200).cast("long"))
+    counts = log.groupBy("batch", F.col("mdt").cast("string").alias("mdt"), "type").agg(F.count(F.lit(1)).alias("count"), F.max("idx").alias("last_idx"), F.max("time").alias("last_time"))
+    progress = log.groupBy("batch").agg((F.max("time") + 45).alias("at"))
+    return V.rates(counts, progress).withColumnRenamed("at", "report")

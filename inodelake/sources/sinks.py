@@ -5,10 +5,11 @@ from __future__ import annotations
 import time
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..operators.policy import running
 from .catalog import striping
 
 VARIABLES = "name string, value string, at bigint"
@@ -29,10 +30,10 @@ def variables(spark: SparkSession, path: str) -> DataFrame:
     return latest(spark.read.schema(VARIABLES).parquet(path))
 
 
-def write_report(df: DataFrame, path: str, header: bool = True, order: Sequence[Column] = ()) -> None:
-    """A report as CSV files. With ``order``, ranked from 1 in it: for reports whose rows fit one task, as ranks do."""
+def write_report(df: DataFrame, path: str, header: bool = True, order: Sequence[str] = ()) -> None:
+    """A report as CSV files. With ``order`` (names with a minus where descending), ranked from 1 in it, by ranges of the order."""
     if order:
-        df = df.select(F.row_number().over(Window.orderBy(*order)).alias("rank"), "*")
+        df = running(df, order, {"one": F.lit(1)}).select((F.col("before_one") + 1).alias("rank"), "row.*")
     df.write.option("header", header).csv(path)
 
 
