@@ -8,6 +8,7 @@ reads less.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, replace
 
@@ -274,6 +275,32 @@ class RuleSet:
         ignore = [*map(compiled, p.ignore), *[compiled(Named(n)) for n in p.ignored]]
         return P.Policy(p.name, compiled(p.scope), [rule(r) for r in p.rules], ignore, rule(p.default) if p.default else None)
 
+    def target_class(self, name: str, context: Context, rule: str = "rule") -> Column:
+        """The class by which the row's rule (a column) took the entry: the first of the rule's targets that it is in."""
+        p, nodes = self.policies[name.lower()], self.definitions()
+        out = F.lit(None).cast("string")
+        for r in p.rules:
+            own = F.lit(None).cast("string")
+            for t in reversed(r.targets):
+                own = F.when(X.matched(C.compiled(Named(t), context, nodes)), F.lit(self.classes[t.lower()].name)).otherwise(own)
+            out = F.when(F.col(rule) == r.name, own).otherwise(out)
+        return out
+
+    def parameters(self, name: str, context: Context, trigger: Trigger | None = None, rule: str = "rule") -> Column:
+        """The action's parameters of each row, as a map: the policy's, over them the trigger's, the rule's and those that
+        the class has for the policy. ``{rule}`` and ``{fileclass}`` in a value stand for their names."""
+        p = self.policies[name.lower()]
+        chosen = self.target_class(name, context, rule)
+        out = F.lit(None).cast("map<string,string>")
+        for r in [*p.rules, *([p.default] if p.default else [])]:
+            base = {**p.params, **(trigger.params if trigger else {}), **r.params}
+            own = _map(base, r.name, None)
+            for t in r.targets:
+                c = self.classes[t.lower()]
+                own = F.when(chosen == c.name, _map({**base, **c.params.get(p.name.lower(), {})}, r.name, c.name)).otherwise(own)
+            out = F.when(F.col(rule) == r.name, own).otherwise(out)
+        return out
+
     def prefilter(self, name: str, context: Context) -> Column | None:
         """What every entry that the policy acts on fulfils, in the scan's terms: its scope, no ignore condition, and
         a rule (a target class and its condition, or the default's condition)."""
@@ -293,6 +320,13 @@ class RuleSet:
         return P.candidates(entries if weak is None else entries.filter(weak), self.policy(name, context), target)
 
 
+def _map(values: Mapping[str, str], rule: str, fileclass: str | None) -> Column:
+    """A map of fixed texts with their placeholders replaced."""
+    own = {"rule": rule, "fileclass": fileclass or ""}
+    cells = [F.lit(x) for k, v in values.items() for x in (k, re.sub(r"\{(rule|fileclass)\}", lambda m: own[m[1]], v))]
+    return F.create_map(*cells).cast("map<string,string>")
+
+
 def _known_classes(node: Node, classes: Mapping[str, FileClass], line: int) -> None:
     if isinstance(node, Named) and node.name.lower() not in classes:
         raise RuleError(node.line, f"unknown class {node.name}")

@@ -11,24 +11,31 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import materialize
 from .ruleset import PolicyText, Trigger
 
 
-def running_by_target(df: DataFrame, target: str, order: Sequence[str], amounts: Sequence[str], parts: int | None = None) -> DataFrame:
-    """``df`` as one struct column ``row`` with its ``target`` and, for each amount a, ``before_a``: the sum over the
-    target's rows before it in ``order`` (names with a minus where descending). Null amounts count as 0."""
+def _dealt(df: DataFrame, target: str, order: Sequence[str], amounts: Sequence[str], parts: int | None) -> DataFrame:
+    """row, target, own_a and keys of the order, written once in ranges of (target, order) with their number."""
     n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = [f"key_{i}" for i in range(len(order))]
-    sort = [F.desc(k) if o[0] == "-" else F.asc(k) for k, o in zip(keys, order, strict=True)]
     plain = df.select(
-        F.struct(*df.columns).alias("row"), F.col(target).alias("target"), *[F.col(o.lstrip("-")).alias(k) for o, k in zip(order, keys, strict=True)],
+        F.struct(*df.columns).alias("row"), F.col(target).alias("target"), *[F.col(o.lstrip("-")).alias(f"key_{i}") for i, o in enumerate(order)],
         *[F.coalesce(F.col(a), F.lit(0)).alias(f"own_{a}") for a in amounts],
     )
-    ranged = materialize(plain.repartitionByRange(n, F.asc("target"), *sort).withColumn("range_no", F.spark_partition_id()))
+    return materialize(plain.repartitionByRange(n, F.asc("target"), *_sort(order)).withColumn("range_no", F.spark_partition_id()))
+
+
+def _sort(order: Sequence[str]) -> list[Column]:
+    return [F.desc(f"key_{i}") if o[0] == "-" else F.asc(f"key_{i}") for i, o in enumerate(order)]
+
+
+def running_by_target(df: DataFrame, target: str, order: Sequence[str], amounts: Sequence[str], parts: int | None = None) -> DataFrame:
+    """``df`` as one struct column ``row`` with its ``target`` and, for each amount a, ``before_a``: the sum over the
+    target's rows before it in ``order`` (names with a minus where descending). Null amounts count as 0."""
+    ranged, sort = _dealt(df, target, order, amounts, parts), _sort(order)
     sums = ranged.groupBy("range_no", "target").agg(*[F.sum(f"own_{a}").alias(f"sum_{a}") for a in amounts])
     edges = ranged.groupBy("range_no").agg(F.min(F.struct("target")).alias("first"), F.max(F.struct("target")).alias("last"))
     at_edge = sums.join(F.broadcast(edges), "range_no").filter(F.col("target").eqNullSafe(F.col("first.target")) | F.col("target").eqNullSafe(F.col("last.target")))

@@ -1120,7 +1120,7 @@ define_policy cleanup {
     default_lru_sort_attr = last_access;
 }
 FileClass big { definition { size >= 100MB } }
-FileClass small_new { definition { size < 1MB and last_mod < 3000d } }
+FileClass small_new { definition { size < 1MB and last_mod < 3000d } cleanup_action_params { level = 5; note = "{fileclass} by {rule}"; } }
 FileClass owned { definition { owner == "u1*" or group == g3 } report = no; }
 FileClass big_owned { definition { big inter owned } }
 FileClass other { definition { not big union small_new } }
@@ -1134,8 +1134,8 @@ cleanup_rules {
     rule second { target_fileclass = second; condition { last_mod > 8y or projid == 2 and size > 1GB } }
     rule default { condition { creation > 3000d or size > 40GB } }
 }
-cleanup_parameters { lru_sort_attr = last_mod(desc); max_action_count = 500; }
-cleanup_trigger { trigger_on = user_usage(u1, u2); high_threshold_pct = 20%; low_threshold_pct = 15%; check_interval = 5min; }
+cleanup_parameters { lru_sort_attr = last_mod(desc); max_action_count = 500; action_params { level = 1; by = policy; } }
+cleanup_trigger { trigger_on = user_usage(u1, u2); high_threshold_pct = 20%; low_threshold_pct = 15%; check_interval = 5min; action_params { by = trigger; } }
 """
 RULE_CONTEXT = B.Context(now=NOW, statuses=("new", "modified", "synchro", "released"), stored=frozenset({"uid", "gid", "projid", "size", "type", "last_mod", "last_access", "creation_time", "nlink", "status", "ost_pool"}))
 _BIG, _SMALL, _OWNED = "size >= 104857600", f"(size < 1048576 AND {NOW} - last_mod < 259200000)", "(uid LIKE 'u1%' OR gid = 'g3')"
@@ -1533,3 +1533,12 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     counts = log.groupBy("batch", F.col("mdt").cast("string").alias("mdt"), "type").agg(F.count(F.lit(1)).alias("count"), F.max("idx").alias("last_idx"), F.max("time").alias("last_time"))
     progress = log.groupBy("batch").agg((F.max("time") + 45).alias("at"))
     return V.rates(counts, progress).withColumnRenamed("at", "report")
+
+
+@query("j11_parameters_from_text", sql("""SELECT id, CASE rule WHEN 'owned_data' THEN 'big_owned' WHEN 'default' THEN NULL WHEN 'young' THEN 'small_new' ELSE rule END AS class,
+  CASE rule WHEN 'young' THEN 'by=trigger;level=5;note=small_new by young' ELSE 'by=trigger;level=1' END AS parameters FROM acted WHERE rule IS NOT NULL""", ENTRIES, RULES_SQL))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    rules = RuleSet.read(RULES)
+    found, merged = rules.candidates(K.entries(spark, sf), "cleanup", RULE_CONTEXT), rules.parameters("cleanup", RULE_CONTEXT, rules.policies["cleanup"].triggers[0])
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries(merged)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return found.select("id", rules.target_class("cleanup", RULE_CONTEXT).alias("class"), shown.alias("parameters"))

@@ -216,3 +216,17 @@ def test_only_stored_columns_are_pushed(spark):
     c = C.Context(now=NOW, stored=frozenset({"size"}))
     assert C.prefilter(T.condition("last_mod > 1h"), c) is None and C.prefilter(T.condition("last_mod > 1h and size > 1"), c) is not None
     assert C.prefilter(T.condition("last_mod > 1h or size > 1"), c) is None
+
+
+def test_parameters_by_policy_trigger_rule_and_class(spark):
+    rules = RuleSet.read(
+        "define_policy p { scope = all; }\nFileClass big { definition { size > 4KB } p_action_params { level = 3; tag = '{fileclass}/{rule}'; } }\nFileClass logs { definition { name == '*.log' } }\n"
+        "p_parameters { action_params { level = 0; by = policy; } }\np_trigger { trigger_on = periodic; check_interval = 1h; action_params { by = trigger; } }\n"
+        "p_rules { rule r { target_fileclass = logs; target_fileclass = big; condition = true; action_params { level = 1; tag = x; } } rule default { condition = true; } }"
+    )
+    trigger = rules.policies["p"].triggers[0]
+    df = spark.createDataFrame([(1, "a.log", 9000, "r"), (2, "b", 9000, "r"), (3, "c", 1, "default"), (4, "d", 1, None)], "id int, name string, size long, rule string")
+    got = {r["id"]: (r["c"], r["m"]) for r in df.select("id", rules.target_class("p", CONTEXT).alias("c"), rules.parameters("p", CONTEXT, trigger).alias("m")).collect()}
+    assert got == {
+        1: ("logs", {"level": "1", "by": "trigger", "tag": "x"}), 2: ("big", {"level": "3", "by": "trigger", "tag": "big/r"}), 3: (None, {"level": "0", "by": "trigger"}), 4: (None, None),
+    }

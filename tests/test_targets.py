@@ -52,10 +52,9 @@ def test_each_target_stops_at_its_own_limit(spark, parts):
 
 def test_a_large_target_is_in_many_tasks(spark):
     df = spark.createDataFrame(files(4000), SCHEMA).filter("uid = 'hot'")
+    sizes = [r["count"] for r in G._dealt(df, "uid", ["last_access", "id"], ["blocks"], 8).groupBy("range_no").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * sum(sizes) / 8
     rows = G.running_by_target(df, "uid", ["last_access", "id"], ["blocks"], 8)
-    sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
-    plan = rows._jdf.queryExecution().optimizedPlan().toString()
-    assert "range_no" in plan and len(sizes) >= 1
     total = sum(r[4] or 0 for r in files(4000) if r[1] == "hot")
     last = rows.orderBy(F.desc("row.last_access"), F.desc("row.id")).first()
     assert last["before_blocks"] + (last["row"]["blocks"] or 0) == total
