@@ -967,26 +967,32 @@ def _(e: DataFrame) -> DataFrame:
     return O.read_report(e.sparkSession, path, "uid string, sum_size bigint, count bigint")
 
 
-def _with_path(e: DataFrame) -> DataFrame:
-    return e.withColumn("path", F.concat(F.lit("/"), "id"))
+ONE_PATH = "one_paths AS (SELECT id, min(path) AS path FROM full_paths GROUP BY id)"
 
 
-@on_entries("a14_dump_user", "SELECT id, type, status, size, uid, gid, '/' || id AS path FROM entries WHERE uid = 'u7'")
-def _(e: DataFrame) -> DataFrame:
-    return O.dump(_with_path(e), "user", "u7")
+def _with_path(spark: SparkSession, sf: str) -> DataFrame:
+    """Entries with one path of theirs, null where they have no name."""
+    paths = N.one_path(K.names(spark, sf), K.ROOT).select(F.col("id").alias("path_id"), "path")
+    e = K.entries(spark, sf)
+    return e.join(paths, F.col("id") == F.col("path_id"), "left").select(*e.columns, "path")
 
 
-@on_entries("a14_dump_status", "SELECT id, type, status, size, uid, gid, '/' || id AS path FROM entries WHERE coalesce(status, '') = ''")
-def _(e: DataFrame) -> DataFrame:
-    return O.dump(_with_path(e), "status", "")
+@query("a14_dump_user", sql("SELECT e.id, type, status, size, uid, gid, path FROM entries e LEFT JOIN one_paths p ON e.id = p.id WHERE uid = 'u7'", ENTRIES, NAMES, PATHS, ONE_PATH))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return O.dump(_with_path(spark, sf), "user", "u7")
+
+
+@query("a14_dump_status", sql("SELECT e.id, type, status, size, uid, gid, path FROM entries e LEFT JOIN one_paths p ON e.id = p.id WHERE coalesce(status, '') = ''", ENTRIES, NAMES, PATHS, ONE_PATH))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return O.dump(_with_path(spark, sf), "status", "")
 
 
 STRIPE_COUNTS = "own AS (SELECT s.id, s.place, s.ostidx, s.n, (e.blocks * 512) // 1048576 AS whole, (e.blocks * 512) % 1048576 AS rest, e.type, e.size FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY stripe_index, ostidx) - 1 AS place, count(*) OVER (PARTITION BY id) AS n FROM stripe_items) s JOIN entries e ON e.id = s.id), on_ost AS (SELECT *, (CASE WHEN whole > place THEN (whole - place + n - 1) // n ELSE 0 END * 2048 + CASE WHEN whole % n = place THEN (rest + 511) // 512 ELSE 0 END)::BIGINT AS blocks FROM own)"
 
 
-@query("a14_dump_ost", sql("SELECT id, any_value(type) AS type, any_value(size) AS size, '/' || id AS path, any_value(n)::INTEGER AS stripe_count, bool_or(blocks > 0) AS data_on_ost FROM on_ost WHERE ostidx IN (3, 5) GROUP BY id", ENTRIES, STRIPES, STRIPE_COUNTS))
+@query("a14_dump_ost", sql("SELECT o.id, any_value(type) AS type, any_value(size) AS size, any_value(path) AS path, any_value(n)::INTEGER AS stripe_count, bool_or(blocks > 0) AS data_on_ost FROM on_ost o LEFT JOIN one_paths p ON o.id = p.id WHERE ostidx IN (3, 5) GROUP BY o.id", ENTRIES, STRIPES, STRIPE_COUNTS, NAMES, PATHS, ONE_PATH))
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return O.dump_osts(_with_path(K.entries(spark, sf)), K.stripe_items(spark, sf), [3, 5], 1 << 20)
+    return O.dump_osts(_with_path(spark, sf), K.stripe_items(spark, sf), [3, 5], 1 << 20)
 
 
 @query("c13_blocks_on_ost", sql("SELECT id, place::INTEGER AS place, ostidx, blocks FROM on_ost", ENTRIES, STRIPES, STRIPE_COUNTS))
