@@ -1482,15 +1482,17 @@ def _(e: DataFrame) -> DataFrame:
 
 @query("a04_change_records", sql("SELECT idx, time, type, mdt::VARCHAR AS mdt, tfid FROM changelog", RECORDS_SQL))
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    """The log as segments of 500 indexes a reader; a first run reads some readers, another one goes on to the end."""
+    """The log as segments of 500 indexes a reader; a first run reads some readers, another one goes on to the end. A log
+    of over 100,000 indexes has longer segments, not more of them: files of a hundred records cost more than the records."""
     at, log = f"{shared_dir(spark)}/records-{uuid.uuid4().hex}", K.changelog(spark, sf)
-    span = F.floor(F.col("idx") / 500) * 500
-    parts = log.withColumn("span", F.concat(span.cast("string"), F.lit("-"), (span + 499).cast("string")))
+    length = 500 * max(1, -(-((log.agg(F.max("idx")).first()[0] or 0) + 1) // 100_000))
+    span = F.col("idx") - F.col("idx") % length
+    parts = log.withColumn("span", F.concat(span.cast("string"), F.lit("-"), (span + length - 1).cast("string"))).repartition("mdt", "span")
     schema = "idx long, time long, type string, mdt string, tfid string"
     U.register(spark)
     for some in ("mdt < 2", "mdt >= 2"):
         parts.filter(some).write.mode("append").partitionBy("mdt", "span").parquet(f"{at}/log")
-        stream = spark.readStream.format(U.NAME).option("path", f"{at}/log").option("schema", schema).option("range", 2000).load()
+        stream = spark.readStream.format(U.NAME).option("path", f"{at}/log").option("schema", schema).option("range", 4 * length).option("tasks", 2 * spark.sparkContext.defaultParallelism).load()
         stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(schema).parquet(f"{at}/out")
 

@@ -3,8 +3,10 @@
 A log is a folder of segments, ``<reader>/<first>-<last>.parquet`` with the records of those indexes (column idx), or a
 folder of that name with several files; names of partition columns (``mdt=<reader>/span=<first>-<last>``) may be in
 front. A segment doesn't change once it is there. The position is one index for each reader. A batch goes from one position to another and is planned into ranges of at most
-``range`` indexes; a task reads the segments that its range touches, and of them the rows in it. ``commit`` notes the
-position in ``acknowledged``, from which a stream without a checkpoint goes on.
+``range`` indexes. The plan lists the log once and gives each range the segments that it touches; a task reads these, and
+of them the rows in it, and lists nothing. A task costs a start of Python, so with the option ``tasks`` a batch of more
+ranges than that is dealt into as many tasks, each with its ranges one after another. ``commit`` notes the position in ``acknowledged``, from which a stream without
+a checkpoint goes on.
 
     register(spark)
     spark.readStream.format("change_records").option("path", ...).option("schema", "idx long, ...").load()
@@ -14,8 +16,10 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -30,11 +34,29 @@ _SEGMENT = re.compile(r"(?:[^/=]+=)?([^/=]+)/(?:[^/=]+=)?(\d+)-(\d+)(?:/[^/_.][^
 
 @dataclass
 class IndexRange(InputPartition):
-    """Records of one reader with first <= idx <= last."""
+    """Records of one reader with first <= idx <= last, and the paths of the segments that may hold them."""
 
     reader: str
     first: int
     last: int
+    paths: tuple[str, ...] = ()
+
+
+@dataclass
+class Share(InputPartition):
+    """The ranges that one task reads, one after another."""
+
+    ranges: tuple[IndexRange, ...]
+
+
+def touched(segments: list[tuple[int, int, str]], ranges: list[tuple[int, int]]) -> list[tuple[str, ...]]:
+    """For each of the ranges, which are in order and apart, the paths of the segments that it touches, in order."""
+    firsts, lasts = [a for a, _ in ranges], [b for _, b in ranges]
+    out: list[list[str]] = [[] for _ in ranges]
+    for first, last, path in segments:
+        for k in range(bisect_left(lasts, first), bisect_right(firsts, last)):
+            out[k].append(path)
+    return [tuple(own) for own in out]
 
 
 class _Log:
@@ -70,20 +92,27 @@ class ChangeRecordReader(DataSourceStreamReader):
     def latestOffset(self) -> dict:
         return {reader: own[-1][1] for reader, own in sorted(self._log().segments().items())}
 
-    def partitions(self, start: dict, end: dict) -> list[IndexRange]:
-        size, out = int(self.options.get("range", "100000")), []
+    def partitions(self, start: dict, end: dict) -> list[IndexRange] | list[Share]:
+        size, out, segments = int(self.options.get("range", "100000")), [], self._log().segments()
         for reader, last in end.items():
             first = start.get(reader, -1) + 1
-            known = self._log().segments().get(reader, [])
+            known = segments.get(reader, [])
             first = max(first, known[0][0]) if known else first  # a log may begin after its cleared part
-            out += [IndexRange(reader, at, min(at + size - 1, last)) for at in range(first, last + 1, size)]
-        return out
-
-    def read(self, partition: IndexRange) -> Iterator[pa.RecordBatch]:
+            ranges = [(at, min(at + size - 1, last)) for at in range(first, last + 1, size)]
+            out += [IndexRange(reader, a, b, paths) for (a, b), paths in zip(ranges, touched(known, ranges), strict=True)]
+        tasks = int(self.options.get("tasks", "0"))
+        if not tasks or len(out) <= tasks:
+            return out
+        cuts = [i * len(out) // tasks for i in range(tasks + 1)]
+        return [Share(tuple(out[a:b])) for a, b in pairwise(cuts)]
+
+    def read(self, partition: IndexRange | Share) -> Iterator[pa.RecordBatch]:
+        for own in partition.ranges if isinstance(partition, Share) else (partition,):
+            yield from self._rows(own)
+
+    def _rows(self, partition: IndexRange) -> Iterator[pa.RecordBatch]:
         log = self._log()
-        for first, last, path in log.segments().get(partition.reader, []):
-            if first > partition.last or last < partition.first:
-                continue
+        for path in partition.paths:
             with log.store.open_input_file(path) as f:
                 for batch in pq.ParquetFile(f).iter_batches():
                     table = pa.Table.from_batches([batch])

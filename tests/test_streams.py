@@ -152,6 +152,22 @@ def test_positions_ranges_and_acknowledgement(tmp_path):
     assert S.ChangeRecordReader(None, {"path": str(tmp_path / "none")}).latestOffset() == {}
 
 
+def test_a_plan_lists_the_log_once_and_tasks_do_not(tmp_path, monkeypatch):
+    rows = log(200)
+    segments(tmp_path / "log", rows, 7)
+    listed, segments_of = [], S._Log.segments
+    monkeypatch.setattr(S._Log, "segments", lambda self: listed.append(1) or segments_of(self))
+    schema = type("Schema", (), {"names": ["mdt", "tfid", "idx", "time", "type"]})
+    last = {m: max(r[2] for r in rows if r[0] == m) for m in "ab"}
+    for tasks in (None, "3", "1000"):
+        reader = S.ChangeRecordReader(schema, {"path": str(tmp_path / "log"), "range": "10", **({"tasks": tasks} if tasks else {})})
+        listed.clear()
+        plan = reader.partitions({"a": 20}, last)
+        assert len(listed) == 1 and (tasks != "3" or len(plan) == 3)
+        got = [tuple(r.values()) for p in plan for batch in reader.read(p) for r in batch.to_pylist()]
+        assert len(listed) == 1 and sorted(got) == sorted(r for r in rows if r[0] == "b" or r[2] > 20)
+
+
 UPDATES = "id string, idx long, removed boolean, uid string, gid string, type string, status string, size long, blocks long"
 
 
