@@ -6,11 +6,30 @@ import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Labels of the size profile, from empty files up.
 SIZE_LABELS = ("0", "1~31", "32~1K-", "1K~31K", "32K~1M-", "1M~31M", "32M~1G-", "1G~31G", "32G~1T-", "+1T")
 
 
+def wide(column: str, schema: T.StructType) -> Column:
+    """A column of longs as decimals, so that its sums have room beyond 64 bits; others as they are."""
+    return F.col(column).cast("decimal(20,0)") if isinstance(schema[column].dataType, T.LongType) else F.col(column)
+
+
+def total(column: str) -> Column:
+    """The exact sum of a column of whole numbers, as a decimal."""
+    return F.sum(F.col(column).cast("decimal(20,0)"))
+
+
+def mean(column: Column) -> Column:
+    """The average of whole numbers, rounded to one. It comes from the whole quotient of the exact sum and its rest: a sum
+    of doubles would lose what lies beyond their 53 bits."""
+    summed, n = F.sum(column.cast("decimal(20,0)")), F.nullif(F.count(column), F.lit(0))
+    whole = F.call_function("div", summed, n)
+    return F.round(whole.cast("double") + (summed - whole.cast("decimal(20,0)") * n).cast("double") / n).cast("long")
+
+
 def sz_range(size: Column) -> Column:
     """-1 for empty, else floor(log2(size) / 5), by exact integer bounds."""
     out = F.when(size == 0, -1)

@@ -32,7 +32,7 @@ from .sources import catalog as K
 from .sources import records as U
 from .sources import sinks as O
 from .sources.catalog import CHANGELOG, ENTRIES, NAMES, NOW, STRIPES, sql
-from .storage import materialize, shared_dir
+from .storage import fitted, materialize, shared_dir
 from .streaming import changelog as L
 from .streaming import keyed as Y
 from .streaming import progress as V
@@ -326,7 +326,7 @@ USAGE_SQL = "count(*) AS count, sum(size)::BIGINT AS size, sum(blocks)::BIGINT A
 
 @on_entries("e01_generic_report", f"SELECT uid, type, {USAGE_SQL}, count(DISTINCT gid) AS groups FROM entries WHERE NOT invalid GROUP BY uid, type HAVING count(*) >= 5")
 def _(e: DataFrame) -> DataFrame:
-    return R.report(e, ["uid", "type"], [*R.usage(), F.count_distinct("gid").alias("groups")], where=~F.col("invalid"), having=F.col("count") >= 5)
+    return fitted(R.report(e, ["uid", "type"], [*R.usage(), F.count_distinct("gid").alias("groups")], where=~F.col("invalid"), having=F.col("count") >= 5))
 
 
 @on_entries("e02_cube_roll_up", f"SELECT uid, sum(size)::BIGINT AS size, sum(blocks)::BIGINT AS blocks, count(*) AS count, {PROFILE_SQL}, round(sum(size) / count(*))::BIGINT AS avg_size, NULL::BIGINT AS min_size, NULL::BIGINT AS max_size FROM entries GROUP BY uid")
@@ -359,7 +359,7 @@ def _(e: DataFrame) -> DataFrame:
 
 @on_entries("e07_fs_info", f"SELECT type, {USAGE_SQL} FROM entries GROUP BY type")
 def _(e: DataFrame) -> DataFrame:
-    return R.report(e, ["type"], R.usage())
+    return fitted(R.report(e, ["type"], R.usage()))
 
 
 @on_entries("e08_user_info_with_total", "SELECT uid, gid, count(*) AS count, sum(size)::BIGINT AS size, grouping(uid, gid) > 0 AS is_total FROM entries GROUP BY GROUPING SETS ((uid, gid), ())")
@@ -376,12 +376,12 @@ CLASSES_SQL = f"list_filter([CASE WHEN size >= 1073741824 THEN 'big' END, CASE W
 
 @on_entries("e09_class_info", f"SELECT array_to_string({CLASSES_SQL}, '+') AS classes, count(*) AS count, sum(size)::BIGINT AS size FROM entries GROUP BY 1")
 def _(e: DataFrame) -> DataFrame:
-    return e.groupBy(F.array_join(P.classes(_classes()), "+").alias("classes")).agg(F.count(F.lit(1)).alias("count"), F.sum("size").alias("size"))
+    return fitted(e.groupBy(F.array_join(P.classes(_classes()), "+").alias("classes")).agg(F.count(F.lit(1)).alias("count"), S.total("size").alias("size")))
 
 
 @on_entries("e10_status_info", "SELECT coalesce(nullif(status, ''), 'None') AS status, type, count(*) AS count, sum(size)::BIGINT AS size FROM entries GROUP BY 1, 2")
 def _(e: DataFrame) -> DataFrame:
-    return e.groupBy(F.coalesce(F.nullif("status", F.lit("")), F.lit("None")).alias("status"), "type").agg(F.count(F.lit(1)).alias("count"), F.sum("size").alias("size"))
+    return fitted(e.groupBy(F.coalesce(F.nullif("status", F.lit("")), F.lit("None")).alias("status"), "type").agg(F.count(F.lit(1)).alias("count"), S.total("size").alias("size")))
 
 
 @on_entries("e15_native_builder", "SELECT uid, gid, sum(size)::BIGINT AS sum_size, count(*) AS count, array_to_string(list_sort(list(DISTINCT type)), ',') AS concat_type FROM entries WHERE gid NOT LIKE 'g0' GROUP BY uid, gid HAVING sum(size) > 1000000")
@@ -461,7 +461,7 @@ def _(e: DataFrame) -> DataFrame:
 
 @on_entries("f07_progress", "SELECT status, count(*) AS count, sum(size)::BIGINT AS size FROM entries GROUP BY status")
 def _(e: DataFrame) -> DataFrame:
-    return e.groupBy("status").agg(F.count(F.lit(1)).alias("count"), F.sum("size").alias("size"))
+    return fitted(e.groupBy("status").agg(F.count(F.lit(1)).alias("count"), S.total("size").alias("size")))
 
 
 # ---- catalog changes ----
@@ -859,7 +859,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 def _(e: DataFrame) -> DataFrame:
     files = e.filter("type = 'file'")
     done = D.set_recovery_state(D.recovery_table(files), files.filter("num % 3 < 2").select("id", (F.col("num") % 3 == 1).alias("ok")))
-    return done.groupBy("recov_state").agg(F.count(F.lit(1)).alias("count"), F.sum("size").alias("size"))
+    return fitted(done.groupBy("recov_state").agg(F.count(F.lit(1)).alias("count"), S.total("size").alias("size")))
 
 
 @query("h14_undelete_listing", sql("SELECT id, path FROM tombs WHERE regexp_matches(path, '^/t/u1[0-9]?/')", ENTRIES, TOMBS))
@@ -1173,7 +1173,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 @query("b09_prefiltered_candidates", sql("SELECT rule, count(*)::BIGINT AS count, sum(size)::BIGINT AS size FROM acted WHERE rule IS NOT NULL GROUP BY rule", ENTRIES, RULES_SQL))
 def _(spark: SparkSession, sf: str) -> DataFrame:
     found = RuleSet.read(RULES).candidates(K.entries(spark, sf), "cleanup", RULE_CONTEXT)
-    return found.groupBy("rule").agg(F.count(F.lit(1)).alias("count"), F.sum("size").alias("size"))
+    return fitted(found.groupBy("rule").agg(F.count(F.lit(1)).alias("count"), S.total("size").alias("size")))
 
 
 # ---- reports by cube or base ----

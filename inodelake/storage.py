@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,3 +34,14 @@ def counted(df: DataFrame, *measures) -> tuple[DataFrame, dict]:
     seen = Observation()
     out = materialize(df.observe(seen, F.count(F.lit(1)).alias("n"), *measures))
     return out, seen.get
+
+
+def fitted(report: DataFrame) -> DataFrame:
+    """``report``, written once, with exact sums (its whole decimals) as longs. A column with a value beyond 64 bits stays
+    a decimal(38,0), so that no sum is lost; SQL's cast to BIGINT has no result there."""
+    sums = [f.name for f in report.schema if isinstance(f.dataType, T.DecimalType) and f.dataType.scale == 0]
+    if not sums:
+        return report
+    out, seen = counted(report, *[F.max(F.abs(F.col(c))).alias(f"most_{i}") for i, c in enumerate(sums)])
+    kinds = {c: "decimal(38,0)" if (seen[f"most_{i}"] or 0) >= 1 << 63 else "long" for i, c in enumerate(sums)}
+    return out.withColumns({c: F.col(c).cast(kind) for c, kind in kinds.items()})
