@@ -643,7 +643,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @on_entries("e14_report_total", "SELECT count(*)::BIGINT AS count, sum(size)::BIGINT AS volume, (sum(blocks) * 512)::BIGINT AS space_used FROM entries WHERE type = 'file'")
 def _(e: DataFrame) -> DataFrame:
-    return e.filter("type = 'file'").agg(F.count(F.lit(1)).alias("count"), F.sum("size").alias("volume"), (F.sum("blocks") * 512).alias("space_used"))
+    return fitted(e.filter("type = 'file'").agg(F.count(F.lit(1)).alias("count"), S.total("size").alias("volume"), (S.total("blocks") * 512).alias("space_used")))
 
 
 @on_entries("h04_mass_remove", "SELECT id, size FROM entries WHERE NOT (status = 'released' AND type = 'file') OR status IS NULL")
