@@ -364,7 +364,7 @@ def _(e: DataFrame) -> DataFrame:
 
 @on_entries("e08_user_info_with_total", "SELECT uid, gid, count(*) AS count, sum(size)::BIGINT AS size, grouping(uid, gid) > 0 AS is_total FROM entries GROUP BY GROUPING SETS ((uid, gid), ())")
 def _(e: DataFrame) -> DataFrame:
-    return R.with_total(e, ["uid", "gid"], [F.count(F.lit(1)).alias("count"), F.sum("size").alias("size")])
+    return fitted(R.with_total(e, ["uid", "gid"], [F.count(F.lit(1)).alias("count"), S.total("size").alias("size")]))
 
 
 def _classes() -> dict[str, Column]:
