@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import expr as X
+from ..functions.scalar import wide
 from ..storage import materialize
 
 
@@ -106,7 +107,7 @@ def running(df: DataFrame, order: Sequence[str], amounts: dict[str, Column], par
     columns, with a minus where descending).
 
     The order is global but no task sees all rows: rows are dealt into ranges of the order and written once with their
-    range, so that the ranges' sums and the rows agree; sums of the ranges before a range come from one small table (one
+    range, so that the ranges' sums and the rows agree; sums of longs are decimals, which have room for all of them; sums of the ranges before a range come from one small table (one
     row a range), and only sums inside a range use a window. There are as many ranges as shuffle partitions, which a
     cluster sets by its input's size, or ``parts``."""
     n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -114,12 +115,13 @@ def running(df: DataFrame, order: Sequence[str], amounts: dict[str, Column], par
     sort = [F.desc(k) if o[0] == "-" else F.asc(k) for k, o in zip(keys, order, strict=True)]
     plain = df.select(F.struct(*df.columns).alias("row"), *[F.col(o.lstrip("-")).alias(k) for o, k in zip(order, keys, strict=True)], *[v.alias(f"own_{a}") for a, v in amounts.items()])
     ranged = materialize(plain.repartitionByRange(n, *sort).withColumn("range_no", F.spark_partition_id()))
+    amount = {a: wide(f"own_{a}", ranged.schema) for a in amounts}
     own = Window.partitionBy("range_no").orderBy(*sort).rowsBetween(Window.unboundedPreceding, -1)
     before = Window.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
-    sums = ranged.groupBy("range_no").agg(*[F.sum(f"own_{a}").alias(f"sum_{a}") for a in amounts])
+    sums = ranged.groupBy("range_no").agg(*[F.sum(c).alias(f"sum_{a}") for a, c in amount.items()])
     heads = sums.select(F.col("range_no").alias("head_no"), *[F.coalesce(F.sum(f"sum_{a}").over(before), F.lit(0)).alias(f"head_{a}") for a in amounts])
     joined = ranged.join(F.broadcast(heads), F.col("range_no") == F.col("head_no"))
-    return joined.select("row", *[F.col(f"own_{a}") for a in amounts], *[(F.col(f"head_{a}") + F.coalesce(F.sum(f"own_{a}").over(own), F.lit(0))).alias(f"before_{a}") for a in amounts])
+    return joined.select("row", *[F.col(f"own_{a}") for a in amounts], *[(F.col(f"head_{a}") + F.coalesce(F.sum(c).over(own), F.lit(0))).alias(f"before_{a}") for a, c in amount.items()])
 
 
 def until_limit(df: DataFrame, order: Sequence[str], amounts: dict[str, int], parts: int | None = None) -> DataFrame:
