@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import parse_size
-from ..functions.scalar import size_bucket, total
+from ..functions.scalar import size_bucket, total, wide
 
 # Names of the size profile's columns.
 PROFILE = ("sz0", "sz1", "sz32", "sz1K", "sz32K", "sz1M", "sz32M", "sz1G", "sz32G", "sz1T")
@@ -54,7 +54,7 @@ def with_others(df: DataFrame, label: str, value: str, n: int) -> DataFrame:
     """The top n labels and one line for all others. Only n labels meet the rest in a broadcast."""
     top = df.orderBy(F.desc(value), label).limit(n).select(F.col(label).alias("top_label"))
     marked = df.join(F.broadcast(top), df[label].eqNullSafe(F.col("top_label")), "left")
-    return marked.groupBy(F.when(F.col("top_label").isNotNull(), F.col(label)).otherwise(F.lit("Others")).alias(label)).agg(F.sum(value).alias(value))
+    return marked.groupBy(F.when(F.col("top_label").isNotNull(), F.col(label)).otherwise(F.lit("Others")).alias(label)).agg(F.sum(wide(value, df.schema)).alias(value))
 
 
 def native(df: DataFrame, columns: dict[str, str], filters: Sequence[tuple[str, str, object]] = (), order: Sequence[tuple[str, bool]] = (), limit: int | None = None) -> DataFrame:

@@ -443,7 +443,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @on_entries("g08_top_and_others", "SELECT label AS uid, sum(size)::BIGINT AS size FROM (SELECT CASE WHEN row_number() OVER (ORDER BY size DESC, uid) <= 5 THEN uid ELSE 'Others' END AS label, size FROM (SELECT uid, sum(size) AS size FROM entries GROUP BY uid)) GROUP BY label")
 def _(e: DataFrame) -> DataFrame:
-    return R.with_others(e.groupBy("uid").agg(F.sum("size").alias("size")), "uid", "size", 5)
+    return fitted(R.with_others(e.groupBy("uid").agg(S.total("size").alias("size")), "uid", "size", 5))
 
 
 # ---- ordered selection ----
