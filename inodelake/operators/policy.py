@@ -168,11 +168,12 @@ def token_periods(df: DataFrame, order: Sequence[str], per_period: int | None =
     amounts = {"one": F.lit(1), "volume": F.col(size) if bytes_per_period else F.lit(0)}
     if by:
         w = Window.partitionBy(*by).orderBy(*[F.desc(o[1:]) if o[0] == "-" else F.asc(o) for o in order]).rowsBetween(Window.unboundedPreceding, -1)
-        before = {a: F.coalesce(F.sum(amounts[a]).over(w), F.lit(0)) for a in limits}
+        own = {"one": amounts["one"], "volume": wide(size, df.schema) if bytes_per_period else F.lit(0)}
+        before = {a: F.coalesce(F.sum(own[a]).over(w), F.lit(0)) for a in limits}
         rows = df
     else:
         rows, before = running(df, order, amounts), {a: F.col(f"before_{a}") for a in limits}
-    periods = [F.floor(before[a] / n).cast("long") for a, n in limits.items()]
+    periods = [F.call_function("div", before[a], F.lit(n)) for a, n in limits.items()]
     period = F.greatest(*periods) if len(periods) > 1 else periods[0]
     return rows.withColumn("period", period) if by else rows.select("row.*", period.alias("period"))
 
