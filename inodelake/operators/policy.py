@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions import expr as X
 from ..functions.scalar import wide
-from ..storage import materialize
+from ..storage import fitted, materialize
 
 
 @dataclass(frozen=True)
@@ -337,10 +337,11 @@ def removable_directories(names: DataFrame, entries: DataFrame, age: Column) ->
 def run_summary(outcomes: DataFrame, policy: str, start: int, end: int, trigger: str) -> DataFrame:
     """One row for a run: what it was, and its actions, volume, skipped and failed ones (outcome, size)."""
     when = lambda o: F.sum((F.col("outcome") == o).cast("long"))
-    return outcomes.agg(
+    summary = outcomes.agg(
         F.lit(policy).alias("policy"), F.lit(trigger).alias("trigger_kind"), F.lit(start).alias("run_start"), F.lit(end).alias("run_end"), when("ok").alias("ok"),
-        F.sum(F.when(F.col("outcome") == "ok", F.col("size"))).alias("volume"), when("gone").alias("gone"), when("accessed").alias("accessed"),
+        F.sum(F.when(F.col("outcome") == "ok", wide("size", outcomes.schema))).alias("volume"), when("gone").alias("gone"), when("accessed").alias("accessed"),
     )
+    return fitted(summary)
 
 
 def match_source(cached: DataFrame, fresh: DataFrame, mode: str, required: Sequence[str] = ()) -> DataFrame:
