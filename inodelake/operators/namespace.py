@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import mean
 from ..storage import materialize
 
 
@@ -59,7 +60,7 @@ def children(names: DataFrame, parents: DataFrame, entries: DataFrame) -> DataFr
 def directory_totals(names: DataFrame, entries: DataFrame) -> DataFrame:
     """dircount of every directory and the rounded average size of the files in it."""
     e = entries.select("id", "type", "size")
-    return names.join(e, "id", "left").groupBy("parent_id").agg(F.count(F.lit(1)).alias("dircount"), F.round(F.avg(F.when(F.col("type") == "file", F.col("size")))).cast("long").alias("avgsize"))
+    return names.join(e, "id", "left").groupBy("parent_id").agg(F.count(F.lit(1)).alias("dircount"), mean(F.when(F.col("type") == "file", F.col("size"))).alias("avgsize"))
 
 
 def empty_directories(names: DataFrame, entries: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import parse_size
-from ..functions.scalar import size_bucket, total, wide
+from ..functions.scalar import mean, size_bucket, total, wide
 
 # Names of the size profile's columns.
 PROFILE = ("sz0", "sz1", "sz32", "sz1K", "sz32K", "sz1M", "sz32M", "sz1G", "sz32G", "sz1T")
@@ -37,7 +37,7 @@ def report(df: DataFrame, keys: Sequence[str], aggregates: Sequence[Column], whe
 def usage(size: str = "size", blocks: str | None = "blocks") -> list[Column]:
     """Counts, sums (exact, as decimals: see ``fitted``), bounds and the rounded average of sizes."""
     sums = [total(size).alias("size"), *([total(blocks).alias("blocks")] if blocks else [])]
-    return [F.count(F.lit(1)).alias("count"), *sums, F.min(size).alias("min_size"), F.max(size).alias("max_size"), F.round(F.avg(size)).cast("long").alias("avg_size")]
+    return [F.count(F.lit(1)).alias("count"), *sums, F.min(size).alias("min_size"), F.max(size).alias("max_size"), mean(F.col(size)).alias("avg_size")]
 
 
 def with_total(df: DataFrame, keys: Sequence[str], aggregates: Sequence[Column]) -> DataFrame:

@@ -427,7 +427,7 @@ _top("g04_oldest_files", "last_access", "last_access", "type = 'file' AND NOT in
 
 @on_entries(FLAGSHIP, "SELECT *, row_number() OVER (ORDER BY size DESC, uid) AS rank FROM (SELECT uid, count(*) AS count, sum(size)::BIGINT AS size, min(size) AS min_size, max(size) AS max_size, round(avg(size))::BIGINT AS avg_size FROM entries WHERE type = 'file' GROUP BY uid) ORDER BY size DESC, uid LIMIT 20")
 def _(e: DataFrame) -> DataFrame:
-    users = R.report(e, ["uid"], R.usage(blocks=None), where=F.col("type") == "file")
+    users = fitted(R.report(e, ["uid"], R.usage(blocks=None), where=F.col("type") == "file"))
     return R.ranked(users, [F.desc("size"), F.asc("uid")])
 
 
