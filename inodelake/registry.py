@@ -27,7 +27,7 @@ from .operators import targets as G
 from .operators.ruleset import RuleSet
 from .plans import cube as C
 from .plans import route as W
-from .plans.kept import KeptCube
+from .plans.kept import KeptCube, KeptLatest
 from .sources import catalog as K
 from .sources import records as U
 from .sources import sinks as O
@@ -1514,20 +1514,15 @@ def _(e: DataFrame) -> DataFrame:
   FROM (SELECT * REPLACE (size + CASE WHEN num % 6 = 0 THEN 10 ELSE 0 END AS size, ((size + CASE WHEN num % 6 = 0 THEN 10 ELSE 0 END + 511) // 512)::BIGINT AS blocks) FROM entries WHERE num % 17 > 0) GROUP BY uid, gid, type, status"""))
 def _(spark: SparkSession, sf: str) -> DataFrame:
     """All entries come in a first run; in a second one some grow and some go. The cube is what both runs leave."""
-    at, e, store = f"{shared_dir(spark)}/cube-{uuid.uuid4().hex}", K.entries(spark, sf), "spark.sql.streaming.stateStore.providerClass"
+    at, e = f"{shared_dir(spark)}/cube-{uuid.uuid4().hex}", K.entries(spark, sf)
     attributes = ["uid", "gid", "type", "status", "size", "blocks"]
     first = e.select("id", F.col("num").alias("idx"), F.lit(False).alias("removed"), *attributes)
     grown = (F.col("size") + 10).cast("long")
     second = e.filter("num % 6 = 0 OR num % 17 = 0").select("id", (F.col("num") + (1 << 40)).alias("idx"), (F.col("num") % 17 == 0).alias("removed"), *attributes[:4], grown.alias("size"), F.floor((grown + 511) / 512).cast("long").alias("blocks"))
-    kept, before = KeptCube(spark, f"{at}/cube"), spark.conf.get(store, None)
-    try:
-        Y.use_state_store(spark)
-        for part in (first, second):
-            part.write.mode("append").parquet(f"{at}/in")
-            changes = Y.signed_changes(spark.readStream.schema(first.schema).parquet(f"{at}/in"), attributes)
-            kept.follow(changes, f"{at}/state").trigger(availableNow=True).start().awaitTermination()
-    finally:
-        spark.conf.unset(store) if before is None else spark.conf.set(store, before)
+    kept, latest = KeptCube(spark, f"{at}/cube"), KeptLatest(spark, f"{at}/latest", attributes)
+    for part in (first, second):
+        part.write.mode("append").parquet(f"{at}/in")
+        kept.follow_updates(spark.readStream.schema(first.schema).parquet(f"{at}/in"), latest, f"{at}/state").trigger(availableNow=True).start().awaitTermination()
     cube = kept.latest()
     return C.build(e.limit(0)) if cube is None else cube.select(*C.KEYS, *C.MEASURES)
 

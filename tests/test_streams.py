@@ -11,8 +11,9 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from inodelake import registry
 from inodelake.plans import cube as C
-from inodelake.plans.kept import KeptCube
+from inodelake.plans.kept import KeptCube, KeptLatest
 from inodelake.sources import records as S
 from inodelake.streaming import keyed as K
 
@@ -208,3 +209,31 @@ def test_a_replayed_batch_changes_nothing(spark, tmp_path):
     (tmp_path / "cube" / "version=1" / "_SUCCESS").unlink()  # as if the writer had stopped
     assert kept.apply(signed(("u", "g", "file", "new", 40, 1, -1), ("u", "g", "file", None, 41, 1, 1)), 1)
     assert kept.expired(1) == [f"{tmp_path}/cube/version=0"]
+
+
+@pytest.mark.parametrize("size", [7, 50, 150])
+def test_kept_latest_equals_a_fold(spark, tmp_path, size):
+    rows = [(*r[:3], *r[3:]) for r in updates()] + [(None, 150, False, "u1", "g", "file", None, 7, 1), ("gone", 151, True, "u1", "g", "file", None, 7, 1)]
+    attributes = ["uid", "gid", "type", "status", "size", "blocks"]
+    latest, kept = KeptLatest(spark, str(tmp_path / "latest"), attributes), KeptCube(spark, str(tmp_path / "cube"))
+    some = rows if size > 7 else rows[-40:]
+    for n, i in enumerate(range(0, len(some), size)):
+        df = spark.createDataFrame(some[i : i + size], UPDATES).repartition(3)
+        kept.apply(latest.apply(df, n), n)
+        kept.apply(latest.apply(df, n), n)  # a replay changes nothing
+    want: dict[str, list] = {}
+    for r in some:
+        if r[2]:
+            want.pop(r[0], None)
+        else:
+            want[r[0]] = [new if new is not None else old for new, old in zip(r[3:], want.get(r[0], [None] * 6), strict=True)]
+    assert {r["id"]: list(r["now"]) for r in latest.latest().filter("now IS NOT NULL").collect()} == want
+    entries = spark.createDataFrame([tuple(v) for v in want.values()], "uid string, gid string, type string, status string, size long, blocks long")
+    ordered = lambda df: sorted(map(repr, df.select("uid", "gid", "type", "status", "count", F.coalesce("size", F.lit(0)), F.coalesce("blocks", F.lit(0)), "sz0", "sz32", "sz1K").collect()))
+    assert ordered(kept.latest()) == ordered(C.build(entries))
+
+
+def test_cube_from_a_stream_calls_no_python_for_an_entry(spark, monkeypatch):
+    monkeypatch.setattr(K, "signed_changes", None)
+    monkeypatch.setattr(K, "use_state_store", None)
+    assert registry.queries()["e04_cube_from_stream"](spark, "/root/testdata/sf0.001").count() > 100
