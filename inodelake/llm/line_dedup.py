@@ -6,9 +6,10 @@ A line counts if it has a word; a word is a run of bytes other than white space.
 
 Lines within k edits of each other agree on one of k + 1 segments at nearly the same place. So every line puts its
 segments into an index by (k, length, segment number, hash) and probes those of its own length and of up to k words
-less with the substrings that could match (multi-match-aware windows). Keys of one line only are dropped first: a task
+less with the substrings that could match (multi-match-aware windows). A first pass drops lines that share no key: a task
 sends one row for a key and batch, whatever the number of its lines, so a segment of very many lines makes few rows.
-Only lines that share a key are fetched; they form classes (``near_graph``): each line is verified by banded
+There, lines from ``LONG`` words on have fewer keys: their words fall into 2k + 1 classes by hash, of which k edits leave
+one as it is, so each class's words are a key. Only lines that share a key of the pass are fetched; they form classes (``near_graph``): each line is verified by banded
 bit-parallel edit distance against leaders of its keys, then every pair of lines of different classes that share a key
 and whose sketches (parities of word classes, of which an edit changes two at most) allow it. A key of over ``SPLIT``
 lines is cut by two of eight parts of the sketch, of which six changed bits leave two as they are. So no link is
@@ -25,7 +26,9 @@ whole; an empty table gives an empty result; other columns, whatever their names
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from itertools import combinations
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -42,6 +45,9 @@ from .spark_io import materialize, packed, unpacked
 #: (words of the longer line, edits from there on), in order.
 EDITS = ((10, 1), (30, 2), (100, 3))
 MOST = EDITS[-1][1]
+#: Words from which on the first pass takes a line's words by classes instead of segments. Shorter lines have classes of so
+#: few words that many lines would share one.
+LONG = 40
 #: Lines of a key beyond which it is cut by parts of the sketch.
 SPLIT = 4096
 #: Parts of a sketch; two of them stay as they are under 2 * ``MOST`` changed bits.
@@ -169,6 +175,26 @@ def keys(word: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndar
     return tuple(np.concatenate(x) if x else np.zeros(0, U64) for x in (who, key, entry, probe))
 
 
+def class_keys(word: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Line and key of lines that may be near a line of ``LONG`` words or more. A replaced word changes two classes at most,
+    a word put in or left out changes one, so lines within k edits share one of 2k + 1 keys, wherever the edits are. Lines of a few different words only may have an
+    empty class and so share its key; they are fetched in vain."""
+    who, key = [], []
+    drawn = mix(word ^ U64(0xC1A55))
+    for (least, edits), after in zip(EDITS, [*[x for x, _ in EDITS[1:]], np.inf], strict=True):
+        lines = np.flatnonzero((size >= max(least, LONG) - edits) & (size < after))
+        if after <= LONG or not len(lines):
+            continue
+        n, parts = size[lines], 2 * edits + 1
+        line = np.repeat(np.arange(len(lines)), n)
+        of = drawn[np.arange(len(line)) + np.repeat(first[lines] - (np.cumsum(n) - n), n)]
+        sums = np.zeros(len(lines) * parts, U64)
+        np.add.at(sums, line * parts + ((of >> U64(32)) * U64(parts) >> U64(32)).astype(np.int64), of)
+        who.append(np.repeat(lines, parts))
+        key.append(mix(sums ^ np.tile(mix(1 << 32 | np.arange(parts, dtype=U64) << U64(8) | U64(edits)), len(lines))))
+    return tuple(np.concatenate(x) if x else np.zeros(0, U64) for x in (who, key))
+
+
 def sketches(word: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Parities of the counts of words in 64 classes. An edit changes two bits at most."""
     if not len(first):
@@ -185,7 +211,11 @@ def _probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = np.flatnonzero(lines.size >= EDITS[0][0] - EDITS[0][1])
         if not len(some):
             continue
-        who, key, _, _ = keys(lines.word, lines.first[some], lines.size[some])
+        first, size = lines.first[some], lines.size[some]
+        short = np.flatnonzero(size < LONG)
+        near_short, near_long = keys(lines.word, first[short], size[short])[:2], class_keys(lines.word, first, size)
+        who = np.concatenate([short[near_short[0].astype(np.int64)], near_long[0].astype(np.int64)])
+        key = np.concatenate([near_short[1], near_long[1]])
         ids = lines.ids(some)
         order = np.argsort(key, kind="stable")
         key, own = key[order], ids[who[order]]
@@ -212,7 +242,14 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _trimmed(line: Column) -> Column:
-    return F.btrim(line, F.lit(_BLANK))
+    # Trimming at the right walks over the whole line; most lines end in a word.
+    blank_end = reduce(or_, [F.endswith(line, F.lit(c)) for c in _BLANK])
+    left = F.ltrim(line, F.lit(_BLANK))
+    return F.when(blank_end, F.rtrim(left, F.lit(_BLANK))).otherwise(left)
+
+
+def _worded(line: Column) -> Column:
+    return F.ltrim(line, F.lit(_BLANK)) != ""
 
 
 def _text_hash() -> Column:
@@ -221,8 +258,10 @@ def _text_hash() -> Column:
 
 def firsts(docs: DataFrame) -> DataFrame:
     """h1, h2 and first place of every different line of ``docs``."""
-    own = docs.select("doc_id", _text_hash().alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-    line = own.select(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "line_no").alias("place"), _trimmed(F.col("raw")).alias("line")).filter("line <> ''")
+    # The text is hashed before its lines are listed, else once for each of them.
+    split = docs.select("doc_id", _text_hash().alias("text_hash"), F.split("text", "\n").alias("raws"))
+    own = split.select("doc_id", "text_hash", F.posexplode("raws").alias("line_no", "raw")).filter(_worded(F.col("raw")))
+    line = own.select(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "line_no").alias("place"), _trimmed(F.col("raw")).alias("line"))
     # The second hash starts from another state, so it is no function of the first.
     return line.groupBy(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2")).agg(F.min("place").alias("place"))
 
@@ -309,7 +348,7 @@ def _cleaned(docs: DataFrame) -> DataFrame:
     # Documents without a first occurrence of any line keep none of theirs.
     kept = F.coalesce("kept", F.array().cast("array<int>"))
     cut = both.select("row", "near", kept.alias("kept"), F.split("row.text", "\n").alias("lines"))
-    worded = F.filter(F.transform("lines", lambda x, i: F.when(_trimmed(x) != "", i)), lambda i: i.isNotNull())
+    worded = F.filter(F.transform("lines", lambda x, i: F.when(_worded(x), i)), lambda i: i.isNotNull())
     cut = cut.withColumn("worded", worded).withColumn("drop", F.array_except("worded", "kept"))
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drop"))
     text = F.array_join(F.transform(left, lambda i: F.get(F.col("lines"), i)), "\n")

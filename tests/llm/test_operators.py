@@ -295,6 +295,34 @@ def test_near_lines_against_all_pairs(spark, monkeypatch, split):
     assert all((x["of_doc_id"], x["of_line_no"]) in stays for row in got.values() for x in row["near"])
 
 
+def test_first_pass_has_few_keys_for_long_lines():
+    """A long line sends 2k + 1 keys, 12 with those for a longer class, where its segments made 12 to 26; lines within k edits
+    share one of the pass, also at the lengths where the keys change."""
+    r = random.Random(5)
+    vocabulary = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(1, 8))) for _ in range(300)]
+    for n in [*range(9, 14), *range(27, 33), *range(37, 45), 60, *range(96, 104), 150]:
+        for _ in range(40):
+            a = b = [r.choice(vocabulary) for _ in range(n)]
+            for _ in range(r.randint(1, 3)):
+                i, kind = r.randrange(len(b)), r.randint(0, 2)
+                b = b[:i] + [r.choice(vocabulary)] * (kind < 2) + b[i + (kind > 0) :]
+            if not line_dedup.near(" ".join(a), " ".join(b)) or a == b:
+                continue
+            texts = pa.array([" ".join(a), " ".join(b), "x y z"])
+            whole = pa.Table.from_batches(line_dedup._probes([pa.RecordBatch.from_arrays([texts], names=["text"])])).to_pylist()
+            assert sum(x["state"] == 2 for x in whole) == 2
+            apart = [pa.Table.from_batches(line_dedup._probes([pa.RecordBatch.from_arrays([texts[k : k + 1]], names=["text"])])).to_pylist() for k in (0, 1)]
+            assert {x["key"] for x in apart[0]} & {x["key"] for x in apart[1]}
+            assert n < 43 or max(map(len, apart)) <= 12
+
+
+@pytest.mark.parametrize("line", ["", " ", "a", " a", "a ", "\t a b \r", "\va\f", "\u00e9 \u65e5\r", "\u00a0a\u2003", " \t\r\f\v"])
+def test_trimmed_as_btrim(spark, line):
+    own = spark.createDataFrame([(line,)], "line string")
+    row = own.select(line_dedup._trimmed(F.col("line")).alias("got"), line_dedup._worded(F.col("line")).alias("worded"), F.btrim("line", F.lit(" \t\n\r\v\f")).alias("want")).first()
+    assert row["got"] == row["want"] and row["worded"] == (row["want"] != "")
+
+
 def test_lines_of_documents(spark):
     rows = [(x["doc_id"], x["text"]) for x in table(spark, SF, "documents").collect()]
     got = {x["doc_id"]: x["text"] or "" for x in line_dedup.apply(table(spark, SF, "documents")).collect()}
